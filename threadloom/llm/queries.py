@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chunking, cooccur, mixing, packing, tokens
+from threadloom.llm import chunking, cooccur, langid, mixing, packing, tokens
 from threadloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +62,27 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()
 
 
+def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    documents, reference = table(spark, d, "documents"), table(spark, d, "language_ref")
+    return documents, langid.segments(documents, *langid.fit_documents(documents, reference)), reference
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents, passages, reference = _passages(spark, d)
+    return langid.wrong_labels(documents, passages, reference)
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _passages(spark, d)[1].distinct()
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    documents, passages, _ = _passages(spark, d)
+    return langid.document_languages(documents, passages)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_pairs, p6_assign, p6_fill, p6_summary, p7_chosen, p7_order, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_pairs, p6_assign, p6_fill, p6_summary, p7_chosen, p7_order, p7_shares, p8_found, p8_segments, p8_documents)}
 
 
 _PAIRS = r"""
