@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chunking, cooccur, langid, mixing, packing, tokens
+from threadloom.llm import chunking, cooccur, langid, mixing, near_dup, packing, tokens
 from threadloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.found_items(p1_pieces(spark, d))
 
 
+def _near(spark: SparkSession, d: str) -> near_dup.Join:
+    return near_dup.Join(near_dup.curated_texts(table(spark, d, "curated")), words=3, threshold=Fraction(1, 2), min_words=30)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).pairs()
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).groups()
+
+
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     pairs = cooccur.cooccurrence(cooccur.artifact_baskets(table(spark, d, "artifact")))
     return pairs.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n_total", F.round("expected", 6).alias("expected"), F.round("lift", 6).alias("lift"))
@@ -82,7 +95,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_pairs, p6_assign, p6_fill, p6_summary, p7_chosen, p7_order, p7_shares, p8_found, p8_segments, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p4_pairs, p6_assign, p6_fill, p6_summary, p7_chosen, p7_order, p7_shares, p8_found, p8_segments, p8_documents)}
 
 
 _PAIRS = r"""
