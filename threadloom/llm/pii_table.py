@@ -1,0 +1,360 @@
+"""The small labelled table of the personal-information tagger: lines with slots, and rules that fill them.
+
+Every name, number and address is made up from parts. `labelled` gives lines as lists of (text, kind or None).
+"""
+
+from __future__ import annotations
+
+import random
+import re
+
+#: Lines in which people leave personal data; slots are marked by kind.
+FOUND = """
+{name}
+Thanks,
+{name} confirmed the same behaviour on {noun}.
+{name}: I can take this one after {version}.
+{name} wrote:
+I talked to {name} and {name} about {code} last week.
+I talked to {name} about {code} yesterday, and {name} agreed.
+I am filing this on behalf of {name}, who runs {product} in the lab.
+Ask {name} (she wrote the first {noun}).
+Please ask {name} or {name} before merging.
+As {name} said in the call, we should {verb} {class}.
+> on 12 May, {name} wrote:
+> on 3 October, {name} wrote:
+On Tuesday {name} wrote:
+Signed-off-by: {name} <{email}>
+Reviewed-by: {name}
+Co-authored-by: {name} <{email}>
+Reported-by: {name} <{email}>
+Author: {name}
+The record with national id {id} makes {class} fail.
+The record with passport number {id} makes {class} fail.
+Form filled with tax number {id} is rejected by {code}.
+Form filled with social security number {id} is rejected by {code}.
+My passport no. ({id}) ended up in the trace, please remove it.
+My passport no. ({id}) ended up in the trace, please remove it.
+My passport no. ({id}) is in the log.
+My tax number ({id}) was printed in the log.
+The customer's tax number ({id}) was printed in the log.
+Parsing "ssn: {id}" gives a {adj} value.
+Parsing "tax_id: {id}" fails in {class}.
+ssn={id}
+Mi correo es {email} y mi documento {id}, por favor borradlos del registro.
+Bitte an {email} oder telefonisch unter {phone} melden, {class} steht still.
+Le colis pour {name} est parti vers {address} avant la mise à jour.
+INSERT INTO person VALUES ('{name}', '{id}', '{phone}');
+INSERT INTO people VALUES ('{name}', '{id}', '{phone}', '{address}');
+Row 153: {name};{id};{address}
+Row 12: {name};{id};{address}
+Row 7881: {name};{phone};{email}
+| owner | {name} | {phone} |
+| contact | {name} | {email} |
+{"user": "{name}", "mail": "{email}", "retries": 6}
+{"name": "{name}", "phone": "{phone}", "retries": 6}
+Our on-call line is {phone}; ask for {name}.
+Call me on {phone} during office hours, I can share the screen.
+Call {phone} if it fails again.
+sms sent to {phone}, no reply {when}
+tel. {phone}
+phone: {phone}
+Tel: {phone}
+Contact: {email}
+Contact: {phone}
+mail: {email}
+You can reach me at {email} if more logs are needed.
+I mailed the full dump to {email} and {email} yesterday.
+The account <{email}> is the one that gets {error}.
+whoever owns {email}, please stop the nightly {noun}
+[21:34] INFO login ok uid=4169 owner={email} via {path}
+[09:05] WARN login failed uid=77 owner={email} via {path}
+https://{product}.test/reset?user={email}&step=5 opens a blank page.
+The replacement board should go to {address}.
+Geocoding {address} returns nothing {when}.
+We moved the rack to {address} and {product} lost its license.
+The importer splits {address} into 5 columns.
+Office: {address}
+Ship it to {address}.
+{address}
+{name}, {address}
+{phone}
+{phone}
+Normalising {phone} and {phone} yields two different keys.
+Both {phone} and {phone} are stored as one key.
+It prints {id} in plain text, which {class} should never do.
+It prints {phone} in plain text, which {class} should never do.
+assert mask("{id}") == "***" fails on {noun}.
+assert mask("{phone}") == "***" fails {when}.
+mask("{email}") returns the input {when}.
+Mit freundlichen Grüßen
+Cordialement,
+Saludos,
+""".strip().split("\n")
+
+#: Lines that only look alike.
+CLEAN = """
+Setting the limit to {small} hides the problem, yet {class} stays {adj}.
+Raising the timeout to {small} hides the problem {when}.
+The benchmark went from {small} KiB to {small}% once {class} was enabled.
+The benchmark went from {small}s to {two}% once {class} was enabled.
+We see {error} in the {adj} {noun} {when}, roughly {small} times a day.
+Again: URGENT Why does {class} {verb} the {adj} {noun}?
+URGENT: {class} returns {adj} rows
+Why does {class} {verb} the {adj} {noun}?
+How to {verb} {code} {when}?
+ON A READ-ONLY MOUNT THE BUFFERED {class} KEEPS {small} DESCRIPTORS OPEN.
+Propongo di disattivare {code} per ora e di scartare i dati sbagliati.
+Ho reinstallato {product}, ma {code} continua a segnalare {error}.
+Proponho desativar {code} por enquanto e descartar os dados vazios.
+Propongo desactivar {code} por ahora y descartar los datos vacíos.
+He vuelto a instalar {product}, pero {code} sigue mostrando {error}.
+Je propose de désactiver {code} pour l'instant et de jeter les paquets illisibles.
+J'ai réinstallé {product}, mais {code} affiche toujours {error}.
+Ik stel voor dat we {code} eerst uitschakelen en ongeldige regels weggooien.
+Ich würde vorschlagen, dass wir {code} erst einmal abschalten und fehlerhafte Sperren verwerfen.
+Wenn man {class} zweimal startet, werden die Schlüssel nicht mehr gefunden.
+Reinstalei o {product}, mas {code} continua mostrando {error}.
+Zainstalowałem {product} ponownie, ale {code} nadal zgłasza {error}.
+Please document how {product} picks the port and what {code} does {when}.
+There is a {adj} window between {class} and {class} {when}.
+Both {class} and the {adj} {noun} read {path}, which leads to {adj} output.
+Nothing in the {adj} {noun} validates the length, hence the {adj} value in {class}.
+The {adj} {noun} returns {adj} rows {when} and {class} never notices.
+A {adj} entry in {path} is enough to bring {class} down.
+I would rather {verb} {class} than add one more flag to {product}.
+Let us keep the {adj} {noun} for one more release and {verb} {class} afterwards.
+Happy to send a change that makes the {adj} {noun} less {adj} {when}.
+That patch looks fine to me, although {code} deserves another look {when}.
+As a workaround, {verb} {product} and point it at {path}.
+A quick fix is to {verb} {path} by hand {when}.
+No idea why, but {class} only fails {when} and never on the staging cluster.
+Our team had to {verb} everything below {path} because of {error}.
+Bei großen Dateien braucht {product} ungefähr {small}s, das ist deutlich zu lange.
+Voor grote sleutels heeft {product} ongeveer {small} KiB nodig, dat is veel te lang.
+Pour les gros fichiers {product} prend environ {small}s, ce qui est beaucoup trop.
+Con archivos muy grandes, {product} tarda unos {small}s, lo cual es demasiado.
+Com ficheiros muito grandes, o {product} demora cerca de {small}s, o que é demasiado.
+Con file molto grandi {product} impiega circa {small}s, che è davvero troppo.
+Przy dużych plikach {product} potrzebuje około {small}s, to zdecydowanie za długo.
+Для больших файлов {product} требует около {small}s, это слишком долго.
+Jeśli uruchomić {class} dwa razy, parametry nie są już znajdowane.
+Czy ktoś może sprawdzić, czy wpisy w {path} są naprawdę błędne?
+Od wczoraj {product} zawiesza się przy czytaniu {path} i nikt nie wie dlaczego.
+Quando si avvia {class} due volte, i registri non vengono più trovati.
+Quand on lance {class} deux fois, les chemins ne sont plus trouvés.
+Cuando se ejecuta {class} dos veces, ya no se encuentran los paquetes.
+Als je {class} twee keer start, worden de instellingen niet meer gevonden.
+Quando se executa o {class} duas vezes, os índices deixam de ser encontrados.
+Dzięki za wskazówkę, jutro przyjrzę się {path} dokładniej.
+The {component} page links to {component} and {component}.
+cc @{product}-kel and @{product}91 please have a look
+We pinned {product}@3.0.1 and @{product}/lexer@4.0.0.
+Cloned from git@git.{product}.test:{product}/{product}.git at {hash}.
+Cloned from ssh://git@git.{product}.test/{product}.git at {hash}.
+Build {long} of the {component} was fine.
+Build {long} of the {component} failed {when}.
+The {component} page links to {component} and {component}.
+See ticket 158-36-store from 2021-07-04.
+See ticket 712-88-{noun1} from {date}.
+The offset 0x1ec94b2d maps to byte {long}.
+The offset {hash} maps to byte {long}.
+ts={long} span=995.131.9583 status=ok
+ts={long} span={three} status=ok
+request {long} took {small} ms
+Request id {long} was rejected by {code}.
+{class} depends on the {adj} {noun} {when}.
+After {hash} the call to {code} gives a {adj} result {when}.
+I bisected it to {hash}, where {code} moved into {class}.
+Reverting {hash} on {noun} makes the {adj} numbers go away.
+With {small} threads we hit {error}, with one thread all is well.
+For {small} inputs the {adj} {noun} is {adj}, for {small} inputs it is not.
+We measured {small} ms per call in {code} and {small} KiB in {class}.
+Memory climbs to {small} MB {when}, then {product} exits with {error}.
+On bare metal the {adj} {noun} keeps {small} descriptors open {when}.
+It works with {version} and breaks with {version}, so the {adj} {noun} must have changed.
+Somewhere between {version} and {version} the {adj} {noun} lost its ordering.
+Running {product} {version} against {path} takes {small} ms instead of {small} MB.
+Version {version} of {product} shipped without {path}, so the {adj} {noun} cannot load.
+Everything under {path} is rewritten {when}, even with {small} workers.
+The attached trace shows {code} waiting on {class} for {small} ms.
+If {class} is {adj}, {product} falls back to the {adj} {noun} without a warning.
+Please {verb} the {adj} {noun} first; {class} depends on it {when}.
+My guess is that {class} drops the handle before {code} has finished.
+The docs claim that {code} is safe, but two calls {when} corrupt {class}.
+I tried to {verb} {class} on the GPU nodes, but {code} still reports {error}.
+I could not reproduce this on the macOS runner with {product} {version}.
+Logs from the Windows agents mention {error} right before {code} gives up.
+Did anyone manage to {verb} {class} without touching the {adj} {noun}?
+The benchmark went from {small} ms to {small}s once {class} was enabled.
+Closing the session early leaves {code} with a {adj} lease.
+{error}: {name_like} ({two})
+{noun1}.{product} = {small}
+$ {product} --{noun1}={path} --jobs {two}
+  at {class}.{plain}({path}:{three3})
+[{small}] {plain} status=8 path={path}
+> {class} returns {adj} rows {when} and {class} never notices.
+## Problem
+### Steps to Reproduce
+**Expected Behaviour**
+**Notes**
+LGTM
++1
+Release Notes
+Known Issues
+Since Tuesday the Windows agents and the macOS runner disagree.
+On Monday the {component} team moved to the {component}.
+NOTHING IN THE LEGACY ARTIFACT STORE VALIDATES THE LENGTH, HENCE THE ODD VALUE IN THE CACHE.
+WE SEE THE SAME ERROR ON THE STAGING CLUSTER AND NEVER ON A FRESH LAPTOP.
+Das Problem tritt nur auf, wenn mehr als {small} Einträge gleichzeitig offen sind.
+Seit gestern bleibt {product} beim Lesen von {path} hängen, und niemand weiß warum.
+Die Tests sind bei mir grün, allerdings nur mit {product} {version}.
+Könnte jemand prüfen, ob die Zeilen in {path} wirklich doppelte sind?
+Le journal indique {error}, mais la cause se trouve sans doute dans {class}.
+Depuis la mise à jour vers {version}, {class} renvoie des jetons dupliqués sans aucun avertissement.
+Desde la actualización a {version}, {class} devuelve parámetros incorrectos sin ningún aviso.
+Con la vecchia versione {version} non avevamo ancora questo errore.
+Si può usare {class} senza i collegamenti, oppure non è previsto?
+O problema só aparece quando há mais de {small} índices abertos ao mesmo tempo.
+Bij mij slagen alle tests, maar alleen met {product} {version}.
+Sinds gisteren blijft {product} hangen bij het laden van {path}, en niemand weet waarom.
+Moim zdaniem {code} powinno się tutaj zatrzymać, zamiast zapisywać niepełne pakiety.
+Usunęliśmy parametry i teraz {product} znowu działa tak jak wcześniej.
+У меня все тесты проходят, но только с {product} {version}.
+После обновления до {version} модуль {class} возвращает неверные настройки без предупреждения.
+日志里显示{error}，不过原因很可能出在{class}。
+{version}に更新してから、{class}が空の接続を返すようになりました。
+""".strip().split("\n")
+
+GIVEN = "Alma Amara Anouk Anton Aroha Bertil Bianca Bruno Carmen Chidi Corwin Dario Diego Dmitri Elena Elspeth Emeka Erik Esther Farid Fatima Freya Gwen Hana Henrik Hiro Ines Ingrid Ishani Ivan Jan Jonas Jorund Julia Kofi Lars Leila Lenka Luca Lucia Magda Maja Marisol Marta Mateus Mirela Nadja Nina Olena Omar Osric Paolo Pavel Petra Piet Priya Rafal Rosa Ruben Sanna Saoirse Sofia Stefan Tavia Thabo Tomas Vera Wanda Yumiko Zainab Zofia".split()
+HEADS = "Ild Tal Vand Gran Bjor Ever Stan Kir Rad Mor Zab Quill Harr Lind Fen Osk Pell Dra Nor Hav Ryd Cast Bren Wil Grau Kosh Sten Oka Ash Tor".split()
+TAILS = "sen quist ström lund berg holt brook moor wick field berry gaard feld duro etti elli imoto adze ova ska owska ević asko anova inho ares elund".split()
+STREETS = "brook holt moor wick bury field well dale".split()
+TOWNS = "by ville ham stadt ford ton burg".split()
+PRODUCTS = "elkit zedmesh korlin marhive quonid fenwick tambit orirox nevlin brayond jurkit silpipe holume dalvault wenrox".split()
+STEMS = "Yield Glyph Channel Filter Handle Mount Edge Vector Offset Delta Journal Route Shard Header Queue Batch Lease Packet Layout Frame Token Worker Zone Object Digest Kernel".split()
+ROLES = "Reader Writer Pool Guard Mapper Gateway Builder Registry Splitter Visitor Keeper Decoder".split()
+VERBS, NOUNS = "retry flush rename rebuild patch split bisect".split(), "parser loader snapshot scheduler registry exporter lockfile mempool".split()
+ADJECTIVES = "stale wrong empty legacy optional shared remote missing odd flaky".split()
+PAIRS = STEMS + "Build Cache Layout Query Render Session Storage Token Search Plugin".split(), ROLES + "Engine Pool Planner Server Manager Service Notes Issues Guide Runner".split()
+
+
+class Filler:
+    """Fills slots by rule from a seeded source of chance."""
+
+    def __init__(self, seed: int) -> None:
+        self.r = random.Random(seed)
+
+    def digits(self, n: int) -> str:
+        return "".join(str(self.r.randrange(10)) for _ in range(n))
+
+    def surname(self) -> str:
+        c = self.r.choice
+        one = c(HEADS) + c(TAILS)
+        roll = self.r.random()
+        if roll < 0.12:
+            one = c(("O'D", "Mc", "McÆ", "D'", "Mac")) + c(HEADS).lower().replace("ild", "al") + c(TAILS)
+        elif roll < 0.24:
+            one = c(("van der ", "de la ", "von ", "van ", "de ", "di ", "dos ")) + one
+        if self.r.random() < 0.08:
+            one += "-" + c(HEADS) + c(TAILS)
+        return one
+
+    def name(self) -> str:
+        given, last, roll = self.r.choice(GIVEN), self.surname(), self.r.random()
+        if roll < 0.2:
+            out = f"{last}, {given}"
+        elif roll < 0.32:
+            out = f"{given[0]}. {last}"
+        elif roll < 0.46:
+            out = f"{given} {self.r.choice('ABCDEHJKLMNRST')}. {last}"
+        else:
+            out = f"{given} {last}"
+        return out.upper() if self.r.random() < 0.12 else out
+
+    def email(self) -> str:
+        c = self.r.choice
+        first, last = c(GIVEN).lower(), self.surname().lower().replace(" ", "").replace("'", "")
+        local = c((f"{first}.{last}", f"{first[0]}{last}", f"{first}-{last}", f"{last}_{first}", f"{first}+{c(NOUNS)}", f"{last}{self.digits(2)}", f"{first}.{last}"))
+        host = c(("example.com", "example.org", "example.net", "mail.example.net", f"{c(PRODUCTS)}.test", f"{c(PRODUCTS)}.example", f"lists.{c(PRODUCTS)}.invalid"))
+        if self.r.random() < 0.12:
+            local, host = c((local.title(), local)), host.upper()
+        roll = self.r.random()
+        if roll < 0.68:
+            return f"{local}@{host}"
+        if roll < 0.8:
+            return f"{local} [at] {host.replace('.', ' [dot] ')}"
+        if roll < 0.92:
+            return f"{local} at {host.replace('.', ' dot ')}"
+        return f"{local}(@){host}"
+
+    def phone(self) -> str:
+        d, c = self.digits, self.r.choice
+        one = c((
+            f"+1 {d(3)} 555 0{d(3)}", f"+1{d(3)}5550{d(3)}", f"({d(3)}) 555-0{d(3)}", f"{d(3)}-555-0{d(3)}", f"{d(3)}.555.0{d(3)}", f"+44 7700 900{d(3)}", f"07700 900{d(3)}", f"+44 (0)20 7946 0{d(3)}", f"020 7946 0{d(3)}",
+            f"+49 30 23125-{d(3)}", f"030/23125{d(3)}", f"+33 1 99 00 {d(2)} {d(2)}", f"01 99 00 {d(2)} {d(2)}", f"+61 2 5550 {d(4)}", f"(02) 5550 {d(4)}", f"+6125550{d(4)}",
+        ))
+        return one + (f" ext. {d(2)}" if self.r.random() < 0.1 else "")
+
+    def id(self) -> str:
+        d, c = self.digits, self.r.choice
+        two, last = c(("BG", "NK", "TN", "ZZ", "QQ", "AB", "KT")), c("ABCD")
+        return c((f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"{two}{d(6)}{last}", f"{two} {d(2)} {d(2)} {d(2)} {last}", f"PX{d(7)}", f"0000{d(4)}-{c('IOU')}", f"0{d(10)}", f"0{d(1)} {d(3)} {d(3)} {d(3)}"))
+
+    def address(self) -> str:
+        c, r = self.r.choice, self.r
+        base, town = c(HEADS) + c(STREETS), c(HEADS) + c(TOWNS)
+        roll = r.random()
+        if roll < 0.5:
+            out = f"{r.randrange(1, 2400)} {c(('', '', '', 'North ', 'East ', 'W. ', 'S. '))}{base} {c(('Street', 'St.', 'Road', 'Rd', 'Avenue', 'Ave', 'Lane', 'Drive', 'Court', 'Blvd', 'Terrace'))}"
+            out += f", Apt {r.randrange(1, 60)}{c('ABC')}" if r.random() < 0.25 else ""
+            return out + c(("", f", {town}", f", {town} {self.digits(5)}", f", {town} {self.digits(5)}"))
+        if roll < 0.66:
+            out = f"{r.randrange(1, 240)} {c(('rue', 'avenue', 'chemin', 'impasse'))} {c(('de', 'des', 'du'))} {base}"
+        elif roll < 0.82:
+            out = f"{c(('Via', 'Calle'))} {base} {r.randrange(1, 150)}"
+        else:
+            out = f"{c(HEADS)}{c(('strasse', 'straße', 'allee', 'gasse', 'platz', 'weg'))} {r.randrange(1, 190)}{c(('', 'a', 'b'))}"
+        return out + c(("", f", {self.digits(5)} {town}", f", {self.digits(5)} {town}"))
+
+    def code(self) -> str:
+        c = self.r.choice
+        name = c((f"{c(VERBS)}_{c(NOUNS)}", f"{c(VERBS)}_{c(NOUNS)}_{c(PRODUCTS)}"))
+        return c((f"{name}()", f"`{name}`"))
+
+    def other(self, slot: str) -> str:
+        c, r, d = self.r.choice, self.r, self.digits
+        return {
+            "noun": lambda: c(NOUNS), "noun1": lambda: c(NOUNS), "verb": lambda: c(VERBS), "adj": lambda: c(ADJECTIVES), "product": lambda: c(PRODUCTS), "class": lambda: c(STEMS) + c(ROLES), "code": self.code,
+            "plain": lambda: f"{c(VERBS)}_{c(NOUNS)}", "name_like": lambda: f"{c(VERBS)}_{c(NOUNS)}", "component": lambda: f"{c(PAIRS[0])} {c(PAIRS[1])}", "version": lambda: f"{r.randrange(10)}.{r.randrange(40)}.{r.randrange(30)}" + c(("", "", "-rc1", "+local", "-beta.2")),
+            "when": lambda: c(("during shutdown", "on cold start", "since Tuesday", "right after login", "at midnight UTC", "behind a proxy")), "error": lambda: c(("SIGBUS", "EXIT 137", "ENOLEASE", "StaleEpoch", "code 74", "Q-4021", "panic: index out of span")),
+            "path": lambda: f"{c(('src', 'lib', 'cmd', 'tools'))}/{c(PRODUCTS)}/{c(NOUNS)}_{c(PRODUCTS)[:3]}.{c(('rs', 'go', 'py', 'ts'))}", "hash": lambda: "".join(c("0123456789abcdef") for _ in range(c((7, 7, 40)))), "long": lambda: str(r.randrange(1, 10)) + d(c((7, 8, 9, 10))),
+            "small": lambda: str(r.randrange(1, 9999)), "two": lambda: str(r.randrange(1, 99)), "three": lambda: f"{d(3)}.{d(3)}.{d(4)}", "three3": lambda: str(r.randrange(1, 999)), "date": lambda: f"20{d(2)}-0{r.randrange(1, 10)}-{r.randrange(10, 29)}",
+        }[slot]()
+
+
+KINDS = {"name": "name", "email": "email", "phone": "phone", "id": "identity_number", "address": "street_address"}
+
+
+def labelled(lines: int, seed: int = 7) -> list[list[tuple[str, str | None]]]:
+    """`lines` texts of one to four lines or sentences each, as (text, kind or None) parts."""
+    fill, out = Filler(seed), []
+    for _ in range(lines):
+        parts: list[tuple[str, str | None]] = []
+        for k in range(fill.r.choice((1, 2, 2, 3, 4))):
+            if k:
+                parts.append((fill.r.choice(("\n", "\n", " ", " ", "\n\n")), None))
+            if fill.r.random() < 0.05:
+                parts.append(("> ", None))
+            line = fill.r.choice(FOUND if fill.r.random() < 0.5 else CLEAN)
+            shout = fill.r.random() < 0.06
+            for piece in re.split(r"(\{[a-z_0-9]+\})", line):
+                slot = piece[1:-1] if re.fullmatch(r"\{[a-z_0-9]+\}", piece) else ""
+                if slot in KINDS:
+                    text, kind = getattr(fill, slot)(), KINDS[slot]
+                else:
+                    text, kind = fill.other(slot) if slot else piece, None
+                if text:
+                    parts.append((text.upper() if shout else text, kind))
+        out.append(parts)
+    return out

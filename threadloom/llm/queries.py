@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chunking, cooccur, langid, mixing, near_dup, packing, tokens
+from threadloom.llm import chunking, cooccur, langid, mixing, near_dup, packing, pii, tokens
 from threadloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.cooccurrence(cooccur.artifact_baskets(table(spark, d, "artifact")), min_lift=2.0).select("item_a", "item_b")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.mentions(pii.bodies(table(spark, d, "curated")))
+    return found.select("record_id", "thread_pos", "pii_kind", "start_pos").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(pii.bodies(table(spark, d, "curated"))).distinct()
+
+
 def _sizes(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     return tokens.count_tokens(table(spark, d, "documents"), "doc_id", "text", *keep)
 
@@ -95,7 +104,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p4_pairs, p6_assign, p6_fill, p6_summary, p7_chosen, p7_order, p7_shares, p8_found, p8_segments, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_redacted, p6_assign, p6_fill, p6_summary, p7_chosen, p7_order, p7_shares, p8_found, p8_segments, p8_documents)}
 
 
 _PAIRS = r"""
