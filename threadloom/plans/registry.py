@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import nested_queries
+from threadloom.plans import metric_queries, nested_queries
 
-MODULES = (nested_queries,)
+MODULES = (metric_queries, nested_queries)
 
 
 def queries() -> dict:
