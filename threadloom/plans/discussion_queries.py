@@ -1,0 +1,393 @@
+"""Queries on curation, extraction, retrieval, prompting and reports, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.functions import exprs as X
+from threadloom.functions import vocab as V
+from threadloom.operators import align, code_chunks, compare, curate, extract, prompting, reports, retrieve, type_metrics
+from threadloom.plans.metric_queries import ART, FLAGS, _harm, _ratio, rounded
+from threadloom.session import cut, table
+
+# ---------------------------------------------------------------- curation
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Each snapshot once; rows delivered twice are identical."""
+    return table(spark, d, "raw_issue").dropDuplicates(["snapshot_id"])
+
+
+def _curated(spark: SparkSession, d: str) -> DataFrame:
+    return curate.curate(_raw(spark, d), distinct=True)
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "curated").dropDuplicates(["record_id"])
+
+
+def formatted_discussion(spark, d):
+    return _curated(spark, d).select("snapshot_id", "formatted_discussion")
+
+
+def file_references(spark, d):
+    return _curated(spark, d).select("snapshot_id", F.array_join("files", "|").alias("files"))
+
+
+def thread_posts(spark, d):
+    e = _curated(spark, d).select("snapshot_id", F.posexplode("deliberation_thread").alias("pos", "c"))
+    return e.select("snapshot_id", "pos", "c.author_login", "c.author_association", "c.created_at", "c.body", "c.is_issue_body")
+
+
+def timeline_events(spark, d):
+    e = _curated(spark, d).select("snapshot_id", F.posexplode("timeline_events").alias("pos", "e"))
+    return e.select("snapshot_id", "pos", "e.event_type", "e.created_at", "e.actor_login", "e.label_name", "e.state_reason", "e.will_close_target", F.col("e.source.number").alias("source_number"))
+
+
+def linked_pull_requests(spark, d):
+    e = _curated(spark, d).select("snapshot_id", F.explode("resolution_artifacts.linked_pull_requests").alias("p"))
+    return e.select("snapshot_id", "p.number", "p.title", "p.state", "p.merged", "p.will_close_target", "p.referenced_at").distinct()
+
+
+def label_sets(spark, d):
+    return _curated(spark, d).select("snapshot_id", F.array_join("taxonomic_metadata.labels", "|").alias("labels"))
+
+
+def actor_typology(spark, d):
+    a = curate.actor_typology(_raw(spark, d))
+    return a.select("snapshot_id", "login", F.array_join("author_associations", "|").alias("author_associations"), F.array_join("roles", "|").alias("roles"), "comment_count")
+
+
+def dataset_summary(spark, d):
+    return curate.summarize(curate.curate(_raw(spark, d)))
+
+
+def state_distribution(spark, d):
+    return curate.state_distribution(_curated(spark, d))
+
+
+def comment_count_filter(spark, d):
+    return curate.with_comment_count(_raw(spark, d), 10, 25).select("snapshot_id", "repository", "number")
+
+
+def display_roles(spark, d):
+    e = _curated(spark, d).select(F.explode("deliberation_thread").alias("c"))
+    return e.groupBy(curate.role(F.col("c.author_association")).alias("role")).agg(F.count("*").alias("posts"))
+
+
+def earliest_issue(spark, d):
+    r = _raw(spark, d).groupBy("repository").agg(F.min("createdAt").alias("created_at"))
+    return r.select("repository", F.date_format(F.to_timestamp("created_at", "yyyy-MM-dd'T'HH:mm:ssX"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+# ---------------------------------------------------------------- extraction
+
+
+def rule_artifacts(spark, d):
+    a = extract.extract(_records(spark, d))
+    return a.select("record_id", "comment_idx", "artifact_idx", "type", "summary", F.array_join("tags", "|").alias("tags"), F.to_json("metadata").alias("metadata"))
+
+
+def rule_type_counts(spark, d):
+    a = extract.extract(_records(spark, d)).where("metadata['status_kind'] is null or metadata['status_kind'] <> 'mention'").where("type <> 'code_snippet'")
+    return a.select("record_id", "comment_idx", "type").distinct().groupBy("type").agg(F.count("*").alias("comments"))
+
+
+def rule_tag_inference(spark, d):
+    c = extract.comments(_records(spark, d), issue_body=True)
+    return c.select("record_id", "comment_idx", F.array_join(extract.tags(F.col("text")), "|").alias("tags"))
+
+
+def extraction_run_totals(spark, d):
+    return extract.run_totals(_records(spark, d))
+
+
+def comment_jobs(spark, d):
+    return extract.comments(_records(spark, d)).select("record_id", "comment_idx", "author", "link", "text")
+
+
+def normal_artifacts(spark, d):
+    a = extract.normal_artifacts(align.latest_artifacts(table(spark, d, "artifact")))
+    return a.select("artifact_id", "type", F.array_join(F.array_sort("tags"), "|").alias("tags"), F.size("metadata").alias("fields"))
+
+
+def _sides(spark, d):
+    """Rules over the latest record of each issue, against the artifacts that people made of it."""
+    last = _records(spark, d).groupBy("repository", "issue_number").agg(F.max_by("deliberation_thread", F.struct("ingested_at", "record_id")).alias("deliberation_thread"))
+    candidate = align.latest_artifacts(table(spark, d, "artifact")).where("side = 'human'")
+    return cut(compare.side_by_side(extract.extract(last, issue_body=True), candidate, "people"))
+
+
+def comparison_per_issue(spark, d):
+    return rounded(compare.per_issue(_sides(spark, d)))
+
+
+def comparison_macro(spark, d):
+    return rounded(compare.macro(compare.per_issue(_sides(spark, d))))
+
+
+def comparison_per_type(spark, d):
+    return rounded(compare.per_type(_sides(spark, d)))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").dropDuplicates(["doc_id"])
+
+
+def bm25_topk(spark, d, k: int = 10):
+    docs = _documents(spark, d).select("doc_id", "text")
+    return rounded(retrieve.bm25(docs, docs.where("doc_id % 100 = 0"), "doc_id", "doc_id", "text", k))
+
+
+def dense_topk(spark, d, k: int = 10):
+    v = table(spark, d, "embeddings")
+    return rounded(retrieve.dense(v, v.where("vec_id % 100 = 0"), "vec_id", "embedding", k))
+
+
+def hybrid_rrf(spark, d):
+    """Documents and vectors with the same place in their numbering belong together."""
+    first = F.lit(80_000_000)
+    lexical = bm25_topk(spark, d, 50).select((F.col("query_id") - first).alias("query_id"), (F.col("doc") - first).alias("doc"), "rank")
+    vectors = dense_topk(spark, d, 50).select("query_id", "doc", "rank")
+    return rounded(retrieve.fuse([lexical, vectors], 60, 20), 9)
+
+
+def _chunks(spark, d):
+    return table(spark, d, "chunk").dropDuplicates(["chunk_no"])
+
+
+def context_budget(spark, d):
+    c = retrieve.shortest_context(_chunks(spark, d), ["repository"], "chunk_no", "text", 10, 2_000)
+    return c.select("repository", "chunk_no", "chars", "place", "total")
+
+
+def sliding_chunks(spark, d):
+    w = retrieve.line_windows(_chunks(spark, d), "chunk_no", "text", 20, 5)
+    return w.select("chunk_no", "start_line", "end_line", F.char_length("text").alias("chars"))
+
+
+def structural_chunks(spark, d):
+    f = _chunks(spark, d).select("repository", "file_path", "text")
+    return code_chunks.chunk_files(f).select("repository", "chunk_id", "symbol_name", "language", "start_line", "end_line", F.char_length("text").alias("chars"))
+
+
+# ---------------------------------------------------------------- prompts
+
+
+def issue_prompts(spark, d):
+    r = _records(spark, d).groupBy("repository", "issue_number").agg(F.max_by("input_vector", F.struct("ingested_at", "record_id")).alias("v"))
+    issues = r.select("repository", "issue_number", F.col("issue_number").alias("number"), "v.title", "v.body")
+    near = retrieve.shortest_context(_chunks(spark, d), ["repository"], "chunk_no", "text", 10, 32_768)
+    chunks = issues.select("repository", "issue_number").join(near, "repository").select("repository", "issue_number", "chunk_id", "file_path", "symbol_name", "start_line", "end_line", "text")
+    p = prompting.prompts_within(issues, chunks, ["repository", "issue_number"], 8_000, 10)
+    return p.select("repository", "issue_number", F.char_length("prompt").alias("chars"), "context_chunks")
+
+
+def _responses(spark, d):
+    a = align.latest_artifacts(table(spark, d, "artifact")).where("side = 'human'")
+    return prompting.example_responses(a, ["repository", "issue_number"], list(align.ORDER), 5)
+
+
+def example_responses(spark, d):
+    return _responses(spark, d)
+
+
+def self_excluding_examples(spark, d):
+    e = _responses(spark, d).select("repository", "issue_number")
+    x = retrieve.exclude_self(e, e, ["issue_number"], ["issue_number"], 3)
+    return x.select("repository", "issue_number", "example_no", "example_issue_number")
+
+
+def response_comments(spark, d):
+    r = _responses(spark, d)
+    return r.select("repository", "issue_number", F.posexplode(prompting.split_response("response")).alias("pos", "comment"))
+
+
+def resume_anti_join(spark, d):
+    a = align.latest_artifacts(table(spark, d, "artifact"))
+    wanted = a.where("side = 'human'").select("repository", "issue_number").distinct()
+    return retrieve.pending(wanted, a.where("side = 'model'"), ["repository", "issue_number"])
+
+
+def model_routing(spark, d):
+    m = table(spark, d, "artifact").where("model_id is not null").select("model_id").distinct()
+    p = prompting.provider("model_id")
+    return m.select("model_id", p["provider"].alias("provider"), p["model"].alias("model"), prompting.slug("model_id").alias("folder"), prompting.model_recency("model_id").alias("recency"))
+
+
+def repository_slugs(spark, d):
+    r = table(spark, d, "raw_issue").select("repository").distinct()
+    return r.select("repository", prompting.slug("repository").alias("folder"), prompting.unslug(prompting.slug("repository")).alias("back"))
+
+
+# ---------------------------------------------------------------- reports
+
+
+def dataset_stats(spark, d):
+    return reports.dataset_stats(align.latest_artifacts(table(spark, d, "artifact")))
+
+
+def _by_type(spark, d):
+    return reports.mean_by_type(type_metrics.per_type(type_metrics.type_flags(align.aligned(table(spark, d, "artifact")))), "f1").withColumn("f1", F.round("f1", 9))
+
+
+def mean_f1_by_type(spark, d):
+    return rounded(_by_type(spark, d))
+
+
+def top_types(spark, d):
+    return rounded(reports.top_types(_by_type(spark, d), "f1").select("model_id", "type", "f1", "rank"))
+
+
+def type_ring(spark, d):
+    return reports.spread(_by_type(spark, d), "f1").select("model_id", "type", "place")
+
+
+def box_stats(spark, d):
+    issues = type_metrics.per_issue(type_metrics.type_flags(align.aligned(table(spark, d, "artifact"))))
+    return rounded(reports.box_stats(issues, "f1"))
+
+
+def tag_shares(spark, d):
+    return rounded(reports.tag_shares(align.latest_artifacts(table(spark, d, "artifact"))))
+
+
+def viewer_rows(spark, d):
+    return reports.viewer_rows(table(spark, d, "raw_issue"), align.latest_artifacts(table(spark, d, "artifact")))
+
+
+def cost_per_issue(spark, d):
+    c = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("model_id")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("requests"))
+    return rounded(reports.cost_per_issue(c), 4)
+
+
+QUERIES = (
+    formatted_discussion, file_references, thread_posts, timeline_events, linked_pull_requests, label_sets, actor_typology, dataset_summary, state_distribution, comment_count_filter, display_roles, earliest_issue,
+    rule_artifacts, rule_type_counts, rule_tag_inference, extraction_run_totals, comment_jobs, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type,
+    bm25_topk, dense_topk, hybrid_rrf, context_budget, sliding_chunks, structural_chunks, issue_prompts, example_responses, self_excluding_examples, response_comments, resume_anti_join, model_routing, repository_slugs,
+    dataset_stats, mean_f1_by_type, top_types, type_ring, box_stats, tag_shares, viewer_rows, cost_per_issue,
+)
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in QUERIES}
+
+
+# ---------------------------------------------------------------- SQL
+
+_STRIP, _SQUASH = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')", r"trim(regexp_replace(%s, '\s+', ' ', 'g'))"
+_ROLE = "CASE %s " + " ".join(f"WHEN '{a}' THEN '{r}'" for a, r in V.ROLES.items()) + " ELSE 'external' END"
+_LOGIN = rf"CASE WHEN {_STRIP % '%s'} <> '' THEN %s END"
+
+
+def _login(x: str) -> str:
+    return f"CASE WHEN {_STRIP % x} <> '' THEN {x} END"
+
+
+RAW = f"""
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id) AS rn FROM raw_issue) WHERE rn = 1),
+c0 AS (SELECT snapshot_id, unnest(comments) AS c, generate_subscripts(comments, 1) AS k FROM r),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, c.id ORDER BY k) AS nth FROM c0 WHERE c IS NOT NULL),
+o AS (SELECT snapshot_id, -1 AS k, '' AS t, {_login('author.login')} AS login, authorAssociation AS association, createdAt AS created_at,
+  concat_ws(chr(10) || chr(10), nullif({_STRIP % 'title'}, ''), nullif({_STRIP % 'body'}, '')) AS body, true AS opening FROM r),
+posts AS (
+  SELECT * FROM o WHERE body <> ''
+  UNION ALL SELECT snapshot_id, k, coalesce(c.createdAt, '') AS t, {_login('c.author.login')}, c.authorAssociation, c.createdAt, coalesce(c.body, ''), false FROM c1 WHERE c.id IS NULL OR nth = 1),
+t0 AS (SELECT snapshot_id, unnest(timelineItems) AS e, generate_subscripts(timelineItems, 1) AS k FROM r),
+t1 AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, e ORDER BY k) AS nth FROM t0 WHERE e IS NOT NULL)"""
+
+RECORDS = """
+rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id) AS rn FROM curated) WHERE rn = 1),
+post AS (SELECT record_id, unnest(deliberation_thread) AS c, generate_subscripts(deliberation_thread, 1) - 1 AS comment_idx FROM rec)"""
+
+
+def _re(words: str) -> str:
+    return "(?i)" + words.replace("'", "''")
+
+
+_FIRST = rf"(CASE WHEN regexp_extract({_SQUASH % 'text'}, '^(.+?[.?!])(?:\s|$)', 1) <> '' THEN regexp_extract({_SQUASH % 'text'}, '^(.+?[.?!])(?:\s|$)', 1) ELSE {_SQUASH % 'text'} END)"
+
+
+def _tag_sql() -> str:
+    words: dict[str, list[str]] = {}
+    for n, t in (*V.TAG_RULES, ("bug", "bug")):
+        words.setdefault(t, []).append(n)
+    cases = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{n}')" for n in ns) + f" THEN '{t}' END" for t, ns in words.items())
+    return f"coalesce(nullif(concat_ws('|', {cases}), ''), 'incorrect_behavior')"
+
+
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z_][A-Za-z0-9_]+|\\d+')"
+_DOCS = "docs AS (SELECT doc_id, any_value(text) AS text FROM documents GROUP BY doc_id)"
+
+
+def _bm25(k: int) -> str:
+    return f"""{_DOCS}, tk AS (SELECT doc_id, {_TOKENS} AS l FROM docs), st AS (SELECT count(*) AS n, avg(len(l)) AS m FROM tk),
+po AS (SELECT doc_id, token, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(l) AS len, unnest(l) AS token FROM tk) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM po GROUP BY token), rw AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
+w AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw),
+sc AS (SELECT q.doc_id AS query_id, p.doc_id AS doc, round(sum(q.tf * idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.len / m))), 9) AS score FROM po q JOIN w USING (token) JOIN po p USING (token), st WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= {k})"""
+
+
+def _dense(k: int) -> str:
+    return f"""ds AS (SELECT q.vec_id AS query_id, v.vec_id AS doc, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM ds) WHERE rank <= {k})"""
+
+
+def oracle_sql() -> dict[str, str]:
+    rules = (("proposed_solution", "text", V.SOLUTION_WORDS), ("suggestion", _FIRST, V.SUGGESTION_WORDS), ("status_update", "text", V.STATUS_WORDS), ("task_assignment", "text", V.TASK_WORDS), ("priority_discussion", _FIRST, V.PRIORITY_WORDS), ("problem_statement", "text", V.PROBLEM_WORDS))
+    lines = r"list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+    question = rf"(len(list_filter({lines}, lambda s: s LIKE '%?' AND length(s) <= 220 AND s NOT LIKE '###%')) > 0 OR regexp_matches({_FIRST}, '{_re(V.QUESTION_START)}'))"
+    hits = " UNION ALL ".join([f"SELECT 'question' AS type FROM body WHERE {question}"] + [f"SELECT '{k}' FROM body WHERE regexp_matches({x}, '{_re(w)}')" for k, x, w in rules])
+    topics = "CASE type " + " ".join(f"WHEN '{k}' THEN '{V.topic(k)}'" for k in V.ARTIFACT_TYPES) + " END"
+    short = rf"CASE WHEN length({_SQUASH % 'summary'}) <= 220 THEN {_SQUASH % 'summary'} ELSE regexp_replace({_SQUASH % 'summary'}[:217], '\s+$', '') || '...' END"
+    responses = f"""ex AS (SELECT *, row_number() OVER (PARTITION BY repository, issue_number ORDER BY comment_idx NULLS FIRST, artifact_idx NULLS FIRST, artifact_id) AS place FROM art WHERE side = 'human' AND {topics} IS NOT NULL AND {_STRIP % 'summary'} <> ''),
+ rs AS (SELECT repository, issue_number, string_agg('[' || {topics} || '] ' || {short}, chr(10) ORDER BY place) AS response FROM ex WHERE place <= 5 GROUP BY ALL)"""
+    by_type = FLAGS + f""", n AS (SELECT model_id, repository, count(DISTINCT issue_number) AS issues FROM f GROUP BY ALL), x AS (SELECT model_id, repository, type, sum(h * l) AS tp, sum((1 - h) * l) AS fp, sum(h * (1 - l)) AS fn FROM f GROUP BY ALL),
+ bt AS (SELECT model_id, type, round(avg({_harm(_ratio('tp', '(tp + fp)'), _ratio('tp', '(tp + fn)'))}), 9) AS f1, count(*) AS repositories FROM x GROUP BY ALL)"""
+    return {
+        "formatted_discussion": f"WITH {RAW} SELECT r.snapshot_id, coalesce(string_agg(coalesce(nullif(login, ''), 'unknown') || ' (' || {_ROLE % 'association'} || '):' || {_SQUASH % 'p.body'}, chr(10) ORDER BY t, k), '') AS formatted_discussion FROM r LEFT JOIN (SELECT * FROM posts WHERE {_SQUASH % 'body'} <> '') p USING (snapshot_id) GROUP BY ALL",
+        "file_references": "SELECT DISTINCT snapshot_id, array_to_string(files, '|') AS files FROM curated",
+        "thread_posts": f"WITH {RAW} SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY opening DESC, t, k) - 1 AS pos, login AS author_login, association AS author_association, created_at, body, opening AS is_issue_body FROM posts",
+        "timeline_events": f"""WITH {RAW} SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY coalesce(e.createdAt, ''), k) - 1 AS pos, e.__typename AS event_type, e.createdAt AS created_at, {_login('e.actor.login')} AS actor_login,
+ CASE WHEN e.__typename IN ('LabeledEvent', 'UnlabeledEvent') THEN e.label.name END AS label_name, CASE WHEN e.__typename = 'ClosedEvent' THEN e.stateReason END AS state_reason,
+ CASE WHEN e.__typename = 'CrossReferencedEvent' THEN coalesce(e.willCloseTarget, false) END AS will_close_target, CASE WHEN e.__typename = 'CrossReferencedEvent' THEN e.source.number END AS source_number FROM t1 WHERE nth = 1""",
+        "linked_pull_requests": f"WITH {RAW} SELECT DISTINCT snapshot_id, e.source.number AS number, e.source.title AS title, e.source.state AS state, e.source.merged AS merged, coalesce(e.willCloseTarget, false) AS will_close_target, e.createdAt AS referenced_at FROM t1 WHERE e.__typename = 'CrossReferencedEvent' AND e.source.__typename = 'PullRequest'",
+        "label_sets": f"WITH {RAW} SELECT r.snapshot_id, coalesce(x.labels, '') AS labels FROM r LEFT JOIN (SELECT snapshot_id, string_agg(DISTINCT n, '|' ORDER BY n) AS labels FROM (SELECT snapshot_id, unnest(labels).name AS n FROM r) WHERE n <> '' GROUP BY ALL) x USING (snapshot_id)",
+        "actor_typology": f"""WITH {RAW}, a AS (SELECT snapshot_id, {_login('author.login')} AS login, authorAssociation AS association, 'issue_author' AS role, 0 AS n FROM r UNION ALL SELECT snapshot_id, {_login('c.author.login')}, c.authorAssociation, 'commenter', 1 FROM c0 WHERE c IS NOT NULL
+ UNION ALL SELECT snapshot_id, {_login('e.actor.login')}, NULL, coalesce(e.__typename, 'timeline_actor'), 0 FROM t0 WHERE e IS NOT NULL)
+ SELECT snapshot_id, login, coalesce(string_agg(DISTINCT nullif(association, ''), '|' ORDER BY nullif(association, '')), '') AS author_associations, string_agg(DISTINCT role, '|' ORDER BY role) AS roles, sum(n) AS comment_count FROM a WHERE login IS NOT NULL GROUP BY ALL""",
+        "dataset_summary": f"""WITH {RAW}, p AS (SELECT e FROM t0 WHERE e.__typename = 'CrossReferencedEvent' AND e.source.__typename = 'PullRequest')
+ SELECT (SELECT count(*) FROM r) AS record_count, (SELECT count(DISTINCT snapshot_id) FROM (SELECT snapshot_id FROM o WHERE body <> '' UNION ALL SELECT snapshot_id FROM c0 WHERE c IS NOT NULL)) AS records_with_comments,
+ (SELECT count(DISTINCT snapshot_id) FROM t0 WHERE e IS NOT NULL) AS records_with_timeline_events, (SELECT count(*) FROM p) AS linked_pull_request_count, (SELECT count(*) FROM p WHERE e.source.merged) AS merged_linked_pull_request_count""",
+        "state_distribution": f"WITH {RAW} SELECT state AS issue_state, count(*) AS n FROM r GROUP BY ALL",
+        "comment_count_filter": f"WITH {RAW} SELECT snapshot_id, repository, number FROM r WHERE len(list_filter(coalesce(comments, []), lambda x: x IS NOT NULL)) BETWEEN 10 AND 25",
+        "display_roles": f"WITH {RAW} SELECT {_ROLE % 'association'} AS role, count(*) AS posts FROM posts GROUP BY ALL",
+        "earliest_issue": f"WITH {RAW} SELECT repository, strftime(strptime(min(createdAt), '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%d %H:%M:%S') AS created_at FROM r GROUP BY ALL",
+        "rule_type_counts": f"WITH {RECORDS}, body AS (SELECT record_id, comment_idx, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL AND NOT coalesce(c.is_issue_body, false) AND {_STRIP % 'c.body'} <> '') SELECT type, count(*) AS comments FROM ({hits}) GROUP BY ALL",
+        "rule_tag_inference": f"WITH {RECORDS}, body AS (SELECT record_id, comment_idx, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL) SELECT record_id, comment_idx, {_tag_sql()} AS tags FROM body",
+        "comment_jobs": f"WITH {RECORDS} SELECT record_id, comment_idx, coalesce(c.author_login, '') AS author, coalesce(c.url, '') AS link, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL AND NOT coalesce(c.is_issue_body, false)",
+        "bm25_topk": f"WITH {_bm25(10)} SELECT query_id, doc, round(score, 6) AS score, rank FROM lex",
+        "dense_topk": f"WITH {_dense(10)} SELECT query_id, doc, round(score, 6) AS score, rank FROM den",
+        "hybrid_rrf": f"""WITH {_bm25(50)}, {_dense(50)}, u AS (SELECT query_id - 80000000 AS query_id, doc - 80000000 AS doc, 0 AS list_no, rank FROM lex UNION ALL SELECT query_id, doc, 1, rank FROM den),
+ fu AS (SELECT query_id, doc, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf_score, min(list_no * 1000000 + rank) AS seen FROM u GROUP BY ALL)
+ SELECT query_id, doc, round(rrf_score, 9) AS rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, seen, doc) AS rank FROM fu) WHERE rank <= 20""",
+        "context_budget": """WITH c AS (SELECT chunk_no, any_value(repository) AS repository, length(any_value(text)) AS chars FROM chunk GROUP BY chunk_no), w AS (SELECT *, row_number() OVER o AS place, sum(chars) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM c WHERE chars > 0 WINDOW o AS (PARTITION BY repository ORDER BY chars, chunk_no))
+ SELECT repository, chunk_no, chars, place, total FROM w WHERE place <= 10 AND total <= 2000""",
+        "sliding_chunks": r"""WITH c AS (SELECT chunk_no, regexp_split_to_array(regexp_replace(any_value(text), '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS l FROM chunk WHERE text <> '' GROUP BY chunk_no), s AS (SELECT chunk_no, l, unnest(range(0, len(l), 15)) AS s FROM c),
+ w AS (SELECT chunk_no, s + 1 AS start_line, least(s + 20, len(l)) AS end_line, length(regexp_replace(array_to_string(l[s + 1:s + 20], chr(10)), '^\s+|\s+$', '', 'g')) AS chars FROM s WHERE s = 0 OR s + 5 < len(l)) SELECT * FROM w WHERE chars > 0""",
+        "example_responses": f"WITH {ART}, {responses} SELECT * FROM rs",
+        "self_excluding_examples": f"WITH {ART}, {responses}, m AS (SELECT a.repository, a.issue_number, b.issue_number AS example_issue_number, row_number() OVER (PARTITION BY a.repository, a.issue_number ORDER BY b.issue_number) AS example_no FROM rs a JOIN rs b ON a.repository = b.repository AND a.issue_number <> b.issue_number) SELECT repository, issue_number, example_no, example_issue_number FROM m WHERE example_no <= 3",
+        "resume_anti_join": f"WITH {ART} SELECT DISTINCT repository, issue_number FROM art a WHERE side = 'human' AND NOT EXISTS (SELECT 1 FROM art b WHERE b.side = 'model' AND b.repository = a.repository AND b.issue_number = a.issue_number)",
+        "model_routing": r"SELECT DISTINCT model_id, 'api' AS provider, model_id AS model, replace(model_id, '/', '__') AS folder, coalesce(try_cast(regexp_extract(model_id, '(\d+(?:\.\d*)?)', 1) AS DOUBLE), 0) AS recency FROM artifact WHERE model_id IS NOT NULL",
+        "repository_slugs": "SELECT DISTINCT repository, replace(repository, '/', '__') AS folder, replace(replace(repository, '/', '__'), '__', '/') AS back FROM raw_issue",
+        "dataset_stats": f"WITH {ART} SELECT count(DISTINCT repository) AS repositories, count(DISTINCT model_id) AS models, count(DISTINCT (repository, issue_number)) AS issues, count(*) FILTER (side = 'human') AS human_artifacts, count(*) FILTER (side = 'model') AS model_artifacts, count(DISTINCT type) AS types, (SELECT count(DISTINCT t) FROM (SELECT nullif(translate(lower(regexp_replace(unnest(raw_tags), '^\\s+|\\s+$', '', 'g')), ' -', '__'), '') AS t FROM art)) AS tags FROM art",
+        "mean_f1_by_type": f"WITH {by_type} SELECT model_id, type, round(f1, 6) AS f1, repositories FROM bt",
+        "top_types": f"WITH {by_type} SELECT model_id, type, round(f1, 6) AS f1, rank FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY f1 DESC, type) AS rank FROM bt) WHERE rank <= 12",
+        "box_stats": f"WITH {FLAGS}, i AS (SELECT model_id, {_harm(_ratio('b', 'mc'), _ratio('b', 'hc'))} AS f1 FROM ci) SELECT model_id, count(*) AS issues, round(min(f1), 6) AS least, round(quantile_cont(f1, 0.25), 6) AS q1, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.75), 6) AS q3, round(max(f1), 6) AS most, round(avg(f1), 6) AS mean FROM i GROUP BY ALL",
+        "cost_per_issue": "SELECT o_orderpriority AS model_id, round(sum(o_totalprice) / count(*), 4) AS cost_per_issue FROM orders GROUP BY ALL",
+    }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import metric_queries, nested_queries
+from threadloom.plans import discussion_queries, metric_queries, nested_queries
 
-MODULES = (metric_queries, nested_queries)
+MODULES = (metric_queries, discussion_queries, nested_queries)
 
 
 def queries() -> dict:
