@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x where x is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ratio(n: str | Column, d: str | Column) -> Column:
     """n / d; 0/0 is 1 and n/0 is 0."""
     n, d = col(n), col(d)
@@ -59,22 +65,20 @@ def snake(x: str | Column) -> Column:
 
 def first_sentence(x: str | Column) -> Column:
     """The squashed text up to the first full stop, question or exclamation mark before a blank or the end; else all of it."""
-    s = squash(x)
-    hit = F.regexp_extract(s, r"^(.+?[.?!])(?:\s|$)", 1)
-    return F.when(hit != "", hit).otherwise(s)
+    return let(squash(x), lambda s: let(F.regexp_extract(s, r"^(.+?[.?!])(?:\s|$)", 1), lambda hit: F.when(hit != "", hit).otherwise(s)))
 
 
 def clean_summary(x: str | Column, fallback: str | Column) -> Column:
     """Squashed, freed of blanks, dashes and colons at the ends, at most 220 characters; longer ones are cut at 217 plus dots."""
     s = F.regexp_replace(F.regexp_replace(col(x), r"(?U)\s+", " "), r"^[ \-:\n\t]+|[ \-:\n\t]+$", "")
-    short = F.when(F.char_length(s) <= 220, s).otherwise(F.concat(F.regexp_replace(F.substring(s, 1, 217), r"(?U)\s+$", ""), F.lit("...")))
-    return F.when(s == "", fallback if isinstance(fallback, Column) else F.lit(fallback)).otherwise(short)
+    cut = lambda t: F.when(F.char_length(t) <= 220, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, 217), r"(?U)\s+$", ""), F.lit("...")))
+    return let(s, lambda t: F.when(t == "", fallback if isinstance(fallback, Column) else F.lit(fallback)).otherwise(cut(t)))
 
 
 def truncate(x: str | Column, limit: int) -> Column:
     """Squashed text of at most `limit` characters, the last three of which are dots if it was cut."""
-    s = squash(x)
-    return F.when(F.char_length(s) <= limit, s).otherwise(F.concat(F.regexp_replace(F.substring(s, 1, limit - 3), r"(?U)\s+$", ""), F.lit("...")))
+    short = lambda s: F.concat(F.regexp_replace(F.substring(s, 1, limit - 3), r"(?U)\s+$", ""), F.lit("..."))
+    return let(squash(x), lambda s: F.when(F.char_length(s) <= limit, s).otherwise(short(s)))
 
 
 def lines(x: str | Column) -> Column:
@@ -107,15 +111,18 @@ def _trigrams(p: Column) -> Column:
 def similarities(a: str | Column, b: str | Column) -> dict[str, Column]:
     """token_f1, token_jaccard, token_containment and char_ngram_jaccard of two normalised phrases; 1 if both are empty, 0 if one is."""
     a, b = col(a), col(b)
-    x, y, g, h = _tokens(a), _tokens(b), _trigrams(a), _trigrams(b)
-    n, both = F.size(F.array_intersect(x, y)), F.size(F.array_intersect(g, h))
-    of = {
-        "token_f1": harmonic(n / F.size(y), n / F.size(x)),
-        "token_jaccard": n / (F.size(x) + F.size(y) - n),
-        "token_containment": n / F.least(F.size(x), F.size(y)),
-        "char_ngram_jaccard": both / (F.size(g) + F.size(h) - both),
+
+    def over(sets: Callable[[Column], Column], score: Callable[[Column, Column, Column], Column]) -> Column:
+        """The score from the sizes of the common part and of the two sets."""
+        sizes = let(F.struct(sets(a).alias("x"), sets(b).alias("y")), lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("n"), F.size(s["x"]).alias("a"), F.size(s["y"]).alias("b")))
+        return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(let(sizes, lambda s: score(s["n"], s["a"], s["b"])))
+
+    return {
+        "token_f1": over(_tokens, lambda n, x, y: harmonic(n / y, n / x)),
+        "token_jaccard": over(_tokens, lambda n, x, y: n / (x + y - n)),
+        "token_containment": over(_tokens, lambda n, x, y: n / F.least(x, y)),
+        "char_ngram_jaccard": over(_trigrams, lambda n, x, y: n / (x + y - n)),
     }
-    return {k: F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(v) for k, v in of.items()}
 
 
 def logistic_score(raw: str | Column, mode: str = "sigmoid", clip_min: float = 0.0, temperature: float = 2.0, bias: float = 0.0) -> Column:

@@ -17,21 +17,24 @@ def _has(text: Column, words: str) -> Column:
 
 def tags(text: Column) -> Column:
     """Tags whose text occurs anywhere, in the order of the rules, then ``bug``; ``incorrect_behavior`` if there is none."""
-    low = F.lower(text)
     allowed = set(V.ALLOWED_TAGS)
-    hits = [F.when(low.contains(n), F.lit(t)) for n, t in V.TAG_RULES if t in allowed] + [F.when(low.contains("bug"), F.lit("bug"))]
-    found = F.array_distinct(F.array_compact(F.array(*hits)))
-    return F.when(F.size(found) == 0, F.array(F.lit("incorrect_behavior"))).otherwise(found)
+
+    def of(low: Column) -> Column:
+        hits = [F.when(low.contains(n), F.lit(t)) for n, t in V.TAG_RULES if t in allowed] + [F.when(low.contains("bug"), F.lit("bug"))]
+        return F.array_distinct(F.array_compact(F.array(*hits)))
+
+    return X.let(X.let(F.lower(text), of), lambda found: F.when(F.size(found) == 0, F.array(F.lit("incorrect_behavior"))).otherwise(found))
 
 
 def metadata(kind: str, **given: Column | str) -> Column:
     """The fields of a type as a map; what isn't given, is null or empty is ``unknown``."""
     value = lambda f: F.lit(given[f]) if isinstance(given.get(f), str) else given.get(f, F.lit("unknown"))
-    return F.create_map(*[x for f in V.METADATA_FIELDS[kind] for x in (F.lit(f), F.coalesce(F.when(value(f) != "", value(f)), F.lit("unknown")))])
+    return F.create_map(*[x for f in V.METADATA_FIELDS[kind] for x in (F.lit(f), F.coalesce(F.nullif(value(f), F.lit("")), F.lit("unknown")))])
 
 
 def _artifact(kind: str, summary: Column, found: Column, **given) -> Column:
-    return F.struct(F.lit(kind).alias("type"), X.clean_summary(summary, kind.replace("_", " ")).alias("summary"), found.alias("tags"), metadata(kind, **given).alias("metadata"))
+    """An artifact; summary is a cleaned one, empty if nothing is left of it."""
+    return F.struct(F.lit(kind).alias("type"), _or(summary, kind.replace("_", " ")).alias("summary"), found.alias("tags"), metadata(kind, **given).alias("metadata"))
 
 
 def _or(x: Column, other: str) -> Column:
@@ -44,8 +47,7 @@ def code_blocks(text: Column) -> Column:
     def one(block: Column) -> Column:
         language = X.strip(F.regexp_extract(block, r"^```([^\n`]*)\n", 1))
         body = X.strip(F.regexp_extract(block, r"(?s)^```[^\n`]*\n(.*)```$", 1))
-        kind = F.when(F.lower(body).contains("error"), "log").otherwise("example")
-        return F.when(body != "", _artifact("code_snippet", F.concat(F.lit("Code block showing "), X.first_sentence(body)), tags(block), language=_or(language, "plaintext"), snippet_kind=kind, intended_use="illustration"))
+        return X.let(body, lambda body: F.when(body != "", _artifact("code_snippet", X.clean_summary(F.concat(F.lit("Code block showing "), X.first_sentence(body)), ""), tags(block), language=_or(language, "plaintext"), snippet_kind=F.when(F.lower(body).contains("error"), "log").otherwise("example"), intended_use="illustration")))
 
     return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(FENCE), F.lit(0)), one))
 
@@ -58,27 +60,29 @@ def with_artifacts(df: DataFrame, text: str = "text", into: str = "artifacts") -
     t = F.col(text)
     df = df.withColumns({"__first": X.first_sentence(t), "__lines": X.lines(t), "__tags": tags(t), "__low": F.lower(t), "__blocks": code_blocks(t)})
     df = df.withColumn("__asked", F.filter("__lines", lambda s: s.endswith("?") & (F.char_length(s) <= 220) & ~s.startswith("###")))
-    first, asked, low, found = (F.col(c) for c in ("__first", "__asked", "__low", "__tags"))
+    cleaned = {"__sum": X.clean_summary("__first", ""), "__ask": X.clean_summary(F.coalesce(F.get("__asked", F.lit(0)), F.col("__first")), ""), "__line": X.clean_summary(F.coalesce(F.get("__lines", F.lit(0)), F.lit("")), "")}
+    df = df.withColumns(cleaned)
+    first, asked, low, found, summary = (F.col(c) for c in ("__first", "__asked", "__low", "__tags", "__sum"))
     rules = [
-        F.when((F.size(asked) > 0) | first.rlike("(?i)(?U)" + V.QUESTION_START), _artifact("question", F.when(F.size(asked) > 0, F.get(asked, F.lit(0))).otherwise(first), found, question_kind="clarification_request")),
-        F.when(_has(t, V.SOLUTION_WORDS), _artifact("proposed_solution", first, found, solution_kind="code_change")),
-        F.when(_has(first, V.SUGGESTION_WORDS), _artifact("suggestion", first, found)),
+        F.when((F.size(asked) > 0) | first.rlike("(?i)(?U)" + V.QUESTION_START), _artifact("question", F.col("__ask"), found, question_kind="clarification_request")),
+        F.when(_has(t, V.SOLUTION_WORDS), _artifact("proposed_solution", summary, found, solution_kind="code_change")),
+        F.when(_has(first, V.SUGGESTION_WORDS), _artifact("suggestion", summary, found)),
         F.when(
             _has(t, V.STATUS_WORDS),
             _artifact(
-                "status_update", first, found, status_kind=F.when(low.contains("release") | low.contains("rc"), "released").otherwise("update"),
+                "status_update", summary, found, status_kind=F.when(low.contains("release") | low.contains("rc"), "released").otherwise("update"),
                 progress_state=F.when(_has(t, V.DONE_WORDS), "complete").otherwise("in_progress"), blocking=F.when(_has(t, V.BLOCK_WORDS), "True").otherwise("False"),
             ),
         ),
-        F.when(_has(t, V.TASK_WORDS), _artifact("task_assignment", first, found, assignee=F.regexp_extract(t, r"(?U)@[\w-]+", 0))),
-        F.when(_has(first, V.PRIORITY_WORDS), _artifact("priority_discussion", first, found, scope="release_planning")),
-        F.when(_has(t, V.PROBLEM_WORDS), _artifact("problem_statement", first, found, problem_kind="bug_report")),
+        F.when(_has(t, V.TASK_WORDS), _artifact("task_assignment", summary, found, assignee=F.regexp_extract(t, r"(?U)@[\w-]+", 0))),
+        F.when(_has(first, V.PRIORITY_WORDS), _artifact("priority_discussion", summary, found, scope="release_planning")),
+        F.when(_has(t, V.PROBLEM_WORDS), _artifact("problem_statement", summary, found, problem_kind="bug_report")),
     ]
     df = df.withColumn("__ruled", F.array(*rules))
     key = lambda a: F.struct(a["type"], a["summary"])
     df = df.withColumn("__found", F.concat("__blocks", F.array_compact("__ruled")))
     df = df.withColumn("__keys", F.transform("__found", key))
-    fallback = F.array(_artifact("status_update", F.get("__lines", F.lit(0)), found, status_kind="mention", progress_state="informative", blocking="False"))
+    fallback = F.array(_artifact("status_update", F.col("__line"), found, status_kind="mention", progress_state="informative", blocking="False"))
     distinct = F.filter("__found", lambda a, i: F.array_position(F.col("__keys"), key(a)) == i + 1)
     df = df.withColumn(into, F.when(F.size("__lines") <= 0, F.slice("__found", 1, 0)).when(F.size("__found") > 0, distinct).otherwise(fallback))
     return df.drop(*[c for c in df.columns if c.startswith("__")])
