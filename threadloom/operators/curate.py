@@ -17,11 +17,6 @@ NAME = rf"(?U)(?<!\.)\b[\w-]+\.(?:{V.FILE_EXTENSIONS})\b"  # a fixed value: what
 EDGE = r"^[`'\"()\[\]{}<>.,:;]+|[`'\"()\[\]{}<>.,:;]+$"
 
 
-def present(x: str | Column) -> Column:
-    """The non-null elements of an array, none for null."""
-    return F.coalesce(F.array_compact(X.col(x)), F.expr("array()"))
-
-
 def by_time(x: str | Column) -> Column:
     """Elements in order of createdAt, equal ones and those without in their old order, the latter first."""
     keyed = F.transform(F.array_compact(X.col(x)), lambda e, i: F.struct(F.coalesce(e["createdAt"], F.lit("")).alias("t"), i.alias("i"), e.alias("e")))
@@ -60,7 +55,7 @@ def thread() -> Column:
     text = opening_text("title", "body")
     first = _post(F.col("url"), F.col("createdAt"), login(F.col("author")), F.col("authorAssociation"), text, True)
     rest = F.transform("__comments", lambda c: _post(c["url"], c["createdAt"], login(c["author"]), c["authorAssociation"], F.coalesce(c["body"], F.lit("")), False))
-    return F.concat(F.when(text != "", F.array(first)).otherwise(F.slice(F.array(first), 1, 0)), F.coalesce(rest, F.slice(F.array(first), 1, 0)))
+    return F.concat(F.when(text != "", F.array(first)).otherwise(F.slice(F.array(first), 1, 0)), rest)
 
 
 def discussion(posts: str | Column) -> Column:
@@ -120,6 +115,7 @@ def curate(raw: DataFrame, distinct: bool = False) -> DataFrame:
 
     distinct: first drop comments of an id met before and timeline items equal to an earlier one, as a fetch over pages does.
     """
+    raw = raw.withColumns({c: F.coalesce(c, F.array().cast(raw.schema[c].dataType)) for c in ("comments", "timelineItems")})
     comments = once("comments", lambda c: c["id"]) if distinct else F.array_compact("comments")
     items = once("timelineItems", lambda e: F.to_json(e)) if distinct else F.array_compact("timelineItems")
     df = raw.withColumns({"__comments": by_time(comments), "__items": by_time(items)})
@@ -137,8 +133,8 @@ def curate(raw: DataFrame, distinct: bool = False) -> DataFrame:
         F.struct("title", body.alias("body")).alias("input_vector"),
         F.struct(labels().alias("labels"), F.col("state").alias("issue_state"), F.col("stateReason").alias("state_reason"), F.col("createdAt").alias("created_at"), F.col("closedAt").alias("closed_at")).alias("taxonomic_metadata"),
         F.col("__thread").alias("deliberation_thread"),
-        F.coalesce(events(), F.slice(events(), 1, 0)).alias("timeline_events"),
-        F.struct(F.coalesce(pull_requests(), F.slice(pull_requests(), 1, 0)).alias("linked_pull_requests"), F.col("state").alias("issue_state"), F.col("stateReason").alias("issue_state_reason"), F.col("closedAt").alias("closed_at")).alias("resolution_artifacts"),
+        events().alias("timeline_events"),
+        F.struct(pull_requests().alias("linked_pull_requests"), F.col("state").alias("issue_state"), F.col("stateReason").alias("issue_state_reason"), F.col("closedAt").alias("closed_at")).alias("resolution_artifacts"),
     )
     return df
 
