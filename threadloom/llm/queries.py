@@ -128,6 +128,13 @@ def oracle_sql() -> dict[str, str]:
 SELECT DISTINCT item_kind, item_id FROM (
  SELECT 'curated' AS item_kind, record_id AS item_id, formatted_discussion AS text FROM curated
  UNION ALL SELECT 'chunk', chunk_no, text FROM chunk) JOIN split_limit USING (item_kind) WHERE length(text) > max_chars""",
+        "p2_found": """
+WITH t AS (SELECT DISTINCT record_id, lower(coalesce(input_vector.title, '') || ' ' || coalesce(input_vector.body, '')) AS x FROM curated),
+ w AS (SELECT record_id, regexp_extract_all(x, '[a-z0-9]+') AS w FROM t),
+ s AS (SELECT DISTINCT record_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30),
+ n AS (SELECT record_id, count(*) AS n FROM s GROUP BY ALL),
+ o AS (SELECT a.record_id AS record_id_a, b.record_id AS record_id_b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.record_id < b.record_id GROUP BY ALL)
+SELECT record_id_a, record_id_b FROM o JOIN n a ON a.record_id = record_id_a JOIN n b ON b.record_id = record_id_b WHERE 2 * o >= a.n + b.n - o""",
         "p4_pairs": _PAIRS,
         "p4_found": f"SELECT item_a, item_b FROM ({_PAIRS}) WHERE n_ab * n_total >= 2 * n_a * n_b",
     }
