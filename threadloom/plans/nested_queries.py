@@ -27,9 +27,34 @@ def p3_rejects(spark: SparkSession, d: str) -> DataFrame:
     return nested.rejects(table(spark, d, "raw_record"), "snapshot_id", "payload")
 
 
+def _typed(kind: str):
+    """The same for the typed rows alone, which SQL can check."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        raw = table(spark, d, "raw_issue")
+        return nested.child_table(nested.issue_children(nested.issue_records(raw, table(spark, d, "raw_record").where("false"))), kind)
+
+    return query
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_labels": _kind("label"), "p3_comments": _kind("comment"), "p3_timeline_items": _kind("timeline_item"), "p3_sources": _kind("source"), "p3_rejects": p3_rejects}
+    both = {"p3_labels": "label", "p3_comments": "comment", "p3_timeline_items": "timeline_item", "p3_sources": "source"}
+    return {"p3_found": p3_found, **{n: _kind(k) for n, k in both.items()}, "p3_rejects": p3_rejects, **{n.replace("p3_", "p3_typed_"): _typed(k) for n, k in both.items()}}
+
+
+_ITEMS = """
+i AS (SELECT snapshot_id, unnest(timelineItems) AS e, generate_subscripts(timelineItems, 1) AS k FROM (SELECT DISTINCT snapshot_id, timelineItems FROM raw_issue)),
+t AS (SELECT snapshot_id, k - 1 AS child_pos, e FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, e ORDER BY k) AS nth FROM i WHERE e IS NOT NULL) WHERE nth = 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_rejects": "SELECT DISTINCT snapshot_id AS record_id, CASE WHEN payload IS NULL THEN 'null' ELSE 'invalid' END AS reason FROM raw_record WHERE payload IS NULL OR NOT json_valid(payload)"}
+    return {
+        "p3_rejects": "SELECT DISTINCT snapshot_id AS record_id, CASE WHEN payload IS NULL THEN 'null' ELSE 'invalid' END AS reason FROM raw_record WHERE payload IS NULL OR NOT json_valid(payload)",
+        "p3_typed_labels": r"""WITH i AS (SELECT snapshot_id, unnest(labels).name AS name, generate_subscripts(labels, 1) AS k FROM (SELECT DISTINCT snapshot_id, labels FROM raw_issue))
+SELECT snapshot_id, min(k) - 1 AS child_pos, name FROM i WHERE regexp_replace(name, '^\s+|\s+$', '', 'g') <> '' GROUP BY snapshot_id, name""",
+        "p3_typed_comments": """WITH i AS (SELECT snapshot_id, unnest(comments) AS c, generate_subscripts(comments, 1) AS k FROM (SELECT DISTINCT snapshot_id, comments FROM raw_issue)),
+n AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, c.id ORDER BY k) AS nth FROM i WHERE c IS NOT NULL)
+SELECT snapshot_id, k - 1 AS child_pos, c.id AS id, c.url AS url, c.body AS body, c.createdAt AS created_at, c.authorAssociation AS author_association, c.author.login AS author_login FROM n WHERE c.id IS NULL OR nth = 1""",
+        "p3_typed_timeline_items": f"WITH {_ITEMS} SELECT snapshot_id, child_pos, e.__typename AS event_type, e.createdAt AS created_at, e.actor.login AS actor_login, e.willCloseTarget AS will_close_target, e.stateReason AS state_reason, e.label.name AS label_name FROM t",
+        "p3_typed_sources": f"WITH {_ITEMS} SELECT snapshot_id, child_pos, e.source.__typename AS source_type, e.source.number AS number, e.source.url AS url, e.source.title AS title, e.source.state AS state, e.source.merged AS merged, e.source.mergedAt AS merged_at FROM t WHERE e.source IS NOT NULL",
+    }
