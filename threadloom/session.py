@@ -30,11 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: what the session names, else (in tests only) one of our own."""
+    """The shared checkpoint folder: what the session names; where it names none, a folder of our own in the warehouse, or on
+    a local master (tests) a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadloom-ckpt-"))
+        own = tempfile.mkdtemp(prefix="threadloom-ckpt-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return sc.getCheckpointDir()
 
 
