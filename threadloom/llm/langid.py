@@ -325,9 +325,11 @@ def fit_documents(documents: DataFrame, language_ref: DataFrame, sample: int = S
     """The languages (of the fixed small table) and a model trained on at most `sample` labelled documents, chosen by hash."""
     reference = language_ref.select("lang", "iso3", "name").collect()
     langs = sorted({r.lang for r in reference if r.lang})
-    some = documents.select("doc_id", F.col("text"), normal_label(F.col("lang"), reference).alias("label")).where("label is not null and text is not null")
-    some = some.where(F.char_length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return langs, train([(r.text, r.label) for r in some.select("text", "label").collect()], langs, path)
+    label, place = normal_label(F.col("lang"), reference), F.xxhash64("doc_id")
+    # the last place of the sample first, from ids alone, so that no task sends texts that aren't in it
+    last = documents.where(label.isNotNull()).select(place.alias("p")).orderBy("p").limit(sample).agg(F.max("p")).first()[0]
+    some = documents.where(label.isNotNull() & (place <= F.lit(last)) & (F.char_length("text") <= SAMPLE_CHARS)).select("text", label.alias("label"))
+    return langs, train([(r.text, r.label) for r in some.collect()], langs, path)
 
 
 def segments(documents: DataFrame, langs: list[str], prob: np.ndarray, path: str = PIECES) -> DataFrame:
