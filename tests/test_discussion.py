@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import backends, code_chunks, curate, extract, prompting, retrieve
+from threadloom.operators import backends, code_chunks, curate, extract, prompting, reports, retrieve
 from threadloom.sources import files, forge
 from threadloom.streaming import live
 
@@ -169,3 +169,17 @@ def test_backends(spark):
     assert got == {1: ("GOOD", None), 2: (None, "ValueError")}
     assert backends.parse_artifacts('{"artifacts": [{"type": "question", "summary": "s"}, {"type": "zzz", "summary": "s"}]}')[0] == [{"type": "question", "summary": "s"}]
     assert backends.metadata_text({"b": [1, True, None, ""], "a": None, "c": " x "}) == "b: 1 True ; c: x"
+
+
+def test_embeddings_and_page(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
+    got = {r.id: r.embedding for r in backends.embed(df, lambda: lambda ts: [[3.0 * len(t), 4.0 * len(t)] for t in ts], "id", "t").collect()}
+    assert [round(x, 6) for x in got[1]] == [0.6, 0.8] and got[2] == [0, 0]
+    html = reports.page(spark.createDataFrame([("</script>", None)], "a string, b int"), "<x>")
+    assert html.count("</script>") == 2 and "<\\/script>" in html and "&lt;x>" in html
+
+
+def test_comment_prompt(spark):
+    df = spark.createDataFrame([("o/r", 3, "me", None, 'say "hi"')], "repository string, issue_number long, author string, link string, text string")
+    p = df.select(prompting.comment_prompt()).first()[0]
+    assert p.startswith('Repo: o/r\nIssue: 3\nComment JSON:\n{"author":"me","link":"","text":"say \\"hi\\""}\nMetadata keys') and "- question: question_kind, target_area, urgency" in p

@@ -36,6 +36,25 @@ def complete(prompts: DataFrame, make: Callable[[], Completion], column: str = "
     return prompts.mapInPandas(run, schema)
 
 
+def embed(texts: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], key: str, text: str, batch: int = 16) -> DataFrame:
+    """``key, embedding``: vectors of length 1, worked out `batch` texts at a time; null texts are empty, a zero vector stays.
+
+    `make` builds the encoder once per task, on the worker.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make()
+        for part in batches:
+            said, vectors = part[text].fillna("").tolist(), []
+            for lo in range(0, len(said), batch):
+                for v in encode(said[lo : lo + batch]):
+                    size = sum(x * x for x in v) ** 0.5 or 1.0
+                    vectors.append([x / size for x in v])
+            yield pd.DataFrame({key: part[key], "embedding": vectors})
+
+    return texts.select(key, text).mapInPandas(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, embedding array<float>")
+
+
 def parse_artifacts(text: str | None) -> tuple[list[dict], str | None]:
     """Artifacts of a model's JSON answer, and what is wrong with it; those of an unknown type or without a summary drop out."""
     try:

@@ -58,3 +58,9 @@ def profile_points(components: DataFrame, names: tuple[str, ...]) -> DataFrame:
     wide = component_means(components).groupBy("model_id").pivot("component", list(names)).agg(F.first("value")).fillna(0.0)
     mean = reduce(lambda a, b: a + b, [F.col(n) for n in names]) / len(names)
     return wide.select("model_id", *names, mean.alias("composite"), F.bround(mean * 100).cast("long").alias("points"))
+
+
+def complete(components: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Components of the models and repositories that have all the named ones, as figures need them."""
+    have = components.where(F.col("component").isin(*names)).groupBy("repository", "model_id").agg(F.count_distinct("component").alias("n")).where(F.col("n") == len(names))
+    return components.join(have.select("repository", "model_id"), ["repository", "model_id"], "left_semi")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import exprs as X
 from threadloom.operators.align import ISSUE, ORDER
 from threadloom.operators.type_metrics import TARGET
+from threadloom.session import cut
 
 METHODS = ("max_all", "token_f1", "sequence_ratio", "token_jaccard", "char_ngram_jaccard", "token_containment")
 GROUP = (*ISSUE, "type", "field")
@@ -110,3 +111,15 @@ def overall(aligned: DataFrame, threshold: float = 0.82, method: str = "max_all"
 def macro(issues: DataFrame) -> DataFrame:
     """Means over issues."""
     return issues.groupBy(*TARGET).agg(F.count("*").alias("issue_count"), *[X.mean(c).alias(c) for c in ("precision", "recall", "f1", "jaccard", "soft_precision", "soft_recall", "soft_f1")])
+
+
+def all_methods(aligned: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """Means over issues by each similarity, with ``method``; the values are taken from the artifacts once."""
+    values, every = cut(field_values(aligned)), cut(aligned.select(*ISSUE).distinct())
+    out = None
+    for method in METHODS:
+        issues = every.join(pooled(group_scores(values, threshold, method), *ISSUE), list(ISSUE), "left")
+        scores = ("precision", "recall", "f1", "jaccard", "soft_precision", "soft_recall", "soft_f1")
+        part = macro(issues.fillna(1.0, list(scores))).withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part)
+    return out

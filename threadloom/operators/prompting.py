@@ -84,6 +84,14 @@ def prompts_within(issues: DataFrame, chunks: DataFrame, keys: list[str], max_ch
     return j.select(*keys, F.when(keep, full).otherwise(F.col("base")).alias("prompt"), F.when(keep, F.size("used")).otherwise(0).alias("context_chunks"))
 
 
+def comment_prompt(c: str = "") -> Column:
+    """The request for one comment (columns repository, issue_number, author, link, text): where it stands, the comment as JSON, and
+    the metadata keys of each type."""
+    rules = "\n".join(["Metadata keys by type (use exact keys; never null; use 'unknown' when needed):", *(f"- {k}: {', '.join(f)}" for k, f in V.METADATA_FIELDS.items())])
+    said = F.to_json(F.struct(*[F.coalesce(F.col(c + x), F.lit("")).alias(x) for x in ("author", "link", "text")]))
+    return F.concat_ws("\n", F.concat(F.lit("Repo: "), F.col(c + "repository")), F.concat(F.lit("Issue: "), F.col(c + "issue_number").cast("string")), F.lit("Comment JSON:"), said, F.lit(rules))
+
+
 def topic_of(kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for k in V.ARTIFACT_TYPES for x in (k, V.topic(k))])[kind]
 

@@ -71,4 +71,24 @@ def viewer_rows(raw: DataFrame, artifacts: DataFrame) -> DataFrame:
     return j.select("repository", "issue_number", "r.title", "r.state", "r.url", "human_artifacts", F.coalesce("models", F.lit("{}")).alias("models"))
 
 
-__all__ = ["box_stats", "cost_per_issue", "dataset_stats", "mean_by_type", "spread", "tag_shares", "top_types", "viewer_rows"]
+PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
+<table id="t"><thead></thead><tbody></tbody></table>
+<script id="data" type="application/json">{data}</script>
+<script>
+const rows = JSON.parse(document.getElementById("data").textContent), cols = rows.length ? Object.keys(rows[0]) : [];
+const head = document.querySelector("#t thead"), body = document.querySelector("#t tbody");
+const draw = () => {{ body.replaceChildren(...rows.map(r => {{ const tr = document.createElement("tr"); cols.forEach(c => tr.insertCell().textContent = r[c] ?? ""); return tr; }})); }};
+const tr = head.insertRow();
+cols.forEach(c => {{ const th = document.createElement("th"); th.textContent = c; th.onclick = () => {{ rows.sort((a, b) => (a[c] < b[c]) - (a[c] > b[c])); draw(); }}; tr.append(th); }});
+draw();
+</script>
+"""
+
+
+def page(rows: DataFrame, title: str, limit: int = 5_000) -> str:
+    """A page with the first `limit` rows of a report as a table that sorts by any column. The data can't end the script."""
+    data = [r[0] for r in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).limit(limit).collect()]
+    return PAGE.format(title=title.replace("<", "&lt;"), data=("[" + ",\n".join(data) + "]").replace("</", "<\\/"))
+
+
+__all__ = ["box_stats", "cost_per_issue", "dataset_stats", "mean_by_type", "page", "spread", "tag_shares", "top_types", "viewer_rows"]

@@ -107,6 +107,11 @@ def comment_jobs(spark, d):
     return extract.comments(_records(spark, d)).select("record_id", "comment_idx", "author", "link", "text")
 
 
+def comment_prompts(spark, d):
+    c = extract.comments(_records(spark, d))
+    return c.select("record_id", "comment_idx", F.char_length(prompting.comment_prompt()).alias("chars"))
+
+
 def normal_artifacts(spark, d):
     a = extract.normal_artifacts(align.latest_artifacts(table(spark, d, "artifact")))
     return a.select("artifact_id", "type", F.array_join(F.array_sort("tags"), "|").alias("tags"), F.size("metadata").alias("fields"))
@@ -267,7 +272,7 @@ def cost_per_issue(spark, d):
 
 QUERIES = (
     formatted_discussion, file_references, thread_posts, timeline_events, linked_pull_requests, label_sets, actor_typology, dataset_summary, state_distribution, comment_count_filter, display_roles, earliest_issue,
-    rule_artifacts, rule_type_counts, rule_tag_inference, extraction_run_totals, comment_jobs, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type,
+    rule_artifacts, rule_type_counts, rule_tag_inference, extraction_run_totals, comment_jobs, comment_prompts, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type,
     bm25_topk, dense_topk, hybrid_rrf, context_budget, sliding_chunks, structural_chunks, issue_prompts, example_responses, self_excluding_examples, response_comments, resume_anti_join, model_routing, repository_slugs,
     dataset_stats, mean_f1_by_type, top_types, type_ring, box_stats, tag_shares, viewer_rows, cost_per_issue,
 )

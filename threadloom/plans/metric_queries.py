@@ -83,6 +83,14 @@ def metadata_overall(spark, d):
     return rounded(metadata_metrics.overall(_aligned(spark, d)))
 
 
+def metadata_all_methods(spark, d):
+    return rounded(metadata_metrics.all_methods(_aligned(spark, d)))
+
+
+def complete_components(spark, d):
+    return rounded(leaderboard.complete(_components(spark, d, False), ("type_f1", "tag_f1", "summary_token_f1")))
+
+
 def summary_pairs(spark, d):
     p = summary_metrics.pairs(_aligned(spark, d))
     return rounded(p.select(*align.ISSUE, "type", "human_n", "model_n", "weight", F.col("scores.token_f1").alias("token_f1"), F.col("scores.logistic").alias("logistic")))
@@ -146,7 +154,7 @@ def points_quantised(spark, d):
 
 QUERIES = (
     type_overlap_per_issue, type_macro, type_vocab_overall, type_per_type_confusion, metric_targets, latest_artifacts, tag_pooled_grouping_sets, tag_macro, tag_macro_by_type, tag_frequency_topk, phrase_similarities,
-    metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, summary_pairs, coverage_penalty, summary_per_type, summary_overall, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, points_quantised,
+    metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, metadata_all_methods, complete_components, summary_pairs, coverage_penalty, summary_per_type, summary_overall, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, points_quantised,
 )
 
 
@@ -280,6 +288,7 @@ def oracle_sql() -> dict[str, str]:
         "coverage_penalty": f"WITH {SUMMARIES} SELECT {issue}, human_types, model_types, matched_types, round(type_precision, 6) AS type_precision, round(type_recall, 6) AS type_recall, round({_harm('type_precision', 'type_recall')}, 6) AS type_f1, round(token_f1, 6) AS token_f1, round(weighted_token_f1, 6) AS weighted_token_f1, round(token_f1 * type_recall, 6) AS penalised_token_f1 FROM i",
         "logistic_scores": "SELECT event_id, round(1 / (1 + exp(-least(greatest((value / 100 - 0.5) / 2, -60), 60))), 6) AS sigmoid, round(greatest(value / 100 - 0.5, 0), 6) AS clipped, round(value / 100 - 0.5, 6) AS raw FROM events",
         "leaderboard_components": COMPONENTS + " SELECT repository, model_id, component, round(value, 6) AS value FROM comp",
+        "complete_components": COMPONENTS + " SELECT repository, model_id, component, round(value, 6) AS value FROM comp WHERE (repository, model_id) IN (SELECT (repository, model_id) FROM comp GROUP BY repository, model_id HAVING count(DISTINCT component) = 3)",
         "leaderboard_rrf": COMPONENTS + f", sc AS (SELECT repository, model_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM rk GROUP BY ALL), mx AS (SELECT repository, count(DISTINCT component) / 61.0::DOUBLE AS max_score FROM rk GROUP BY ALL), j AS (SELECT * FROM sc JOIN mx USING (repository)) SELECT repository, {_points('PARTITION BY repository')} FROM j",
         "leaderboard_combined": COMPONENTS + f", sc AS (SELECT model_id, sum(1.0::DOUBLE / (60 + rank)) AS score, count(DISTINCT repository) AS repo_count FROM rk GROUP BY ALL), mx AS (SELECT count(*) / 61.0::DOUBLE AS max_score FROM (SELECT DISTINCT repository, component FROM rk)), j AS (SELECT * FROM sc, mx) SELECT {_points('', ', repo_count')} FROM j",
         "profile_points": COMPONENTS + ", mv AS (SELECT model_id, component, avg(value) AS v FROM comp GROUP BY ALL), w AS (SELECT model_id, coalesce(max(v) FILTER (component = 'type_f1'), 0) AS type_f1, coalesce(max(v) FILTER (component = 'tag_f1'), 0) AS tag_f1, coalesce(max(v) FILTER (component = 'summary_token_f1'), 0) AS summary_token_f1 FROM mv GROUP BY ALL) SELECT model_id, round(type_f1, 6) AS type_f1, round(tag_f1, 6) AS tag_f1, round(summary_token_f1, 6) AS summary_token_f1, round((type_f1 + tag_f1 + summary_token_f1) / 3, 6) AS composite, round_even((type_f1 + tag_f1 + summary_token_f1) / 3 * 100, 0)::BIGINT AS points FROM w",
