@@ -157,8 +157,8 @@ class Join:
         self.records = records.select(F.col("record_id").cast("long").alias("record_id"), F.col("text").cast("string").alias("text"))
         self.spark = records.sparkSession
         self.counts = self.spark.sparkContext.broadcast(self._counts())  # 2**bits counts, whatever the data
-        found = cut(self._found())
-        self.members = found.select("record_id", "sig").distinct()
+        found = self._found()  # read twice rather than written with all its shingles
+        self.members = cut(found.select("record_id", "sig").distinct())
         self.sets = cut(found.groupBy("sig").agg(F.first("shingles").alias("shingles")).select("sig", F.size("shingles").alias("n"), "shingles"))
 
     def _counts(self) -> np.ndarray:
