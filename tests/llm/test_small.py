@@ -162,6 +162,16 @@ def test_mix_of_nothing(spark):
     assert mixing.Mix(df, target.where("false")).shares().count() == 0
 
 
+def test_listed_sources_without_tokens_take_nothing_from_the_others(spark):
+    docs = [(k, "a", 10) for k in range(300)] + [(1000 + k, "b", 10) for k in range(200)] + [(5000, "blank", 0), (5001, "blank", None)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    target = spark.createDataFrame([("a", 0.3, 1), ("b", 0.2, 2), ("absent", 0.4, 1), ("blank", 0.1, 1)], "source string, target_share double, max_repeats int")
+    m = mixing.Mix(df, target, blocks=50)
+    shares = {r.source: (r.used_tokens, r.actual_share, round(r.target_share, 6)) for r in m.shares().collect()}
+    assert shares == {"a": (3000, 0.6, 0.3), "b": (2000, 0.4, 0.2), "absent": (0, 0, 0.4), "blank": (0, 0, 0.1)}
+    assert m.chosen().count() == m.ordered().count() == 500
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world", "s"), (2, "", "s"), (3, None, "s"), (4, "a" * 20_000, "s")], "doc_id long, text string, n_tokens string")
     got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, "doc_id", "text").collect()}

@@ -1,6 +1,9 @@
 """Mixing sources to target weights: Pfair scheduling of source blocks.
 
-The mix is T tokens long, T being the most for which every source can give its share within its cap of repeats. A source is
+The mix is T tokens long, T being the most for which every source can give its share within its cap of repeats. A listed source
+without tokens (no documents, or none with text) can't give any share: it is left out and the shares of the others are scaled
+to sum 1. A source with few tokens isn't left out: shares are kept exactly and caps are never passed, so the scarcest source
+(least tokens * cap / share) sets the length of the mix, and what the others have beyond their share of it stays unused. A source is
 a queue of passes over its documents in a fixed order; share * T tokens of it are taken: whole passes for all of its
 documents and part of one more. The mix itself is cut into blocks. Block k of a source with weight w is released at block
 time floor(k / w) and due at ceil((k + 1) / w); running the released block with the earliest deadline keeps each source less
@@ -74,8 +77,10 @@ class Mix:
         self.docs = cut(wanted.withColumn("at", place).withColumn("part", F.pmod(F.shiftright("at", 40), F.lit(RANGES)).cast("int")))
         self.sums = self.docs.groupBy("source", "part").agg(F.sum("n_tokens").alias("tokens"))
         self.has = {r.source: int(r.t) for r in self.sums.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-        self.total = min((Fraction(self.has.get(s, 0) * cap) / w for s, (w, cap) in self.want.items()), default=Fraction(0))
-        self.quota = {s: int(w * self.total) for s, (w, _) in self.want.items()}
+        there = {s: w for s, (w, _) in self.want.items() if self.has.get(s)}
+        self.share = {s: w / sum(there.values()) for s, w in there.items()}
+        self.total = min((self.has[s] * self.want[s][1] / w for s, w in self.share.items()), default=Fraction(0))
+        self.quota = {s: int(w * self.total) for s, w in self.share.items()}
 
     def _table(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -94,14 +99,17 @@ class Mix:
         A document belongs to the partial pass if its middle stands before the pass's end, so each source is off its share
         by half a document at most. Documents without tokens are used in the whole passes only, and once if there is none.
         """
-        rows = [(s, self.quota[s] // self.has[s], self.quota[s] % self.has[s], cap) for s, (_, cap) in self.want.items() if self.has.get(s)]
+        rows = [(s, q // self.has[s], q % self.has[s], self.want[s][1]) for s, q in self.quota.items()]
         plan = F.broadcast(self._table(rows, "source string, passes long, part_tokens long, cap long"))  # a row for each listed source
         used = self.placed().join(plan, "source")
         more = ((F.col("before") * 2 + F.col("n_tokens")) < F.col("part_tokens") * 2).cast("long")
         return used.select("doc_id", "source", "n_tokens", F.least(F.col("passes") + more, "cap").cast("int").alias("times_used")).where("times_used > 0")
 
     def shares(self) -> DataFrame:
-        """source, target_share, max_repeats, available_tokens, used_tokens, documents, uses, actual_share, for each listed source."""
+        """source, target_share, max_repeats, available_tokens, used_tokens, documents, uses, actual_share, for each listed source.
+
+        target_share is the share among all listed sources; one without tokens reaches 0.
+        """
         used = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times_used")).alias("used_tokens"), F.count("*").alias("documents"), F.sum("times_used").alias("uses"))
         rows = [(s, float(w), cap, self.has.get(s, 0)) for s, (w, cap) in self.want.items()]
         each = self._table(rows, "source string, target_share double, max_repeats int, available_tokens long").join(used, "source", "left")
@@ -112,7 +120,7 @@ class Mix:
         """(source, its block number, block time) for every block of the mix."""
         seen: dict[str, int] = {}
         out = []
-        for t, s in enumerate(pfair({s: w for s, (w, _) in self.want.items()}, self.blocks) if self.total else []):
+        for t, s in enumerate(pfair(self.share, self.blocks) if self.total else []):
             out.append((s, seen.get(s, 0), t))
             seen[s] = seen.get(s, 0) + 1
         return out
@@ -123,7 +131,7 @@ class Mix:
         Sorting by (block_time, in_block, doc_id) gives the interleaved mix.
         """
         use = self.chosen().select("doc_id", "times_used").join(self.placed(), "doc_id").withColumn("use_no", F.explode(F.sequence(F.lit(0), F.col("times_used") - 1)))
-        rows = [(s, self.has[s]) for s in self.want if self.has.get(s)]
+        rows = [(s, self.has[s]) for s in self.share]
         at = use.join(F.broadcast(self._table(rows, "source string, pass_tokens long")), "source").withColumn("offset", F.col("use_no") * F.col("pass_tokens") + F.col("before"))
         size = max(1, int(self.total / self.blocks))
         slots = self._table(self.schedule(), "source string, block_no long, block_time int")
