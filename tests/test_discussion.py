@@ -74,6 +74,53 @@ def test_bm25_by_hand(spark):
     assert top[0].doc == 1 and all(r.doc in (1, 2, 4) for r in top)
 
 
+def test_issues_meet_the_chunks_of_their_repository(spark):
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(5)
+    words = ["cache", "parser", "disk", "x_1", "42", "the", "the", "the", "a"]
+    chunks = [(r, n, " ".join(rng.choices(words, k=rng.randrange(0, 9)))) for n, r in enumerate(rng.choices("pqs", [20, 9, 1], k=90))]
+    issues = [(r, i, rng.choice(words), " ".join(rng.choices(words, k=4))) for r in "pqst" for i in range(12)] + [("p", 50, None, " "), ("q", 51, "zzz", None)]
+    c = spark.createDataFrame([*chunks, (None, 999, "cache")], "repository string, chunk_no long, text string")
+    q = spark.createDataFrame(issues, "repository string, issue_number int, title string, body string")
+    tokens = lambda t: re.findall(r"[A-Za-z_][A-Za-z0-9_]+|\d+", t)
+    want = {}
+    for r, i, title, body in issues:
+        own = {n: tokens(t) for s, n, t in chunks if s == r}
+        df = Counter(t for x in own.values() for t in set(x))
+        idf = {t: math.log(len(own) - k + 0.5) - math.log(k + 0.5) for t, k in df.items()}
+        low = 0.25 * sum(idf.values()) / max(1, len(idf))
+        idf = {t: low if w < 0 else w for t, w in idf.items()}
+        mean = sum(map(len, own.values())) / max(1, len(own)) or 1
+        score = {n: round(sum(idf.get(t, 0) * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / mean)) for t in tokens(f"{title or ''} {body or ''}")), 9) for n, x in own.items()}
+        for rank, n in enumerate(sorted(score, key=lambda n: (-score[n], n))[:6], 1):
+            want[r, i, rank] = (n, score[n])
+    named = q.withColumn("query_id", F.struct("repository", "issue_number")).withColumn("text", F.concat_ws(" ", "title", "body"))
+    for tile in ((4096, 512), (7, 5)):
+        got = {(*x.query_id, x["rank"]): (x.doc, x.score) for x in retrieve.bm25_within(c, named, "repository", "chunk_no", "query_id", "text", 6, tile).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+    one = {(x.repository, x.issue_number, x["rank"]): x.chunk_no for x in retrieve.for_issues(q, c, top_k=6, n=6).collect()}
+    assert one == {k: v[0] for k, v in want.items()}
+    last = max(n for r, n, _ in chunks if r == "p")
+    v = spark.createDataFrame([("p", last, [1.0])], "repository string, chunk_no long, embedding array<float>"), spark.createDataFrame([("p", 50, [1.0])], "repository string, issue_number int, embedding array<float>")
+    both = [x.chunk_no for x in retrieve.for_issues(q, c, v, 6, 60, 2).where("repository = 'p' and issue_number = 50").orderBy("rank").collect()]
+    assert both == [want["p", 50, 1][0], last]
+
+
+def test_prompts_hold_the_chunks_of_the_issue(spark, tmp_path):
+    from threadloom.plans import discussion_queries as Q
+
+    text = [f"filler {k}" for k in range(25)] + ["def cache_eviction(): return 'the chunk the second issue is about'"]
+    spark.createDataFrame([(k, "r", f"c{k:02}", "f.py", None, 1, 2, t) for k, t in enumerate(text)], "chunk_no long, repository string, chunk_id string, file_path string, symbol_name string, start_line int, end_line int, text string").write.parquet(str(tmp_path / "chunk.parquet"))
+    spark.sql("select i as record_id, timestamp'2021-01-01' as ingested_at, 'r' as repository, i as issue_number, named_struct('title', if(i = 1L, 'filler', 'cache_eviction'), 'body', cast(null as string)) as input_vector from values (1L), (2L) as t(i)").write.parquet(str(tmp_path / "curated.parquet"))
+    found = {(x.issue_number, x["rank"]): x.chunk_no for x in Q.issue_context(spark, str(tmp_path)).collect()}
+    assert len(found) == 40 and found[2, 1] == 25 and 25 not in [c for (i, _), c in found.items() if i == 1]
+    assert {x.context_chunks for x in Q.issue_prompts(spark, str(tmp_path)).collect()} == {10}
+
+
 def test_symbols():
     text = "import os\n\ndef a():\n    return 1\n\nclass B:\n    def c(self):\n        pass\n"
     assert [(c[2], c[4], c[5]) for c in code_chunks.chunk_file("x.py", text)] == [("a", 3, 4), ("B", 6, 8), ("c", 7, 8)]

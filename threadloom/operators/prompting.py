@@ -58,13 +58,13 @@ def prompt(number: Column, title: Column, body: Column, context: Column | None,
     return F.concat(F.regexp_replace(F.concat_ws("\n", *parts), r"(?U)^\s+|\s+$", ""), F.lit("\n"))
 
 
-def prompts_within(issues: DataFrame, chunks: DataFrame, keys: list[str], max_chars: int = 32_768, max_chunks: int = 10) -> DataFrame:
+def prompts_within(issues: DataFrame, chunks: DataFrame, keys: list[str], max_chars: int = 32_768, max_chunks: int = 10, order: str = "chunk_id") -> DataFrame:
     """keys, prompt, context_chunks: the shortest chunks that keep each issue's prompt within max_chars.
 
     issues: keys, number, title, body. chunks: keys, chunk_id, file_path, symbol_name, start_line, end_line, text; blank ones
-    take a place but aren't shown. Only the max_chunks shortest of an issue can be used and only those are gathered.
+    take a place but aren't shown; ties of length go by `order`. Only the max_chunks shortest of an issue can be used and only those are gathered.
     """
-    over = Window.partitionBy(*keys).orderBy(F.char_length("text"), "chunk_id")
+    over = Window.partitionBy(*keys).orderBy(F.char_length("text"), order)
     few = chunks.where("text is not null and text <> ''").withColumn("place", F.row_number().over(over)).where(F.col("place") <= max_chunks)
     item = F.struct("place", "chunk_id", "file_path", "symbol_name", "start_line", "end_line", "text")
     got = few.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("chunks"))

@@ -183,12 +183,24 @@ def structural_chunks(spark, d):
 # ---------------------------------------------------------------- prompts
 
 
-def issue_prompts(spark, d):
+def _issues(spark, d):
+    """The latest title and body of each issue."""
     r = _records(spark, d).groupBy("repository", "issue_number").agg(F.max_by("input_vector", F.struct("ingested_at", "record_id")).alias("v"))
-    issues = r.select("repository", "issue_number", F.col("issue_number").alias("number"), "v.title", "v.body")
-    near = retrieve.shortest_context(_chunks(spark, d), ["repository"], "chunk_no", "text", 10, 32_768)
-    chunks = issues.select("repository", "issue_number").join(near, "repository").select("repository", "issue_number", "chunk_id", "file_path", "symbol_name", "start_line", "end_line", "text")
-    p = prompting.prompts_within(issues, chunks, ["repository", "issue_number"], 8_000, 10)
+    return r.select("repository", "issue_number", F.col("issue_number").alias("number"), "v.title", "v.body")
+
+
+def issue_context(spark, d):
+    """The 20 chunks retrieved for each issue; the given tables hold no vectors of chunks or issues, so ranks are lexical."""
+    return rounded(retrieve.for_issues(_issues(spark, d), _chunks(spark, d)), 9)
+
+
+def issue_prompts(spark, d):
+    key = ["repository", "issue_number"]
+    all_chunks = _chunks(spark, d).drop("repository")
+    found = issue_context(spark, d).select(*key, "chunk_no", "rank").join(all_chunks.select("chunk_no", F.char_length("text").alias("chars")), "chunk_no")
+    near = retrieve.shortest_context(found, key, "rank", "text", 10, 32_768, "chars").join(all_chunks, "chunk_no")
+    chunks = near.select(*key, "rank", "chunk_id", "file_path", "symbol_name", "start_line", "end_line", "text")
+    p = prompting.prompts_within(_issues(spark, d), chunks, key, 8_000, 10, "rank")
     return p.select("repository", "issue_number", F.char_length("prompt").alias("chars"), "context_chunks")
 
 
@@ -273,7 +285,7 @@ def cost_per_issue(spark, d):
 QUERIES = (
     formatted_discussion, file_references, thread_posts, timeline_events, linked_pull_requests, label_sets, actor_typology, dataset_summary, state_distribution, comment_count_filter, display_roles, earliest_issue,
     rule_artifacts, rule_type_counts, rule_tag_inference, extraction_run_totals, comment_jobs, comment_prompts, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type,
-    bm25_topk, dense_topk, hybrid_rrf, context_budget, sliding_chunks, structural_chunks, issue_prompts, example_responses, self_excluding_examples, response_comments, resume_anti_join, model_routing, repository_slugs,
+    bm25_topk, dense_topk, hybrid_rrf, context_budget, sliding_chunks, structural_chunks, issue_context, issue_prompts, example_responses, self_excluding_examples, response_comments, resume_anti_join, model_routing, repository_slugs,
     dataset_stats, mean_f1_by_type, top_types, type_ring, box_stats, tag_shares, viewer_rows, cost_per_issue,
 )
 
