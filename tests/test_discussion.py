@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import backends, code_chunks, curate, extract, prompting, reports, retrieve
+from threadloom.operators import backends, code_chunks, compare, curate, extract, prompting, reports, retrieve
 from threadloom.sources import files, forge
 from threadloom.streaming import live
 
@@ -230,3 +230,22 @@ def test_comment_prompt(spark):
     df = spark.createDataFrame([("o/r", 3, "me", None, 'say "hi"')], "repository string, issue_number long, author string, link string, text string")
     p = df.select(prompting.comment_prompt()).first()[0]
     assert p.startswith('Repo: o/r\nIssue: 3\nComment JSON:\n{"author":"me","link":"","text":"say \\"hi\\""}\nMetadata keys') and "- question: question_kind, target_area, urgency" in p
+
+
+def test_comparison_has_every_block(spark):
+    schema = "repository string, issue_number int, comment_idx int, artifact_idx int, type string, summary string, tags array<string>, metadata map<string,string>"
+    one = lambda issue, kind, summary, tags, meta, k=0: ("r", issue, 0, k, kind, summary, tags, meta)
+    rules = [one(1, "question", "the cache is slow", ["a", "b"], {"area": "cache", "urgency": "unknown"}), one(2, "question", "x", [], {"area": "disk"}), one(4, "question", " ", ["a"], {})]
+    people = [one(1, "question", "the cache is slow", ["a"], {"area": "cache", "kind": "zzz"}), one(3, "question", "y", [], {}), one(4, "question", None, ["a"], {})]
+    both = compare.side_by_side(spark.createDataFrame(rules, schema), spark.createDataFrame(people, schema))
+    t = compare.per_type(both).first()
+    # issue 1: one of two values found; 2: the rules alone, precision 1; 3 and 4: no values
+    assert (t.issue_count, t.type_precision, t.tag_precision, t.tag_recall) == (4, 0.75, 0.5, 0.375)
+    assert (t.metadata_precision, t.metadata_recall, t.metadata_soft_precision, t.metadata_soft_recall) == (0.875, 0.75, 0.875, 0.75) and abs(t.metadata_f1 - (2 / 3 + 0 + 1 + 1) / 4) < 1e-12
+    assert (t.summary_f1, t.summary_trigram) == (0.5, 0.5)
+    comments = spark.createDataFrame([("r", 1, 3, 1), ("r", 2, 2, None)], "repository string, issue_number int, reference_comments long, candidate_comments long")
+    # without a type of the rules recall is 1, so issues 1, 3 and 4 count as matched
+    o = compare.overall(compare.per_issue(both), comments).first()
+    assert (o.issue_count, o.reference_comments, o.candidate_comments, o.reference_artifacts, o.candidate_artifacts, o.count_ratio, o.count_delta) == (4, 5, 1, 3, 3, 1.0, 0)
+    assert (o.type_precision, o.metadata_soft_recall, o.summary_all_issues, o.summary_matched_only, o.compat_all_issues_with_penalty) == (0.75, 0.75, 0.25, 1 / 3, 0.0)
+    assert {r.tag: (r.reference_mentions, r.candidate_mentions) for r in compare.tag_frequency(both).collect()} == {"a": (2, 2), "b": (1, 0)}

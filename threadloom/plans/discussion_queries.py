@@ -117,9 +117,14 @@ def normal_artifacts(spark, d):
     return a.select("artifact_id", "type", F.array_join(F.array_sort("tags"), "|").alias("tags"), F.size("metadata").alias("fields"))
 
 
+def _threads(spark, d):
+    """The latest thread of each issue."""
+    return _records(spark, d).groupBy("repository", "issue_number").agg(F.max_by("deliberation_thread", F.struct("ingested_at", "record_id")).alias("deliberation_thread"))
+
+
 def _sides(spark, d):
     """Rules over the latest record of each issue, against the artifacts that people made of it."""
-    last = _records(spark, d).groupBy("repository", "issue_number").agg(F.max_by("deliberation_thread", F.struct("ingested_at", "record_id")).alias("deliberation_thread"))
+    last = _threads(spark, d)
     candidate = align.latest_artifacts(table(spark, d, "artifact")).where("side = 'human'")
     return cut(compare.side_by_side(extract.extract(last, issue_body=True), candidate, "people"))
 
@@ -136,6 +141,18 @@ def comparison_per_type(spark, d):
     return rounded(compare.per_type(_sides(spark, d)))
 
 
+def comparison_overall(spark, d):
+    """Rules read every comment; of people's comments the tables know those with an artifact."""
+    both, key = _sides(spark, d), ["repository", "issue_number"]
+    read = extract.comments(_threads(spark, d), issue_body=True).groupBy(*key).agg(F.count("*").alias("reference_comments"))
+    marked = both.where("l = 1").groupBy(*key).agg(F.count_distinct("comment_idx").alias("candidate_comments"))
+    return rounded(compare.overall(compare.per_issue(both), read.join(marked, key, "full_outer")))
+
+
+def comparison_tag_frequency(spark, d):
+    return compare.tag_frequency(_sides(spark, d))
+
+
 # ---------------------------------------------------------------- retrieval
 
 
@@ -284,7 +301,7 @@ def cost_per_issue(spark, d):
 
 QUERIES = (
     formatted_discussion, file_references, thread_posts, timeline_events, linked_pull_requests, label_sets, actor_typology, dataset_summary, state_distribution, comment_count_filter, display_roles, earliest_issue,
-    rule_artifacts, rule_type_counts, rule_tag_inference, extraction_run_totals, comment_jobs, comment_prompts, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type,
+    rule_artifacts, rule_type_counts, rule_tag_inference, extraction_run_totals, comment_jobs, comment_prompts, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type, comparison_overall, comparison_tag_frequency,
     bm25_topk, dense_topk, hybrid_rrf, context_budget, sliding_chunks, structural_chunks, issue_context, issue_prompts, example_responses, self_excluding_examples, response_comments, resume_anti_join, model_routing, repository_slugs,
     dataset_stats, mean_f1_by_type, top_types, type_ring, box_stats, tag_shares, viewer_rows, cost_per_issue,
 )
