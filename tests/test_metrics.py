@@ -97,6 +97,24 @@ def test_leaderboard(spark):
     assert [r.repo_count for r in leaderboard.combined(c).collect()] == [1, 1]
 
 
+def test_boards_with_metadata(spark, tmp_path):
+    from threadloom.plans import metric_queries as Q
+
+    one = lambda k, side, model, tags, area, summary: (k, side, model, "r", 1, 0, k, None, "question", summary, tags, {"target_area": area}, "x")
+    rows = [one(1, "human", None, ["a"], "cache", "slow cache"), one(2, "model", "A", ["b"], "cache", "zzz"), one(3, "model", "B", ["a"], "disk", "slow cache")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "artifact.parquet"))
+    d = str(tmp_path)
+    soft = _similar("cache", "disk")
+    want = {"A": {"type_f1": 1, "metadata_f1": 1, "metadata_soft_f1": 1, "tag_f1": 0, "summary_token_f1": 0}, "B": {"type_f1": 1, "metadata_f1": 0, "metadata_soft_f1": soft, "tag_f1": 1, "summary_token_f1": 1}}
+    for f in (Q.leaderboard_components_with_metadata, Q.complete_components_with_metadata):
+        got = {(r.model_id, r.component): r.value for r in f(spark, d).collect()}
+        assert set(got) == {(m, c) for m in want for c in want[m]} and all(abs(got[m, c] - v) < 1e-5 for m in want for c, v in want[m].items())
+    board = {r.model_id: r for r in Q.leaderboard_rrf_with_metadata(spark, d).collect()}
+    assert board["A"]["rank"] == 1 and all(abs(board[m].score - s) < 1e-5 and abs(board[m].max_score - 5 / 61) < 1e-5 for m, s in (("A", 3 / 61 + 2 / 62), ("B", 2 / 61 + 3 / 62)))
+    points = {r.model_id: (round(r.composite, 5), r.points) for r in Q.profile_points_with_metadata(spark, d).collect()}
+    assert points == {m: (round(sum(v.values()) / 7, 5), round(sum(v.values()) / 7 * 100)) for m, v in want.items()}
+
+
 @pytest.mark.parametrize(("raw", "want"), [(-0.73, 0.409750), (0.21, 0.526226)])
 def test_logistic(spark, raw, want):
     r = spark.range(1).select(X.logistic_score(F.lit(raw)).alias("s"), X.logistic_score(F.lit(raw), "clip").alias("c")).first()
