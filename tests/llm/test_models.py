@@ -1,14 +1,20 @@
 """Near-duplicates against brute force; taggers and language models on held-out lines; edge cases."""
 
 import itertools
+import os
 import random
 import re
+import sys
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from threadloom.llm import langid, near_dup, pii, pii_table
+from threadloom.llm import langid, near_dup, pii
+
+sys.path.insert(0, os.path.dirname(__file__))
+import pii_lines  # noqa: E402
 
 
 def brute(rows, words, threshold, least):
@@ -78,21 +84,54 @@ def test_bad_threshold():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.Tagger(pii.train())
-
-
-def test_tagger_on_held_out_lines(tagger):
-    """Other names, numbers and mixes of lines than those it was trained on."""
-    right = wrong = missed = 0
-    for parts in pii_table.labelled(400, seed=99):
-        text, want = "", set()
-        for piece, kind in parts:
-            if kind:
-                want.add((kind, len(text)))
-            text += piece
+    return pii.Tagger(pii.train(pii.LINES, pii.EPOCHS))
+
+
+def marked(line):
+    """A hand-written line without its brackets, and its mentions as (kind, start)."""
+    kinds, text, spans, at = dict(n="name", e="email", p="phone", i="identity_number", a="street_address"), "", set(), 0
+    for m in re.finditer(r"\[\[([a-z]):(.*?)\]\]", line):
+        text += line[at : m.start()]
+        spans.add((kinds[m[1]], len(text)))
+        text, at = text + m[2], m.end()
+    return text + line[at:], spans
+
+
+def test_tagger_on_hand_written_lines(tagger):
+    """Lines of other kinds than the table's; figures by kind are in the README."""
+    lines = [x for x in pii_lines.LINES.split("\n") if x]
+    assert len(lines) > 200
+    true, found, both = Counter(), Counter(), Counter()
+    for text, want in map(marked, lines):
         got = {(pii.KINDS[k], a) for k, a, _ in tagger.texts([text])[0]}
-        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98
+        for counter, some in ((true, want), (found, got), (both, got & want)):
+            counter.update(k for k, _ in some)
+    for kind in pii.KINDS:
+        assert true[kind] > 30
+        assert both[kind] / true[kind] > 0.8 and both[kind] / found[kind] > 0.85, (kind, true[kind], found[kind], both[kind])
+
+
+def test_weights_are_kept_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "_TRAINED", {})
+    spark.conf.set(pii.MODELS, str(tmp_path))
+    try:
+        first = pii.trained(spark, 60, 1)
+        monkeypatch.setattr(pii, "_TRAINED", {})
+        monkeypatch.setattr(pii, "train", lambda *_: pytest.fail("trained twice"))
+        again = pii.trained(spark, 60, 1)
+    finally:
+        spark.conf.unset(pii.MODELS)
+    assert again.index == first.index and again.classes == first.classes and np.array_equal(again.weights, first.weights)
+
+
+@pytest.mark.parametrize("line", ["only small words here", "One capital and no more", "", "x_at"])
+def test_lines_without_anything_are_skipped(line):
+    assert not pii.may_hold(line)
+
+
+@pytest.mark.parametrize(("kind", "text", "want"), [("name", "Ada Lovelace", True), ("name", "Ludwig van Beethoven", True), ("name", "Ian McKellen", True), ("name", "Both RouteTracker", False), ("name", "stops. The", False), ("name", "Route between Nodes", False), ("phone", "+1 212 555 0100 ext. 12", True), ("phone", "+ab12cd3456789", False), ("street_address", "6926abe", False), ("email", "me at home dot example", True)])
+def test_what_a_mention_must_hold(kind, text, want):
+    assert pii.holds(kind, text) is want
 
 
 def test_tagger_edges(tagger):
@@ -113,11 +152,11 @@ def test_viterbi_against_all_paths():
 
 
 def test_redaction(spark):
-    text = "Hello\nCall me on 01 99 00 86 20 during office hours, I can share the screen."
+    text = "Hello\nYou can call us at (212) 555-0142 until noon."
     df = spark.createDataFrame([(1, [text, None, ""], "x"), (2, None, "x"), (3, [], "x")], "record_id long, texts array<string>, text string")
     got = {(r.record_id, r.thread_pos): r.text for r in pii.redact(df).collect()}
-    assert got == {(1, -1): "Hello\nCall me on [PHONE] during office hours, I can share the screen.", (1, 0): None, (1, 1): ""}
-    assert [tuple(r)[:4] for r in pii.mentions(df).collect()] == [(1, -1, "phone", text.index("01"))]
+    assert got == {(1, -1): "Hello\nYou can call us at [PHONE] until noon.", (1, 0): None, (1, 1): ""}
+    assert [tuple(r)[:4] for r in pii.mentions(df).collect()] == [(1, -1, "phone", text.index("(212)"))]
 
 
 def test_lattice_sums_all_segmentations():

@@ -6,20 +6,26 @@ batches of lines of similar length. Its features are shapes, endings and surroun
 scores is worked out once per worker and token; equal lines of a batch are decoded once.
 
 A mention must also hold what its kind can't be without: an e-mail address a sign or word for "at", a phone or identity number
-enough digits, a name two words, an address a digit.
+enough digits, a name two words with capitals, an address a digit. Lines that hold none of these aren't tagged at all.
 
-Null and empty texts have no mention.
+The field is trained from `pii_table` alone, once per process; where the session names a shared folder (`MODELS` or
+spark.checkpoint.dir) the weights are kept there under a hash of the table and the training's parameters, and later sessions read them.
+
+Null and empty texts have no mention. Names in scripts without capitals (Chinese, Japanese, Arabic and so on) aren't found.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import pii_table
@@ -27,10 +33,16 @@ from threadloom.llm import pii_table
 KINDS = ("email", "phone", "identity_number", "street_address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "street_address": "[ADDRESS]", "name": "[NAME]"}
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-LINES, EPOCHS, RATE, DECAY = 4_000, 10, 0.05, 1e-6
+LINES, EPOCHS, RATE, DECAY = 20_000, 4, 0.05, 1e-6
+#: The share of words that the training hides, and the features that stay.
+HIDDEN, PLAIN = 0.15, ("s=", "t=", "n=")
+#: What is added to the scores of a kind's labels when decoding: a mention left in clear costs more than one found too much.
+FAVOUR = {"name": 0.7, "identity_number": 0.7}
 
 TOKEN = re.compile(r"(\w+(?:[.'’+-]+\w+)*|[^\w\s])")
-RUN = re.compile(r"[A-ZÀ-ÖØ-ÞŁŚŻĆŠŽČ]+|[^\W\d_A-ZÀ-ÖØ-ÞŁŚŻĆŠŽČ]+|\d+")
+RUN = regex.compile(r"\p{Lu}+|[^\W\d_\p{Lu}]+|\d+")
+#: Where weights are kept; without it a folder below spark.checkpoint.dir.
+MODELS = "spark.threadloom.models"
 
 
 def shape(token: str, lengths: bool) -> str:
@@ -101,6 +113,12 @@ def read_lines(rows: list[list[tuple[str, str | None]]]) -> list[tuple[list[str]
     return out
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of rows, each repeated count times, with first, first + 1, ... beside them."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
@@ -120,62 +138,127 @@ def train(lines: int = LINES, epochs: int = EPOCHS, seed: int = 7) -> Model:
     index: dict[str, int] = {}
     edge = unary(None)
     rows: list[list[int]] = []
+    chance = np.random.default_rng(seed)
     for tokens, blanks, _ in data:
+        hidden = (chance.random((len(tokens), 5)) < HIDDEN).tolist()  # words are hidden now and then: by themselves, and from each neighbour
         cls = [1, *(classes.get(info[t][0][0], 0) for t in tokens), 1]
         shp = [1, *(shapes.get(info[t][0][1], 0) for t in tokens), 1]
         for k, t in enumerate(tokens):
             near = {o: (info[tokens[k + o]][1] if 0 <= k + o < len(tokens) else edge)[o] for o in (-2, -1, 1, 2)}
-            names = [*info[t][1][0], *(f for o in near for f in near[o]), f"b{blanks[k]}", f"a{blanks[k + 1] if k + 1 < len(tokens) else 2}"]
-            names += [f"L{cls[k]},{shp[k + 1]}", f"R{cls[k + 2]},{shp[k + 1]}", f"S{shp[k]},{shp[k + 2]}", f"B{blanks[k]},{shp[k + 1]}"]
+            own, hide = info[t][1][0], dict(zip((0, -2, -1, 1, 2), hidden[k], strict=True))
+            names = [f for f in own if f[2:4] in PLAIN] if hide[0] else list(own)
+            for o, some in near.items():
+                names += some[1:] if hide[o] and len(some) > 1 else some
+            names += [f"b{blanks[k]}", f"a{blanks[k + 1] if k + 1 < len(tokens) else 2}"]
+            names += [f"L{0 if hide[-1] and k else cls[k]},{shp[k + 1]}", f"R{0 if hide[1] and k + 1 < len(tokens) else cls[k + 2]},{shp[k + 1]}", f"S{shp[k]},{shp[k + 2]}", f"B{blanks[k]},{shp[k + 1]}"]
             rows.append([index.setdefault(f, len(index)) for f in names])
     count, labels = len(index), len(LABELS)
-    width = max(map(len, rows))
-    features = np.full((len(rows), width), count, np.int64)
-    for k, r in enumerate(rows):
-        features[k, : len(r)] = r
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    flat, of = np.fromiter((f for r in rows for f in r), np.int64, int(size.sum())), np.repeat(np.arange(len(rows)), size)
     first = np.cumsum([0, *(len(t) for t, _, _ in data)])
     gold = np.array([y for _, _, ys in data for y in ys])
-    w, trans = np.zeros((count + 1, labels)), np.zeros((labels, labels))
-    state = [np.zeros_like(x) for x in (w, w, trans, trans)]
-    order, step = np.random.default_rng(seed), 0
+    begin = np.r_[0, np.cumsum(size)]
+    w, trans = np.zeros((count, labels), np.float32), np.zeros((labels, labels))
+    seen_w, seen_t = [np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(trans), np.zeros_like(trans)]
+    by_length = np.argsort(np.diff(first) + chance.random(len(data)), kind="stable")  # lines of like length go together
+    batches = []
+    for some in np.array_split(by_length, max(1, len(data) // 200)):
+        length = np.diff(first)[some]
+        at = first[some][:, None] + np.minimum(np.arange(length.max()), length[:, None] - 1)
+        live = np.arange(length.max()) < length[:, None]
+        tokens = at[live]
+        row, entry = _spread(begin[tokens], size[tokens])
+        order = np.argsort(flat[entry], kind="stable")
+        names = flat[entry][order]
+        head = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        batches.append((length, at, live, entry, np.r_[0, np.cumsum(size[tokens])[:-1]], row[order], head, names[head]))
+
+    def adam(x, g, m, v, rate, step):
+        m = 0.9 * m + 0.1 * g
+        v = 0.99 * v + 0.01 * g * g
+        return x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6), m, v
+
+    step = 0
     for epoch in range(epochs):
-        by_length = np.argsort(np.diff(first) + order.random(len(data)), kind="stable")  # lines of like length go together
-        batches = np.array_split(by_length, max(1, len(data) // 200))
-        for some in (batches[k] for k in order.permutation(len(batches))):
+        for k in chance.permutation(len(batches)):
             step += 1
-            length = np.diff(first)[some]
-            most = int(length.max())
-            at = first[some][:, None] + np.minimum(np.arange(most), length[:, None] - 1)
-            live = np.arange(most) < length[:, None]
-            e = w[features[at]].sum(2)
+            length, at, live, entry, starts, by_name, head, names = batches[k]
+            most, n = int(length.max()), len(length)
+            e = np.zeros((*at.shape, labels))
+            e[live] = np.add.reduceat(w[flat[entry]], starts, axis=0)
             alpha, beta = np.zeros_like(e), np.zeros_like(e)
             alpha[:, 0] = e[:, 0]
             for t in range(1, most):
                 alpha[:, t] = np.where(live[:, t, None], _lse(alpha[:, t - 1, :, None] + trans, 1) + e[:, t], alpha[:, t - 1])
             for t in range(most - 2, -1, -1):
                 beta[:, t] = np.where(live[:, t + 1, None], _lse(trans + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-            z = _lse(alpha[np.arange(len(some)), length - 1], 1)
+            z = _lse(alpha[np.arange(n), length - 1], 1)
             p = np.exp(alpha + beta - z[:, None, None]) * live[..., None]
             y = gold[at]
-            p[np.arange(len(some))[:, None], np.arange(most), y] -= live
+            p[np.arange(n)[:, None], np.arange(most), y] -= live
             g_t = np.zeros_like(trans)
             for t in range(1, most):
                 on = live[:, t]
                 if on.any():
                     g_t += np.exp(alpha[on, t - 1, :, None] + trans + (e[on, t] + beta[on, t])[:, None, :] - z[on, None, None]).sum(0)
                     np.subtract.at(g_t, (y[on, t - 1], y[on, t]), 1)
-            flat, mass = features[at][live], p[live]
-            g_w = np.stack([np.bincount(flat.ravel(), np.repeat(mass[:, k], width), minlength=count + 1) for k in range(labels)], 1)
+            g_w = np.add.reduceat(p[live].astype(np.float32)[by_name], head, axis=0)
             rate = RATE * (1 - epoch / (epochs + 1))
-            for x, g, m, v in ((w, g_w / len(some), state[0], state[1]), (trans, g_t / len(some), state[2], state[3])):
-                g = g + DECAY * x
-                m *= 0.9
-                m += 0.1 * g
-                v *= 0.99
-                v += 0.01 * g * g
-                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-            w[count] = 0
-    return Model(index, w[:count].astype(np.float32), trans.astype(np.float32), classes, shapes)
+            # a feature's weight moves only in batches that hold it
+            w[names], seen_w[0][names], seen_w[1][names] = adam(w[names], g_w / n + DECAY * w[names], seen_w[0][names], seen_w[1][names], rate, step)
+            trans, seen_t[0], seen_t[1] = adam(trans, g_t / n + DECAY * trans, seen_t[0], seen_t[1], rate, step)
+    return Model(index, w, trans.astype(np.float32), classes, shapes)
+
+
+def pack(model: Model) -> bytes:
+    """A model as bytes, read again by `unpack`."""
+    out = io.BytesIO()
+    names = lambda d: np.frombuffer("\n".join(d).encode(), np.uint8)  # noqa: E731 - keys stand in the order of their numbers
+    np.savez_compressed(out, index=names(model.index), weights=model.weights, transitions=model.transitions, classes=names(model.classes), shapes=names(model.shapes))
+    return out.getvalue()
+
+
+def unpack(data: bytes) -> Model:
+    x = np.load(io.BytesIO(data), allow_pickle=False)
+    numbered = lambda a: {n: k for k, n in enumerate(a.tobytes().decode().split("\n"))}
+    return Model(numbered(x["index"]), x["weights"], x["transitions"], numbered(x["classes"]), numbered(x["shapes"]))
+
+
+def fingerprint(*params: object) -> str:
+    """Hash of the training table, of this module and of the training's parameters."""
+    from pathlib import Path
+
+    return hashlib.sha256(repr(params).encode() + Path(pii_table.__file__).read_bytes() + Path(__file__).read_bytes()).hexdigest()[:24]
+
+
+def trained(spark: SparkSession, lines: int = LINES, epochs: int = EPOCHS) -> Model:
+    """The field's weights: from this process, from the shared folder if the session names one, else trained (and kept there).
+
+    Two sessions that train at the same time write the same weights; an unreadable file counts as none.
+    """
+    key = (lines, epochs)
+    if key in _TRAINED:
+        return _TRAINED[key]
+    folder = spark.conf.get(MODELS, None) or spark.conf.get("spark.checkpoint.dir", None)
+    path = folder and f"{folder.rstrip('/')}/threadloom-models/pii-{fingerprint(*key)}"
+    model = None
+    if path:
+        try:
+            model = unpack(bytes(spark.read.parquet(path).first().data))
+        except Exception:  # noqa: BLE001 - absent or half written
+            model = None
+    if model is None:
+        model = train(lines, epochs)
+        if path:
+            try:
+                spark.createDataFrame([(bytearray(pack(model)),)], "data binary").coalesce(1).write.mode("overwrite").parquet(path)
+            except Exception:  # noqa: BLE001 - the folder can't be written: go on with the model at hand
+                pass
+    _TRAINED[key] = model
+    return model
+
+
+_TRAINED: dict[tuple[int, int], Model] = {}
 
 
 def viterbi(e: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -211,6 +294,7 @@ class Tagger:
         self.around, self.blank = model.table("S", self.n_shapes, self.n_shapes), model.table("B", 3, self.n_shapes)
         w = lambda f: model.weights[model.index[f]] if f in model.index else np.zeros(len(LABELS), np.float32)
         self.before, self.after = (np.stack([w(f"{x}{k}") for k in range(3)]) for x in "ba")
+        self.favour = np.array([0.0, *(FAVOUR.get(k, 0.0) for k in KINDS for _ in "BI")], np.float32)
         self.clear()
 
     def clear(self) -> None:
@@ -284,6 +368,7 @@ class Tagger:
                 x += self.scores[o][m[s]]
             x += self.left[self.cls[moved[-1][s]] * self.n_shapes + shp[s]]
             x += self.right[self.cls[moved[1][s]] * self.n_shapes + shp[s]]
+            x += self.favour
             x += self.around[self.shp[moved[-1][s]] * self.n_shapes + self.shp[moved[1][s]]]
             e[s] = x
         best = np.zeros(len(tid), np.int8)
@@ -312,29 +397,51 @@ class Tagger:
 
     def texts(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         split = [t.split("\n") if t else [] for t in texts]
-        unique = list(dict.fromkeys(x for lines in split for x in lines if x))
+        unique = [x for x in dict.fromkeys(x for lines in split for x in lines if x) if may_hold(x)]
         known = dict(zip(unique, self.lines(unique), strict=True))
         out = []
         for lines in split:
             found, at = [], 0
             for line in lines:
-                if line:
-                    found += [(k, at + a, at + b) for k, a, b in known[line]]
+                found += [(k, at + a, at + b) for k, a, b in known.get(line, ())]
                 at += len(line) + 1
             out.append(found)
         return out
 
 
+CAPITAL = regex.compile(r"(?<![\p{L}\p{N}_])[^\W\d_]*\p{Lu}")
+#: A capital inside a word that no prefix of family names explains, and a word that is too long for a particle.
+INNER = regex.compile(r"(?<!\b(?:Ma?c|De|Di|Du|Da|Del|Des|La|Le|Lo|Van|Von|Fitz|Ver|Ter|Ten|St))(?<=\p{Ll})\p{Lu}")
+SMALL = regex.compile(r"(?<![\p{L}'’.-])\p{Ll}{5,}(?!\p{L})")
+NO_NUMBER = re.compile(r"(?i)(?!ext|tel)[^\W\d_]{3}|[^\W\d_]\d*[^\W\d_]\d")
+AT = re.compile(r"@|\bat\b|_at_", re.IGNORECASE)
+
+
 def holds(kind: str, text: str) -> bool:
     """What a mention of a kind can't be without."""
     digits = sum(map(str.isdigit, text))
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", text, re.IGNORECASE) and re.search(r"\.|\bdot\b", text, re.IGNORECASE))
+        return bool(AT.search(text) and re.search(r"\.|dot|d0t", text, re.IGNORECASE))
     if kind == "name":
-        return not digits and len(re.findall(r"[^\W\d_]+(?:[.'’-]+[^\W\d_]+)*", text)) > 1
+        if INNER.search(text) or SMALL.search(text):
+            return False
+        return not digits and not re.search(r"[^\W\d_]{3,}\. ", text) and len(re.findall(r"[^\W\d_]+(?:[.'’-]+[^\W\d_]+)*", text)) > 1 and len(CAPITAL.findall(text)) > 1
+    if kind == "phone" and NO_NUMBER.search(text) or kind == "identity_number" and len(text) > 32:
+        return False
+    if kind == "street_address" and not re.search(r"\s", text):
+        return False
     return digits >= {"phone": 7, "identity_number": 6, "street_address": 1}[kind]
 
 
+def may_hold(line: str) -> bool:
+    """Whether a line has what a mention of some kind needs (see `holds`)."""
+    return bool(DIGIT_OR_AT.search(line)) or bool(TWO_CAPITALS.search(line))
+
+
+DIGIT_OR_AT = re.compile(r"\d|@|\bat\b|_at_", re.IGNORECASE)
+TWO_CAPITALS = regex.compile(r"(?<![\p{L}\p{N}_])[^\W\d_]*\p{Lu}.*?[^\p{L}\p{N}_][^\W\d_]*\p{Lu}")
+
+
 _TAGGER: dict[tuple, Tagger] = {}
 
 
@@ -365,7 +472,7 @@ def redact(records: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def _run(records: DataFrame, lines: int, redacted: bool) -> DataFrame:
-    model = records.sparkSession.sparkContext.broadcast(train(lines))  # weights, of the table's size
+    model = records.sparkSession.sparkContext.broadcast(trained(records.sparkSession, lines))  # weights, of the table's size
     schema = "record_id long, thread_pos int, text string, mentions int" if redacted else "record_id long, thread_pos int, pii_kind string, start_pos int, end_pos int"
     types = (pa.int64(), pa.int32(), pa.string(), pa.int32()) if redacted else (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
 
