@@ -3,12 +3,15 @@
 The mix is T tokens long, T being the most for which every source can give its share within its cap of repeats. A listed source
 without tokens (no documents, or none with text) can't give any share: it is left out and the shares of the others are scaled
 to sum 1. A source with few tokens isn't left out: shares are kept exactly and caps are never passed, so the scarcest source
-(least tokens * cap / share) sets the length of the mix, and what the others have beyond their share of it stays unused. A source is
-a queue of passes over its documents in a fixed order; share * T tokens of it are taken: whole passes for all of its
-documents and part of one more. The mix itself is cut into blocks. Block k of a source with weight w is released at block
-time floor(k / w) and due at ceil((k + 1) / w); running the released block with the earliest deadline keeps each source less
-than one block from its share at every moment. The schedule's length is a parameter, so the driver's part doesn't grow with
-the data.
+(least tokens * cap / share) sets the length of the mix, and what the others have beyond their share of it stays unused.
+
+The mix is cut into blocks of equal size, and the schedule gives each block to a source. Block k of a source with weight w is
+released at block time floor(k / w) and due at ceil((k + 1) / w); running the released block with the earliest deadline keeps each
+source less than one block from its share at every moment. All else follows from the blocks that a source was given: a source is
+a queue of passes over its documents in a fixed order, its blocks are filled from the queue, and a use of a document belongs to the
+block that holds its middle. So at every moment a source is off its share by less than one block and half a document. The
+schedule's length is a parameter, so the driver's part doesn't grow with the data; at 100 TB a block of the default is 1/2,000 of
+the mix, and a finer interleave wants a longer schedule (a million blocks are still a small table).
 
 Where documents stand in their source's order comes from two prefix sums, over hash ranges and inside each range: no source,
 however large, is sorted in one task.
@@ -70,7 +73,7 @@ class Mix:
     """A mix of documents ``doc_id, source, n_tokens`` (one row each) to a table of targets."""
 
     def __init__(self, sizes: DataFrame, mix_target: DataFrame, blocks: int = BLOCKS) -> None:
-        self.spark, self.blocks, self.want = sizes.sparkSession, blocks, targets(mix_target)
+        self.spark, self.want = sizes.sparkSession, targets(mix_target)
         wanted = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), clean_source(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
         wanted = wanted.where(F.col("source").isin(*self.want) if self.want else F.lit(False)).distinct()
         place = F.xxhash64("doc_id", F.lit(17))
@@ -80,7 +83,13 @@ class Mix:
         there = {s: w for s, (w, _) in self.want.items() if self.has.get(s)}
         self.share = {s: w / sum(there.values()) for s, w in there.items()}
         self.total = min((self.has[s] * self.want[s][1] / w for s, w in self.share.items()), default=Fraction(0))
-        self.quota = {s: int(w * self.total) for s, w in self.share.items()}
+        self.blocks = min(blocks, int(self.total))
+        self.size = int(self.total / self.blocks) if self.blocks else 1
+        self.slots: list[tuple[str, int, int]] = []
+        self.granted = dict.fromkeys(self.share, 0)
+        for time, s in enumerate(pfair(self.share, self.blocks)):
+            self.slots.append((s, self.granted[s], time))
+            self.granted[s] += 1
 
     def _table(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -93,17 +102,23 @@ class Mix:
         inner = self.docs.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         return inner.join(start, ["source", "part"]).select("doc_id", "source", "n_tokens", (F.col("start") + F.col("inner")).alias("before"))
 
+    def _used(self) -> DataFrame:
+        """Placed documents with ``pass_tokens`` (of their source) and ``times_used``: the uses whose middle lies in a granted block.
+
+        Use u of a document has its middle at u * pass_tokens + before + n_tokens / 2.
+        """
+        rows = [(s, self.has[s], n * self.size, self.want[s][1]) for s, n in self.granted.items()]
+        plan = F.broadcast(self._table(rows, "source string, pass_tokens long, granted_tokens long, cap long"))  # a row for each listed source
+        room = F.expr("2 * granted_tokens - 2 * before - n_tokens")
+        times = F.when(room > 0, F.expr("(2 * granted_tokens - 2 * before - n_tokens + 2 * pass_tokens - 1) div (2 * pass_tokens)")).otherwise(0)
+        return self.placed().join(plan, "source").withColumn("times_used", F.least(times, "cap").cast("int")).where("times_used > 0")
+
     def chosen(self) -> DataFrame:
-        """doc_id, source, n_tokens, times_used: every document that is used, at most max_repeats times.
+        """doc_id, source, n_tokens, times_used: every document with a use in a block that the schedule gave to its source.
 
-        A document belongs to the partial pass if its middle stands before the pass's end, so each source is off its share
-        by half a document at most. Documents without tokens are used in the whole passes only, and once if there is none.
+        No document is used more than max_repeats times. One without tokens is used where it stands in its source's order.
         """
-        rows = [(s, q // self.has[s], q % self.has[s], self.want[s][1]) for s, q in self.quota.items()]
-        plan = F.broadcast(self._table(rows, "source string, passes long, part_tokens long, cap long"))  # a row for each listed source
-        used = self.placed().join(plan, "source")
-        more = ((F.col("before") * 2 + F.col("n_tokens")) < F.col("part_tokens") * 2).cast("long")
-        return used.select("doc_id", "source", "n_tokens", F.least(F.col("passes") + more, "cap").cast("int").alias("times_used")).where("times_used > 0")
+        return self._used().select("doc_id", "source", "n_tokens", "times_used")
 
     def shares(self) -> DataFrame:
         """source, target_share, max_repeats, available_tokens, used_tokens, documents, uses, actual_share, for each listed source.
@@ -116,26 +131,14 @@ class Mix:
         each = each.select("source", "target_share", "max_repeats", "available_tokens", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("used_tokens", "documents", "uses")])
         return each.withColumn("actual_share", F.coalesce(F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(Window.partitionBy())), F.lit(0.0)))
 
-    def schedule(self) -> list[tuple[str, int, int]]:
-        """(source, its block number, block time) for every block of the mix."""
-        seen: dict[str, int] = {}
-        out = []
-        for t, s in enumerate(pfair(self.share, self.blocks) if self.total else []):
-            out.append((s, seen.get(s, 0), t))
-            seen[s] = seen.get(s, 0) + 1
-        return out
-
     def ordered(self) -> DataFrame:
         """Every use of every chosen document in the order of the mix: doc_id, source, n_tokens, use_no, block_time, in_block.
 
-        Sorting by (block_time, in_block, doc_id) gives the interleaved mix.
+        Sorting by (block_time, in_block, doc_id) gives the interleaved mix; in_block is where the use begins, before the block's
+        own start (negative) if it began in the source's block before.
         """
-        use = self.chosen().select("doc_id", "times_used").join(self.placed(), "doc_id").withColumn("use_no", F.explode(F.sequence(F.lit(0), F.col("times_used") - 1)))
-        rows = [(s, self.has[s]) for s in self.share]
-        at = use.join(F.broadcast(self._table(rows, "source string, pass_tokens long")), "source").withColumn("offset", F.col("use_no") * F.col("pass_tokens") + F.col("before"))
-        size = max(1, int(self.total / self.blocks))
-        slots = self._table(self.schedule(), "source string, block_no long, block_time int")
-        last = slots.groupBy("source").agg(F.max("block_no").alias("last_block"))
-        at = at.join(F.broadcast(last), "source").withColumn("block_no", F.least(F.floor(F.col("offset") / size), F.col("last_block")))
-        at = at.join(F.broadcast(slots), ["source", "block_no"])  # BLOCKS rows
-        return at.select("doc_id", "source", "n_tokens", "use_no", "block_time", (F.col("offset") - F.col("block_no") * size).alias("in_block"))
+        use = self._used().withColumn("use_no", F.explode(F.sequence(F.lit(0), F.col("times_used") - 1)))
+        at = use.withColumn("offset", F.col("use_no") * F.col("pass_tokens") + F.col("before")).withColumn("block_no", F.expr(f"(2 * offset + n_tokens) div {2 * self.size}"))
+        slots = F.broadcast(self._table(self.slots, "source string, block_no long, block_time int"))  # one row per block, a parameter
+        at = at.join(slots, ["source", "block_no"])
+        return at.select("doc_id", "source", "n_tokens", "use_no", "block_time", (F.col("offset") - F.col("block_no") * self.size).alias("in_block"))
