@@ -60,15 +60,24 @@ def test_pairs_against_brute_force(spark):
     assert {(r.item_a, r.item_b): r.n for r in cooccur.pair_counts(df, None).collect()} == dict(two)
 
 
-def test_many_item_blocks():
+@pytest.mark.parametrize(("held", "skew"), [(1_000_000, 0.0), (1_000_000, 1.0), (300, 1.0), (50, 0.3)])
+def test_gram_in_blocks(spark, held, skew):
+    """Thousands of items, frequent and rare, over several record blocks, and with so little room that sums leave early."""
     rng = random.Random(2)
-    sets = [set(rng.sample(range(1000), 5)) for _ in range(5000)]
-    import numpy as np
-
-    g = cooccur.Gram()
-    g.take(np.array([k for k, s in enumerate(sets) for _ in s]), np.array([x for s in sets for x in sorted(s)]))
-    got = {(int(a), int(b)): int(n) for i, j, c in g.entries() for a, b, n in zip(i, j, c, strict=True)}
+    names, weight = [f"i{k}" for k in range(1500)], [1 / (k + 1) ** skew for k in range(1500)]
+    sets = [set(rng.choices(names, weight, k=rng.randrange(0, 9))) for _ in range(9000)]
+    df = spark.createDataFrame([(sorted(s),) for s in sets], "items array<string>").coalesce(1)
+    got = {(r.item_a, r.item_b): r.n for r in cooccur.pair_counts(df, held=held).collect()}
     assert got == dict(Counter(p for s in sets for p in itertools.combinations(sorted(s), 2)))
+    some = set(names[:40])
+    got = {(r.item_a, r.item_b): r.n for r in cooccur.pair_counts(df, sorted(some), held=held).collect()}
+    assert got == dict(Counter(p for s in sets for p in itertools.combinations(sorted(s & some), 2)))
+
+
+def test_a_basket_with_very_many_items(spark):
+    df = spark.createDataFrame([([f"x{k}" for k in range(700)],), (["x1", "x2"],), ([],), (None,)], "items array<string>")
+    got = {(r.item_a, r.item_b): r.n_ab for r in cooccur.cooccurrence(df, 1, 0.0).collect()}
+    assert len(got) == 700 * 699 // 2 and got["x1", "x2"] == 2
 
 
 def test_baskets(spark):

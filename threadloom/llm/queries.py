@@ -35,7 +35,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = cooccur.cooccurrence(cooccur.artifact_baskets(table(spark, d, "artifact")))
+    pairs = cooccur.cooccurrence(cooccur.artifact_baskets(table(spark, d, "artifact")), min_count=1, min_share=0.0)
     return pairs.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n_total", F.round("expected", 6).alias("expected"), F.round("lift", 6).alias("lift"))
 
 
@@ -118,7 +118,6 @@ WITH last AS (SELECT artifact_id, max(struct_pack(e := extracted_at, t := type,
 SELECT pair.item_a, pair.item_b, a.n AS n_a, b.n AS n_b, pair.n AS n_ab, total.n AS n_total,
  round(a.n::DOUBLE * b.n / total.n, 6) AS expected, round(pair.n::DOUBLE * total.n / (a.n::DOUBLE * b.n), 6) AS lift
 FROM pair JOIN single a ON a.item = item_a JOIN single b ON b.item = item_b CROSS JOIN total
-WHERE pair.n >= 10 AND 1000 * pair.n >= total.n
 """
 
 
@@ -136,5 +135,5 @@ WITH t AS (SELECT DISTINCT record_id, lower(coalesce(input_vector.title, '') ||
  o AS (SELECT a.record_id AS record_id_a, b.record_id AS record_id_b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.record_id < b.record_id GROUP BY ALL)
 SELECT record_id_a, record_id_b FROM o JOIN n a ON a.record_id = record_id_a JOIN n b ON b.record_id = record_id_b WHERE 2 * o >= a.n + b.n - o""",
         "p4_pairs": _PAIRS,
-        "p4_found": f"SELECT item_a, item_b FROM ({_PAIRS}) WHERE n_ab * n_total >= 2 * n_a * n_b",
+        "p4_found": f"SELECT item_a, item_b FROM ({_PAIRS}) WHERE n_ab >= 10 AND 1000 * n_ab >= n_total AND n_ab * n_total >= 2 * n_a * n_b",
     }
