@@ -43,12 +43,11 @@ def corpus(seed, n=250):
 
 
 @pytest.mark.parametrize(("words", "threshold", "least", "hot"), [(3, Fraction(1, 2), 30, 50_000), (2, Fraction(4, 5), 0, 50_000), (3, Fraction(1, 2), 0, 7)])
-def test_join_is_exact(spark, monkeypatch, words, threshold, least, hot):
-    monkeypatch.setattr(near_dup, "HOT", hot)
+def test_join_is_exact(spark, words, threshold, least, hot):
     rows = corpus(words + hot)
     want, sets = brute(dict(rows).items(), words, threshold, least)
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "record_id long, text string, sig int")
-    join = near_dup.Join(df, words, threshold, least, bits=12)
+    join = near_dup.Join(df, words, threshold, least, hot)
     got = [(r.record_id_a, r.record_id_b) for r in join.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
     group = {r.record_id: r.group_id for r in join.groups().collect()}
@@ -67,7 +66,7 @@ def test_join_is_exact(spark, monkeypatch, words, threshold, least, hot):
 
 
 def test_join_of_nothing(spark):
-    j = near_dup.Join(spark.createDataFrame([(1, None), (2, "")], "record_id long, text string"), bits=10)
+    j = near_dup.Join(spark.createDataFrame([(1, None), (2, "")], "record_id long, text string"))
     assert j.pairs().count() == j.groups().count() == 0
 
 

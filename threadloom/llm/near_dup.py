@@ -4,11 +4,13 @@ A text is the set of its runs of `words` successive words. Two texts belong toge
 reaches the threshold. The join is exact; nothing is sampled or capped.
 
 * Sets are sorted by one global order, rare shingles first, and only a prefix of each is indexed and probed: sets that share
-  nothing there can't be similar. The order comes from a table of counts of hashed shingles over all records, of fixed size.
+  nothing there can't be similar. The order is by exact document frequency, counted over all classes and joined back, whatever their
+  number; shingles of one class alone can't be shared, so only their number is kept.
 * Index lists are skipped in blocks. The entries of a list with the same set size and position form one block, and a block is
   compared with another as a whole: if what is left behind the two positions can't make up the overlap, no entry of either
-  is looked at. Lists longer than `HOT` are dealt to several tasks: each holds a part as index and probes it with all of it.
-* Answers are derived. Sets that agree in their least hashes form a family; a member is kept as what it adds to and lacks of
+  is looked at. Lists of more than `HOT` prefix entries are cut into a grid: each cell holds one part as index and one as
+  probes, so no task holds more than two parts of a list.
+* Answers are derived. Sets that agree in their least hashes form a family; a member is known by how much it adds to and lacks of
   the family's leader. The overlap of a candidate with the leader, worked out once, decides most of the members by the sizes of
   their differences alone, and only the undecided are compared shingle by shingle.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from threadloom.session import cut
 
-BITS, HOT, CHUNK, PAIRS_AT_ONCE = 22, 50_000, 400_000, 2_000_000
+HOT, CHUNK, PAIRS_AT_ONCE = 50_000, 400_000, 2_000_000
 WORD = re.compile("[a-z0-9]+")
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -77,10 +79,6 @@ def shingle_sets(texts: list[str | None], words: int, min_words: int) -> tuple[n
     return owner[new], run[new]
 
 
-def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
-    return (_mix(h ^ M2) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 class Similarity:
     """The arithmetic of Jaccard >= p/q on set sizes."""
 
@@ -149,37 +147,24 @@ class Join:
     """The similarity join of ``record_id, text``.
 
     `members` is one row ``record_id, sig`` per record that takes part (sig: its class of equal sets), `sets` one row
-    ``sig, n, shingles`` per class, `links` one row ``sig_a, sig_b, overlap_least`` per pair of similar classes.
+    ``sig, n, shingles`` per class that shares a shingle with another (n: all its shingles; shingles: the shared ones, rare first),
+    `links` one row per pair of similar classes.
     """
 
-    def __init__(self, records: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), min_words: int = 0, bits: int = BITS) -> None:
-        self.words, self.min_words, self.bits, self.sim = words, min_words, bits, Similarity(threshold)
+    def __init__(self, records: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), min_words: int = 0, hot: int = HOT) -> None:
+        self.words, self.min_words, self.hot, self.sim = words, min_words, hot, Similarity(threshold)
         self.records = records.select(F.col("record_id").cast("long").alias("record_id"), F.col("text").cast("string").alias("text"))
         self.spark = records.sparkSession
-        self.counts = self.spark.sparkContext.broadcast(self._counts())  # 2**bits counts, whatever the data
-        found = self._found()  # read twice rather than written with all its shingles
+        found = cut(self._found())
         self.members = cut(found.select("record_id", "sig").distinct())
-        self.sets = cut(found.groupBy("sig").agg(F.first("shingles").alias("shingles")).select("sig", F.size("shingles").alias("n"), "shingles"))
-
-    def _counts(self) -> np.ndarray:
-        words, min_words, bits = self.words, self.min_words, self.bits
-
-        def run(batches):
-            seen = np.zeros(1 << bits, np.int64)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 2000):
-                    seen += np.bincount(_bucket(shingle_sets(batch.column(0).slice(lo, 2000).to_pylist(), words, min_words)[1], bits), minlength=1 << bits)
-            held = np.flatnonzero(seen)
-            for lo in range(0, len(held), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(held[lo : lo + 100_000], pa.int32()), pa.array(seen[held[lo : lo + 100_000]])], ["bucket", "n"])
-
-        rows = self.records.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-        out = np.ones(1 << bits, np.int32)
-        out[rows.column("bucket").to_numpy()] = np.minimum(rows.column("n").to_numpy(), 2**31 - 1)
-        return out
+        classes = found.groupBy("sig").agg(F.first("shingles").alias("shingles"))
+        entries = classes.select("sig", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+        often = entries.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+        shared = entries.join(often, "shingle").groupBy("sig").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+        self.sets = cut(shared.select("sig", "n", F.transform("s", lambda x: x["shingle"]).alias("shingles")))
 
     def _found(self) -> DataFrame:
-        words, min_words, bits, counts = self.words, self.min_words, self.bits, self.counts
+        words, min_words = self.words, self.min_words
 
         def run(batches):
             for batch in batches:
@@ -188,8 +173,6 @@ class Join:
                     owner, h = shingle_sets(part.column(1).to_pylist(), words, min_words)
                     if not len(h):
                         continue
-                    order = np.lexsort((h, counts.value[_bucket(h, bits)], owner))
-                    owner, h = owner[order], h[order]
                     head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                     sig = _mix(np.add.reduceat(_mix(h ^ M3), head)).view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(h)].astype(np.int32)), pa.array(h.view(np.int64)))
@@ -198,34 +181,40 @@ class Join:
         return self.records.mapInArrow(run, "record_id long, sig long, shingles array<long>")
 
     def _postings(self) -> DataFrame:
-        """Prefix entries ``shingle, salt, sig, n, pos, role``; shingles that occur once are in no list."""
-        bits, counts, sim = self.bits, self.counts, self.sim
+        """Prefix entries ``shingle, sig, n, pos, role``; the shingles that a set has for itself alone stand before all others."""
+        sim = self.sim
 
         def run(batches):
             for batch in batches:
                 lists = batch.column("shingles")
                 size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 h = lists.flatten().to_numpy(zero_copy_only=False)
-                start = np.cumsum(size) - size
-                row, at = _spread(start, np.minimum(sim.probed(size), size))
-                pos, h = at - start[row], h[at]
-                seen = counts.value[_bucket(h.view(np.uint64), bits)]
-                kept = seen > 1
-                row, pos, h, seen = row[kept], pos[kept], h[kept], seen[kept].astype(np.int64)
-                sig, n = batch.column("sig").to_numpy(zero_copy_only=False)[row], size[row]
-                parts = -(-seen // HOT)
-                cold = parts == 1
-                out = [(h[cold], np.zeros(cold.sum(), np.int64), sig[cold], n[cold], pos[cold], np.where(pos[cold] < sim.indexed(n[cold]), 3, 2))]
-                if not cold.all():
-                    w = np.flatnonzero(~cold)
-                    i = w[pos[w] < sim.indexed(n[w])]
-                    out.append((h[i], (sig[i].view(np.uint64) % parts[i].astype(np.uint64)).astype(np.int64), sig[i], n[i], pos[i], np.full(len(i), 1)))
-                    r, salt = _spread(np.zeros(len(w), np.int64), parts[w])
-                    out.append((h[w][r], salt, sig[w][r], n[w][r], pos[w][r], np.full(len(r), 2)))
-                for h_, salt, sig_, n_, pos_, role in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(h_), pa.array(salt, pa.int32()), pa.array(sig_), pa.array(n_, pa.int32()), pa.array(pos_, pa.int32()), pa.array(role, pa.int8())], ["shingle", "salt", "sig", "n", "pos", "role"])
-
-        return self.sets.select("sig", "shingles").mapInArrow(run, "shingle long, salt int, sig long, n int, pos int, role byte")
+                n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+                start, alone = np.cumsum(size) - size, n - size
+                row, at = _spread(start, np.maximum(np.minimum(sim.probed(n), n) - alone, 0))
+                pos, h = at - start[row] + alone[row], h[at]
+                sig, n = batch.column("sig").to_numpy(zero_copy_only=False)[row], n[row]
+                role = np.where(pos < sim.indexed(n), 3, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sig), pa.array(n, pa.int32()), pa.array(pos, pa.int32()), pa.array(role, pa.int8())], ["shingle", "sig", "n", "pos", "role"])
+
+        return self.sets.mapInArrow(run, "shingle long, sig long, n int, pos int, role byte")
+
+    def _cells(self) -> DataFrame:
+        """Postings with ``salt``: long lists are dealt to a grid of cells, an index part by a part of the probes each."""
+        lists = self._postings()
+        long = cut(lists.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > self.hot).select("shingle", F.ceil(F.col("m") / self.hot).cast("int").alias("g")))
+        names = ("shingle", "salt", "sig", "n", "pos", "role")
+        if not long.head(1):
+            return lists.withColumn("salt", F.lit(0)).select(*names)
+        both = lists.join(long, "shingle", "left").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("g")).cast("int"))
+        short = both.where("g is null").withColumn("salt", F.lit(0))
+        # cell (index part, probe part) is salt g * index part + probe part; an entry that is both goes to its own cell once
+        other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+        far = both.where("g is not null").withColumn("other", other)
+        index = far.where("role = 3 and other <> part").withColumn("salt", F.expr("g * part + other")).withColumn("role", F.lit(1).cast("byte"))
+        probe = far.where("other <> part").withColumn("salt", F.expr("g * other + part")).withColumn("role", F.lit(2).cast("byte"))
+        own = far.where("other = part").withColumn("salt", F.expr("g * part + part"))
+        return short.select(*names).unionByName(index.select(*names)).unionByName(probe.select(*names)).unionByName(own.select(*names))
 
     def candidates(self) -> DataFrame:
         """Pairs of classes ``sig_a, sig_b, n_a, n_b`` that share enough of their prefixes to be similar still."""
@@ -259,7 +248,7 @@ class Join:
             if rows:
                 yield from hits({c: np.concatenate([x[c] for x in held]) for c in names})
 
-        lists = self._postings().repartition("shingle", "salt").sortWithinPartitions("shingle", "salt")
+        lists = self._cells().repartition("shingle", "salt").sortWithinPartitions("shingle", "salt")
         found = lists.mapInArrow(run, "sig_a long, sig_b long, n_a int, n_b int, c int, p_a int, p_b int")
         each = found.groupBy("sig_a", "sig_b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("c").alias("c"), F.max("p_a").alias("p_a"), F.max("p_b").alias("p_b"))
         most = F.col("c") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
@@ -269,21 +258,21 @@ class Join:
         return F.ceil(F.lit(self.sim.p) * (a + b) / F.lit(self.sim.p + self.sim.q) - F.lit(1e-9))
 
     def families(self) -> DataFrame:
-        """Members ``sig, leader, adds, lacks`` of families (not their leaders): classes that agree in their two least hashes and
-        differ in at most a quarter of their shingles."""
+        """Members ``sig, leader, adds, lacks`` (numbers of shingles) of families, not their leaders: classes that agree in their two
+        least hashes and differ in at most a quarter of their shingles."""
         lead = F.slice(F.array_sort(F.transform("shingles", lambda x: F.xxhash64(x))), 1, 2)
-        keyed = self.sets.select("sig", F.xxhash64(lead).alias("family"))
+        keyed = self.sets.where(F.size("shingles") > 1).select("sig", F.xxhash64(lead).alias("family"))
         leaders = keyed.groupBy("family").agg(F.min("sig").alias("leader"), F.count("*").alias("size")).where("size > 1")
         member = keyed.join(leaders, "family").where("sig <> leader").select("sig", "leader")
-        own, theirs = self.sets.select("sig", F.col("shingles").alias("own")), self.sets.select(F.col("sig").alias("leader"), F.col("shingles").alias("theirs"))
-        both = member.join(own, "sig").join(theirs, "leader")
-        both = both.select("sig", "leader", F.array_except("own", "theirs").alias("adds"), F.array_except("theirs", "own").alias("lacks"), F.size("own").alias("n"))
-        return both.where((F.size("adds") + F.size("lacks")) * 4 <= F.col("n")).select("sig", "leader", "adds", "lacks")
+        own, theirs = self.sets.select("sig", "n", F.col("shingles").alias("own")), self.sets.select(F.col("sig").alias("leader"), F.col("n").alias("n_leader"), F.col("shingles").alias("theirs"))
+        both = member.join(own, "sig").join(theirs, "leader").withColumn("common", F.size(F.array_intersect("own", "theirs")))
+        both = both.select("sig", "leader", (F.col("n") - F.col("common")).alias("adds"), (F.col("n_leader") - F.col("common")).alias("lacks"), "n")
+        return both.where((F.col("adds") + F.col("lacks")) * 4 <= F.col("n")).select("sig", "leader", "adds", "lacks")
 
     def links(self) -> DataFrame:
         """Pairs of similar classes ``sig_a, sig_b, n_a, n_b``, each once."""
         least = self._least(F.col("n_a"), F.col("n_b"))
-        family = self.families().select(F.col("sig").alias("sig_a"), "leader", F.size("adds").alias("adds"), F.size("lacks").alias("lacks"))
+        family = self.families().withColumnRenamed("sig", "sig_a")
         pairs = cut(self.candidates().join(family, "sig_a", "left").withColumn("leader", F.coalesce("leader", "sig_a")))
         side = lambda sig, name: self.sets.select(F.col("sig").alias(sig), F.col("shingles").alias(name))
         led = pairs.select("leader", "sig_b").distinct().join(side("leader", "x"), "leader").join(side("sig_b", "y"), "sig_b")
