@@ -184,14 +184,52 @@ def test_languages(spark):
     rows = [(k, t, None, 0) for k, t in enumerate(wrong.values())] + [(50, wrong["en"] + " " + wrong["de"], "en", 0), (51, "```\nx = 1.\n```\n[12] run status=3", "en", 0), (52, None, None, 0), (53, "", "xx", 0), (54, wrong["en"], "English", 0), (55, wrong["en"], "EN_gb", 0), (56, wrong["en"], "de-AT", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, confidence int")
     reference = spark.createDataFrame([(k, k + "x", {"en": "English", "de": "German"}.get(k, k)) for k in langs], "lang string, iso3 string, name string")
-    p = langid.segments(docs, langs, model)
+    p = langid.labelled_segments(docs, reference, langs, model)
     assert {r.doc_id: r.lang for r in p.collect() if r.doc_id < 10} == dict(enumerate(wrong))
     two = [(r.lang, rows[7][1][r.start_pos : r.end_pos]) for r in p.where("doc_id = 50").orderBy("segment_no").collect()]
     assert two == [("en", wrong["en"]), ("de", wrong["de"])]
-    bad = {(r.doc_id, r.lang) for r in langid.wrong_labels(docs, p, reference).collect()}
+    bad = {(r.doc_id, r.lang) for r in langid.wrong_labels(p).collect()}
     assert bad == {*((k, x) for k, x in enumerate(wrong)), (50, "en"), (50, "de"), (56, "en")}
     d = {r.doc_id: r for r in langid.document_languages(docs, p).collect()}
     assert len(d) == len(rows) and d[52].lang is None and d[52].confidence == 0 and d[50].languages == 2
     empty = docs.where("false")
     fitted = langid.fit_documents(empty, reference)
-    assert langid.wrong_labels(empty, langid.segments(empty, *fitted), reference).count() == 0
+    assert langid.wrong_labels(langid.labelled_segments(empty, reference, *fitted)).count() == 0
+
+
+def test_long_words_are_summed_whole():
+    """Rescaling on the way changes nothing, and no length makes a score vanish."""
+    v = langid.vocabulary()
+    prob = langid.with_one(np.random.default_rng(4).random((v.size, 2)) * 0.01)
+    unit = "▁" + "abcdefghij" * 5
+    whole = np.zeros(len(unit) + 1)
+    whole[0] = 1
+    for a, b, ids in sorted(v.spans(unit), key=lambda x: x[1]):
+        whole[b] += whole[a] * np.prod([prob[i, 0] for i in ids])
+    got = langid.Lattice(v, [unit, "▁x", unit * 40]).log_scores(prob)
+    assert np.isclose(got[0, 0], np.log(whole[-1])) and got[2, 0] < 30 * got[0, 0] and np.isfinite(got).all()
+
+
+STRANGERS = {
+    "et": "Keegi ei tea, miks see fail pärast uuendamist enam ei avane. Palun vaadake seda järgmisel nädalal uuesti.",
+    "fi": "Kukaan ei tiedä, miksi tiedosto ei enää aukea päivityksen jälkeen. Katsokaa tätä uudestaan ensi viikolla.",
+    "hu": "Senki sem tudja, miért nem nyílik meg a fájl a frissítés után. Kérem, nézzék meg újra a jövő héten.",
+    "tr": "Güncellemeden sonra dosyanın neden açılmadığını kimse bilmiyor. Lütfen gelecek hafta tekrar bakın.",
+    "ko": "업데이트 후에 파일이 왜 열리지 않는지 아무도 모릅니다. 다음 주에 다시 확인해 주세요.",
+    "el": "Κανείς δεν ξέρει γιατί το αρχείο δεν ανοίγει μετά την ενημέρωση. Δείτε το ξανά την επόμενη εβδομάδα.",
+    "id": "Tidak ada yang tahu mengapa berkas itu tidak bisa dibuka setelah pembaruan. Tolong periksa lagi minggu depan.",
+}
+
+
+def test_confidence_is_low_for_other_languages():
+    """The sentences of the table alone as training data: its languages are sure, those of none aren't."""
+    langs = sorted(langid.SEEDS)
+    model = langid.train([], langs)
+    scorer = langid.Scorer(model.prob)
+
+    def sure(text):
+        _, _, _, scores, words, _, _ = scorer.sentences([text])
+        return model.posterior(scores, words)[:, :-1].max(1)
+
+    assert all((sure(t) < 0.5).all() for t in STRANGERS.values()), {k: sure(t) for k, t in STRANGERS.items()}
+    assert np.mean([sure(langid.SEEDS[x]).mean() for x in langs]) > 0.9

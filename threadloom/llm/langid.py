@@ -6,9 +6,14 @@ words. As no piece spans a blank, and none spans two characters that no piece ho
 first: the sum over segmentations of the whole is the product of those of the parts, and each part is scored once per worker.
 
 The probabilities are trained by expectation-maximisation (the same forward pass, with a backward one) on a bounded sample of
-documents with a label (`SAMPLE`), whose wrong labels are then corrected sentence by sentence by the model itself and the
+documents with a label (`SAMPLE`, of which `CALIBRATED` are calibrated on), whose wrong labels are then corrected sentence by sentence by the model itself and the
 training repeated. A few sentences per language (`SEEDS`) tie each language to its name where labels are few.
 
+How sure a language is is calibrated. Beside the languages stands a background, whose piece probabilities are the mean of all of
+theirs and a uniform share; log scores are divided by a power of the number of words and a temperature before they become
+probabilities. Power, temperature and the background's weight are those under which the training sentences are most likely:
+each as what it is, and each once more with its own language taken away, when the background is the right answer.
+
 A sentence is a run of at least `WORDS` words, of all scripts, up to a full stop, question or exclamation mark. Code blocks,
 lines of logs, headings and identifiers hold no sentence and no words. Null and empty texts have no passage.
 """
@@ -18,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLE, SAMPLE_CHARS, ROUNDS, STEPS = 2_000, 20_000, 3, 3
-WORDS, UNIT = 2, 48
+SAMPLE, SAMPLE_CHARS, ROUNDS, STEPS, CALIBRATED = 2_000, 20_000, 3, 3, 500
+#: Words of a sentence at least; in training, the length in which very long parts of words are taken; positions between rescalings.
+WORDS, UNIT, RESCALE = 2, 48, 24
+#: What the calibration chooses from: the background's uniform share, powers of the number of words, temperatures, background offsets.
+UNIFORM, POWERS, TEMPERATURES, OFFSETS = 0.3, (0.0, 0.25, 0.5, 0.75, 1.0), tuple(0.06 * 1.4**k for k in range(16)), (-4.0, -2.0, 0.0, 2.0, 4.0, 6.0, 8.0, 11.0, 15.0, 20.0)
 SEGMENTS = "doc_id long, segment_no int, start_pos int, end_pos int, lang string, confidence double, sentences int"
 
 #: Plain sentences of each language, written for this table; what each says doesn't matter.
@@ -81,11 +90,11 @@ class Vocabulary:
         self.longest = max(len(n) for n in self.ids)
         self.side_by_side = {n[k : k + 2] for n in self.ids for k in range(len(n) - 1)}
 
-    def units(self, word: str) -> list[str]:
-        """Parts of a word (with its leading blank) that segmentations can't bridge; a very long part is taken in lengths of UNIT."""
+    def units(self, word: str, most: int = 0) -> list[str]:
+        """Parts of a word (with its leading blank) that segmentations can't bridge; with `most`, longer ones in that length."""
         s = "▁" + word.lower()
         cut = [0, *(k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.side_by_side), len(s)]
-        return [s[k : min(k + UNIT, b)] for a, b in zip(cut, cut[1:], strict=False) for k in range(a, b, UNIT)]
+        return [s[k : min(k + most, b) if most else b] for a, b in zip(cut, cut[1:], strict=False) for k in range(a, b, most or max(1, b - a))]
 
     def spans(self, unit: str) -> list[tuple[int, int, tuple[int, ...]]]:
         """(start, end, ids) of the pieces in a unit; a character that is no piece is spelled in bytes."""
@@ -110,6 +119,7 @@ class Lattice:
     """Segmentation lattices of many units at once, ordered so that a pass goes end by end over all of them."""
 
     def __init__(self, vocab: Vocabulary, units: list[str]) -> None:
+        self.longest = vocab.longest
         self.n, self.length = len(units), np.array([len(u) for u in units], np.int64)
         base = np.concatenate(([0], np.cumsum(self.length + 1)))[:-1]
         flat = [(b, base[i] + a, base[i] + b, ids) for i, u in enumerate(units) for a, b, ids in vocab.spans(u)]
@@ -129,10 +139,18 @@ class Lattice:
             w = w * prob[self.pieces[:, k]]
         return w
 
-    def forward(self, w: np.ndarray) -> np.ndarray:
+    def forward(self, w: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+        """Sums up to each node. With `scale` [units, columns] they are rescaled on the way, all that later ones are made of at once,
+        and the logarithms of the factors added up there: no length of unit makes them vanish."""
         alpha = np.zeros((self.nodes, w.shape[1]))
         alpha[self.first] = 1
-        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+        for level, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            if scale is not None and level and level % RESCALE == 0:
+                live = np.flatnonzero(self.length > level)
+                back = self.first[live][:, None] + level - np.arange(min(self.longest, level + 1))
+                top = np.maximum(alpha[back].max(1), 1e-300)
+                alpha[back] /= top[:, None]
+                scale[live] += np.log(top)
             if a < b:
                 part = alpha[self.start[a:b]] * w[a:b]
                 order = np.argsort(self.end[a:b], kind="stable")
@@ -162,7 +180,8 @@ class Lattice:
         """Per unit and language the logarithm of the sum over all segmentations."""
         if not self.n:
             return np.zeros((0, prob.shape[1]))
-        return np.log(np.maximum(self.forward(self.weights(prob))[self.last], 1e-300))
+        scale = np.zeros((self.n, prob.shape[1]))
+        return np.log(np.maximum(self.forward(self.weights(prob), scale)[self.last], 1e-300)) + scale
 
 
 def with_one(prob: np.ndarray) -> np.ndarray:
@@ -174,7 +193,7 @@ def fit(vocab: Vocabulary, counts: list[Counter], steps: int = STEPS) -> np.ndar
     unit_count: dict[str, np.ndarray] = {}
     for k, words in enumerate(counts):
         for word, n in words.items():
-            for u in vocab.units(word):
+            for u in vocab.units(word, UNIT):
                 unit_count.setdefault(u, np.zeros(len(counts)))[k] += n
     units = list(unit_count)
     weight = np.array([unit_count[u] for u in units])
@@ -197,6 +216,64 @@ def fit(vocab: Vocabulary, counts: list[Counter], steps: int = STEPS) -> np.ndar
     return prob
 
 
+@dataclass(frozen=True)
+class Model:
+    """Piece probabilities [pieces, languages and the background last], and the calibration of scores."""
+
+    prob: np.ndarray
+    power: float = 0.5
+    temperature: float = 1.0
+    offset: float = 0.0
+
+    def posterior(self, scores: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """[sentences, languages and background] from log scores and the numbers of words."""
+        return posterior(calibrated(scores, words, self.power, self.temperature, self.offset))
+
+
+def calibrated(scores: np.ndarray, words: np.ndarray, power: float, temperature: float, offset: float) -> np.ndarray:
+    out = scores / (temperature * np.maximum(words, 1.0)[:, None] ** power)
+    out[:, -1] += offset
+    return out
+
+
+def with_background(prob: np.ndarray) -> np.ndarray:
+    mean = prob.mean(1, keepdims=True)
+    return np.hstack([prob, (1 - UNIFORM) * mean + UNIFORM / len(prob)])
+
+
+def calibrate(prob: np.ndarray, texts: list[str], path: str = PIECES, most: int = 4000) -> Model:
+    """The calibration under which sentences of the sample, at most `most`, are most likely with their language and without it.
+
+    A language counts as left out by taking its column away and out of the background's mean. Without sentences: the defaults.
+    """
+    model, langs = Model(with_background(prob)), prob.shape[1]
+    # beside the background also those that are left when one language is taken away, all scored at once
+    without = [with_background(np.delete(prob, k, axis=1))[:, -1:] for k in range(langs)] if langs > 1 else []
+    _, _, _, scores, words, _, _ = Scorer(np.hstack([model.prob, *without]), path).sentences(texts)
+    if not len(scores) or not without:
+        return model
+    some = np.linspace(0, len(scores) - 1, min(most, len(scores))).astype(int)
+    scores, words = scores[some], words[some]
+    own, row = scores[:, :langs].argmax(1), np.arange(len(scores))
+    left = scores[:, : langs + 1].copy()
+    left[row, -1], left[row, own] = scores[row, langs + 1 + own], -np.inf
+    scores = scores[:, : langs + 1]
+    both, right, size = np.vstack([scores, left]), np.r_[own, np.full(len(own), langs)], np.r_[words, words]
+    # every language counts the same, and so do its presence and its absence
+    weight = 1 / np.bincount(own, minlength=langs)[own]
+    weight = np.r_[weight, weight]
+    best = None
+    for power in POWERS:
+        for temperature in TEMPERATURES:
+            for offset in OFFSETS:
+                x = calibrated(both, size, power, temperature, offset)
+                top = x.max(1)
+                fit = float((weight * (x[np.arange(len(x)), right] - top - np.log(np.exp(x - top[:, None]).sum(1)))).sum())
+                if best is None or fit > best[0]:
+                    best = (fit, power, temperature, offset)
+    return Model(model.prob, *best[1:])
+
+
 class Scorer:
     """Sentences of texts with their language scores; keeps what it has worked out of each distinct word."""
 
@@ -230,8 +307,8 @@ class Scorer:
         # scripts that set no blanks count a word for every two characters
         self.weight = np.concatenate([self.weight, [max(1, len(t) // 2) if ord(t[0]) >= 0x2E80 else 1 for t in new]])
 
-    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], list[str]]:
-        """Of each sentence: number of its text, start, end, log scores [languages], its range of tokens; and all tokens."""
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], list[str]]:
+        """Of each sentence: number of its text, start, end, log scores [languages], words, its range of tokens; and all tokens."""
         if len(self.word) > self.KEEP:
             self.clear()
         tokens: list[str] = []
@@ -249,17 +326,17 @@ class Scorer:
             ids = list(map(self.word.get, tokens))
         none = np.zeros(0, np.int64)
         if not ids:
-            return none, none, none, np.zeros((0, self.prob.shape[1])), [], tokens
+            return none, none, none, np.zeros((0, self.prob.shape[1])), np.zeros(0), [], tokens
         code, start, end = np.array(ids), np.concatenate(starts).astype(np.int64), np.concatenate(ends).astype(np.int64)
         bound = np.flatnonzero((code >= self.END) & (code <= self.MARK))
         first = np.r_[0, bound[:-1] + 1]
         words = np.add.reduceat(np.r_[self.weight[code], 0], np.minimum(first, len(code)))
         kept = (code[bound] == self.END) & (bound > first) & (words >= WORDS)
-        first, bound = first[kept], bound[kept]
+        first, bound, words = first[kept], bound[kept], words[kept]
         text = np.repeat(np.arange(len(texts)), sizes)[bound]
         edges = np.stack([first, bound], 1).ravel()
         total = np.add.reduceat(self.scores[code], edges, axis=0)[::2] if len(first) else np.zeros((0, self.prob.shape[1]))
-        return text, start[first], end[bound], total.astype(np.float64), list(zip(first.tolist(), bound.tolist(), strict=True)), tokens
+        return text, start[first], end[bound], total.astype(np.float64), words, list(zip(first.tolist(), bound.tolist(), strict=True)), tokens
 
 
 _SCORERS: dict[tuple[int, str], Scorer] = {}
@@ -282,8 +359,8 @@ def plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
-def train(labelled: list[tuple[str, str]], langs: list[str], path: str = PIECES, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities [pieces, len(langs)] from (text, label) with labels in langs, some of them wrong.
+def train(labelled: list[tuple[str, str]], langs: list[str], path: str = PIECES, rounds: int = ROUNDS) -> Model:
+    """A calibrated model of `langs` from (text, label) with labels in langs, some of them wrong.
 
     Each round counts every sentence to the language it is given, first by its document's label, then by the model of the
     round before. Words also count a little without their accents, as they are often typed so.
@@ -293,7 +370,7 @@ def train(labelled: list[tuple[str, str]], langs: list[str], path: str = PIECES,
     blank = Scorer(np.full((vocab.size, len(langs)), 1.0 / vocab.size), path)
     seeds = [scan(SEEDS.get(x, ""))[0] for x in langs]
     keep = np.array([at[x] for _, x in labelled], np.int64)
-    text, _, _, _, ranges, tokens = blank.sentences([t for t, _ in labelled])
+    text, _, _, _, _, ranges, tokens = blank.sentences([t for t, _ in labelled])
     given = keep[text] if len(text) else keep[:0]
     prob = None
     for _ in range(rounds):
@@ -311,7 +388,7 @@ def train(labelled: list[tuple[str, str]], langs: list[str], path: str = PIECES,
                 if (p := plain(w)) != w and ord(w[0]) < 0x250:
                     c[p] += 0.2 * n
         prob = fit(vocab, counts)
-    return prob
+    return calibrate(prob, [t for t, _ in labelled[:CALIBRATED]] + [SEEDS[x] for x in langs if x in SEEDS], path)
 
 
 def normal_label(lang: Column, reference: list) -> Column:
@@ -321,7 +398,7 @@ def normal_label(lang: Column, reference: list) -> Column:
     return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[base] if names else F.lit(None).cast("string")
 
 
-def fit_documents(documents: DataFrame, language_ref: DataFrame, sample: int = SAMPLE, path: str = PIECES) -> tuple[list[str], np.ndarray]:
+def fit_documents(documents: DataFrame, language_ref: DataFrame, sample: int = SAMPLE, path: str = PIECES) -> tuple[list[str], Model]:
     """The languages (of the fixed small table) and a model trained on at most `sample` labelled documents, chosen by hash."""
     reference = language_ref.select("lang", "iso3", "name").collect()
     langs = sorted({r.lang for r in reference if r.lang})
@@ -332,37 +409,45 @@ def fit_documents(documents: DataFrame, language_ref: DataFrame, sample: int = S
     return langs, train([(r.text, r.label) for r in some.collect()], langs, path)
 
 
-def segments(documents: DataFrame, langs: list[str], prob: np.ndarray, path: str = PIECES) -> DataFrame:
-    """Passages of one language each: doc_id, segment_no, start_pos, end_pos, lang, confidence, sentences.
+def segments(documents: DataFrame, langs: list[str], model: Model, path: str = PIECES, label: Column | None = None) -> DataFrame:
+    """Passages of one language each: doc_id, segment_no, start_pos, end_pos, lang, confidence, sentences; and `label`, if given.
 
-    A passage is a run of sentences of the same most probable language; its confidence is the mean posterior of that language
-    over its sentences. Texts without a sentence, null and empty texts give no row; repeated rows give repeated rows.
+    A passage is a run of sentences of the same most probable language; its confidence is the mean calibrated posterior of that language
+    over its sentences, low where the background (none of the languages) is as likely. Texts without a sentence, null and empty texts give
+    no row; repeated rows give repeated rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(prob.astype(np.float32))  # vocabulary by languages, of fixed size
-    mark = hash(prob.tobytes())
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32())
+    shared = documents.sparkSession.sparkContext.broadcast(Model(model.prob.astype(np.float32), model.power, model.temperature, model.offset))  # vocabulary by languages, of fixed size
+    mark = hash((model.prob.tobytes(), model.power, model.temperature, model.offset))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string())
     names = np.array(langs, object)
+    schema = SEGMENTS + (", label string" if label is not None else "")
+    labelled = label is not None
+    columns_of = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        scorer = worker_scorer((mark, path), shared.value, path)
+        scorer = worker_scorer((mark, path), shared.value.prob, path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 doc = part.column(0).to_numpy(zero_copy_only=False)
-                text, start, end, scores, _, _ = scorer.sentences([x or "" for x in part.column(1).to_pylist()])
+                text, start, end, scores, words, _, _ = scorer.sentences([x or "" for x in part.column(1).to_pylist()])
                 if not len(text):
                     continue
-                best = scores.argmax(1)
-                sure = posterior(scores)[np.arange(len(best)), best]
+                best = scores[:, :-1].argmax(1)
+                sure = shared.value.posterior(scores, words)[np.arange(len(best)), best]
                 head = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (best[1:] != best[:-1])])
                 tail = np.r_[head[1:], len(text)] - 1
                 size = tail - head + 1
                 new = np.r_[True, text[head][1:] != text[head][:-1]]
                 number = np.arange(len(head)) - np.maximum.accumulate(np.where(new, np.arange(len(head)), 0))
-                columns = (doc[text[head]], number, start[head], end[tail], names[best[head]], np.add.reduceat(sure, head) / size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SEGMENTS.split(", ")])
+                columns = [doc[text[head]], number, start[head], end[tail], names[best[head]], np.add.reduceat(sure, head) / size, size]
+                out = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
+                if labelled:
+                    out.append(part.column(2).take(pa.array(text[head])))
+                yield pa.RecordBatch.from_arrays(out, columns_of)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, SEGMENTS)
+    taken = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([label.cast("string").alias("label")] if label is not None else []))
+    return taken.mapInArrow(run, schema)
 
 
 def document_languages(documents: DataFrame, passages: DataFrame) -> DataFrame:
@@ -382,11 +467,17 @@ def document_languages(documents: DataFrame, passages: DataFrame) -> DataFrame:
     )
 
 
-def wrong_labels(documents: DataFrame, passages: DataFrame, language_ref: DataFrame) -> DataFrame:
-    """``doc_id, lang``: the languages of each document whose label is missing, isn't its one language, or can't be right alone."""
+def labelled_segments(documents: DataFrame, language_ref: DataFrame, langs: list[str], model: Model, path: str = PIECES) -> DataFrame:
+    """Passages with ``label``: the language that the document's own label names, null if none."""
     reference = language_ref.select("lang", "iso3", "name").collect()  # the fixed small table
-    label = documents.select("doc_id", normal_label(F.col("lang"), reference).alias("label")).distinct()
-    found = passages.groupBy("doc_id").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
-    joined = found.join(label, "doc_id")
+    return segments(documents, langs, model, path, normal_label(F.col("lang"), reference))
+
+
+def wrong_labels(passages: DataFrame) -> DataFrame:
+    """``doc_id, lang``: the languages of each document whose label is missing, isn't its one language, or can't be right alone.
+
+    passages: those of `labelled_segments`; repeated rows of a document count once.
+    """
+    found = passages.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.max("label").alias("label"))
     bad = F.col("label").isNull() | (F.size("langs") > 1) | (F.col("langs")[0] != F.col("label"))
-    return joined.where(bad).select("doc_id", F.explode("langs").alias("lang")).distinct()
+    return found.where(bad).select("doc_id", F.explode("langs").alias("lang"))

@@ -84,23 +84,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()
 
 
-def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     documents, reference = table(spark, d, "documents"), table(spark, d, "language_ref")
-    return documents, langid.segments(documents, *langid.fit_documents(documents, reference)), reference
+    return documents, langid.labelled_segments(documents, reference, *langid.fit_documents(documents, reference))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    documents, passages, reference = _passages(spark, d)
-    return langid.wrong_labels(documents, passages, reference)
+    return langid.wrong_labels(_passages(spark, d)[1])
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _passages(spark, d)[1].distinct()
+    return _passages(spark, d)[1].drop("label").distinct()
 
 
 def p8_documents(spark: SparkSession, d: str) -> DataFrame:
-    documents, passages, _ = _passages(spark, d)
-    return langid.document_languages(documents, passages)
+    return langid.document_languages(*_passages(spark, d))
 
 
 def queries() -> dict[str, Query]:
