@@ -1,29 +1,27 @@
 """Deeply nested records to flat tables: path-value-ordinal triples, grouped by repeated ancestor, pivoted.
 
-A record (JSON text) is read once and turned into triples ``(path, ordinals, value)``. A path such as
-``timelineItems[].actor.login`` names where a scalar stands, the ordinals say in which element of each repeated
-ancestor. Triples that share the same repeated ancestor belong to the same table; each element becomes one row there,
-keyed by ``(record, ordinals)``, and ``ordinals`` without its last entry is the key of the parent row. Nothing is
-shuffled: a record's triples never leave its task.
+A record (JSON text) is read as a stream (`json_stream`): each element of a collection is turned into triples ``(path, ordinals,
+value)`` as it is reached. A path such as ``timelineItems[].actor.login`` names where a scalar stands, the ordinals say in which
+element of each repeated ancestor. Triples that share the same repeated ancestor belong to the same table; each element
+becomes one row there, keyed by ``(record, ordinals)``, and ``ordinals`` without its last entry is the key of the parent row. Nothing
+is shuffled: a record's triples never leave its task.
 
 Shapes that mean the same give the same rows. A declared collection may stand as an array, as ``{nodes: [...]}``,
 ``{edges: [{node: ...}]}``, ``{pages: [...]}`` of either (ordinals run on over pages), as JSON text, or as a lone
 element at ordinal 0.
+
+Records that are typed already (`typed_children`) are flattened by the engine's own generators and need no Python.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys under which services wrap the elements of a collection.
-LISTS, NODE = ("nodes", "edges", "pages"), "node"
-MISSING = object()
+from threadloom.operators.json_stream import Pivot, Reader, ShredSpec
 
 SHRED_SCHEMA = (
     "record_id long, relation string, ordinals array<int>, is_null boolean, is_first boolean, "
@@ -31,22 +29,6 @@ SHRED_SCHEMA = (
 )
 
 
-@dataclass(frozen=True)
-class ShredSpec:
-    """What to take from a record.
-
-    roots: object paths behind which the record may stand. collections: fields that hold elements even when they come
-    wrapped, encoded as text or alone. promoted: objects inside an element that become a relation of their own, at the
-    element's ordinals. identity: per relation the relative paths that tell a first element from a repeated one; an
-    empty tuple means all fields, a missing entry means that nothing repeats. A null identity never repeats.
-    """
-
-    roots: tuple[tuple[str, ...], ...] = ()
-    collections: frozenset[str] = frozenset()
-    promoted: frozenset[str] = frozenset()
-    identity: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-
 #: The children of an issue record.
 ISSUE_SPEC = ShredSpec(
     roots=(("data", "repository", "issue"),),
@@ -56,170 +38,20 @@ ISSUE_SPEC = ShredSpec(
 )
 
 
-def _reject(token: str) -> None:
-    raise ValueError(f"{token} is not JSON")
-
-
-def _loads(text: str):
-    return json.loads(text, parse_constant=_reject)
-
-
-def _text(value) -> str:
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-
-
-def _elements(value, declared: bool) -> Iterator | None:
-    """The elements that a value stands for, or None if it is no collection."""
-    if isinstance(value, list):
-        return iter(value)
-    if isinstance(value, dict):
-        for key in LISTS:
-            inner = value.get(key)
-            if isinstance(inner, list):
-                if key == "nodes":
-                    return iter(inner)
-                if key == "edges":
-                    return (e.get(NODE) if isinstance(e, dict) else e for e in inner)
-                return (x for page in inner for x in (_elements(page, False) or ()))
-        return iter((value,)) if declared else None
-    if declared and isinstance(value, str):
-        try:
-            inner = _loads(value)
-        except (ValueError, RecursionError):
-            inner = MISSING
-        if isinstance(inner, list | dict):
-            return _elements(inner, True)
-        return iter((value,))
-    return None
-
-
-def triples(node, spec: ShredSpec, path: str = "", ordinals: tuple[int, ...] = ()) -> Iterator[tuple[str, tuple[int, ...], object]]:
-    """Triples of a parsed record, in document order.
-
-    Objects give a triple of their own whose value is the empty dict, so that an empty object differs from null.
-    """
-    if isinstance(node, dict):
-        yield path, ordinals, {}
-        for key, value in node.items():
-            at = f"{path}.{key}" if path else key
-            inner = None if value is None else _elements(value, at in spec.collections)
-            if inner is None:
-                if isinstance(value, dict):
-                    yield from triples(value, spec, at, ordinals)
-                else:
-                    yield at, ordinals, value
-            else:
-                for n, element in enumerate(inner):
-                    yield from triples(element, spec, f"{at}[]", (*ordinals, n))
-    elif isinstance(node, list):
-        for n, element in enumerate(node):
-            yield from triples(element, spec, f"{path}[]", (*ordinals, n))
-    else:
-        yield path, ordinals, node
-
-
-def _roots(parsed, spec: ShredSpec) -> dict | None:
-    """The record behind its envelope; several objects in one array are pages of one record."""
-    if isinstance(parsed, list):
-        found = [r for x in parsed if (r := _roots(x, spec)) is not None]
-        if len(found) < 2:
-            return found[0] if found else None
-        keys = dict.fromkeys(k for r in found for k in r)
-        return {k: {"pages": [{"nodes": list(_elements(r[k], True) or ())} for r in found if r.get(k) is not None]} if k in spec.collections else next((r[k] for r in found if k in r), None) for k in keys}
-    if not isinstance(parsed, dict):
-        return None
-    for root in spec.roots:
-        at = parsed
-        for key in root:
-            at = at.get(key) if isinstance(at, dict) else None
-        if isinstance(at, dict):
-            return at
-    return parsed
-
-
-def _ancestor(path: str, spec: ShredSpec, memo: dict[str, tuple[str, str]]) -> tuple[str, str]:
-    """(relation, path inside it) of a triple's path."""
-    if (known := memo.get(path)) is None:
-        cut = path.rfind("[]") + 2 if "[]" in path else 0
-        for p in spec.promoted:
-            if (path == p or path.startswith(p + ".")) and len(p) > cut:
-                cut = len(p)
-        known = memo[path] = (path[:cut], path[cut:].lstrip("."))
-    return known
-
-
-def pivot(record: dict, spec: ShredSpec, memo: dict) -> dict[str, dict[tuple[int, ...], dict]]:
-    """Relation -> ordinals -> the row's fields; None as fields marks a null element."""
-    tables: dict[str, dict[tuple[int, ...], dict]] = {}
-    for path, ordinals, value in triples(record, spec):
-        relation, inside = _ancestor(path, spec, memo)
-        if not relation:
-            continue
-        rows = tables.setdefault(relation, {})
-        if value is None:
-            if not inside and relation not in spec.promoted:
-                rows.setdefault(ordinals, None)
-            continue
-        row = rows.get(ordinals)
-        if row is None:
-            row = rows[ordinals] = {}
-        if value != {} or not isinstance(value, dict):
-            row[inside] = _text(value)
-        elif inside:
-            row[inside + "{}"] = ""
-    return tables
-
-
-def _firsts(rows: dict[tuple[int, ...], dict | None], keys: tuple[str, ...] | None, nested: dict[tuple[int, ...], dict]) -> dict:
-    """Which rows hold an identity for the first time among the elements of their parent."""
-    if keys is None:
-        return dict.fromkeys(rows, True)
-    seen, out = set(), {}
-    for ordinals, row in rows.items():
-        if row is None:
-            out[ordinals] = True
-            continue
-        if keys:
-            identity = next((row[k] for k in keys if row.get(k) is not None), None)
-        else:
-            identity = (frozenset(row.items()), frozenset(nested[ordinals].items()) if ordinals in nested else None)
-        mark = (ordinals[:-1], identity)
-        out[ordinals] = identity is None or mark not in seen
-        seen.add(mark)
-    return out
-
-
 def shred(df: DataFrame, record_id: str | Column, text: str | Column, spec: ShredSpec = ISSUE_SPEC) -> DataFrame:
     """Rows of all relations of each record: ``record_id, relation, ordinals, is_null, is_first, fields``.
 
-    Null text, text that is no JSON and JSON that is no object or array of objects give no rows (`rejects` lists them).
+    Null text, text that is no JSON and JSON that is no object or array of objects give no rows (`rejects` lists the first two).
     Null elements keep their ordinal and come out with is_null; elements that repeat an earlier identity come out with
-    is_first false. Empty arrays give no row. Repeated input rows give repeated output rows.
+    is_first false. Empty arrays give no row. Repeated input rows give repeated output rows. Of a key that repeats in an object the last counts.
     """
-    memo: dict[str, tuple[str, str]] = {}
-    promoted = {p: p[: p.rfind("[]") + 2] for p in spec.promoted}
+    pivot = Pivot(spec)
 
     def rows_of(text: str):
         try:
-            record = _roots(_loads(text), spec)
-        except (ValueError, RecursionError):
-            return
-        if record is None:
-            return
-        tables = pivot(record, spec, memo)
-        first: dict[str, dict] = {}
-        for relation, rows in tables.items():
-            if relation in promoted:
-                continue
-            inner: dict = {}
-            for p, parent in promoted.items():
-                if parent == relation:
-                    inner.update(tables.get(p, {}))
-            first[relation] = _firsts(rows, spec.identity.get(relation), inner)
-        for relation, rows in tables.items():
-            marks = first[promoted[relation]] if relation in promoted else first[relation]
-            for ordinals, row in rows.items():
-                yield relation, ordinals, row is None, marks.get(ordinals, True), {k: v for k, v in (row or {}).items() if k[-2:] != "{}"}
+            return list(Reader(text, pivot).rows())
+        except ValueError:
+            return ()
 
     kind = pa.schema([("record_id", pa.int64()), ("relation", pa.string()), ("ordinals", pa.list_(pa.int32())), ("is_null", pa.bool_()), ("is_first", pa.bool_()), ("fields", pa.map_(pa.string(), pa.string()))])
 
@@ -244,9 +76,24 @@ def shred(df: DataFrame, record_id: str | Column, text: str | Column, spec: Shre
 
 
 def rejects(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """Records whose text is null or doesn't parse as JSON, as ``record_id, reason``."""
-    parsed = F.try_parse_json(F.col(text))
-    return df.select(F.col(record_id).cast("long").alias("record_id"), F.when(F.col(text).isNull(), "null").when(parsed.isNull(), "invalid").alias("reason")).where("reason is not null").distinct()
+    """Records whose text is null or isn't JSON, as ``record_id, reason``: those that `shred` can't read, by the same reader."""
+
+    def run(batches):
+        for batch in batches:
+            ids, why = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    reader = Reader(t or "")
+                    if t is not None and reader.space(reader.skip(reader.space(0))) == len(t):
+                        continue
+                except ValueError:
+                    pass
+                ids.append(i)
+                why.append("null" if t is None else "invalid")
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(why, pa.string())], ["record_id", "reason"])
+
+    return df.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "record_id long, reason string").distinct()
 
 
 # ---------------------------------------------------------------- the issue's children
@@ -262,25 +109,27 @@ TABLES: dict[str, list[tuple[str, str, tuple[str, ...]]]] = {
 }
 
 
-def issue_records(raw_issue: DataFrame, raw_record: DataFrame) -> DataFrame:
-    """Both sources of issues as ``snapshot_id, text``: typed rows are written as JSON, payloads are taken as they are."""
-    typed = raw_issue.select("snapshot_id", F.to_json(F.struct("labels", "comments", "timelineItems")).alias("text"))
-    return typed.unionByName(raw_record.select("snapshot_id", F.col("payload").alias("text")))
+def issue_records(raw_record: DataFrame) -> DataFrame:
+    """The payloads as ``snapshot_id, text``."""
+    return raw_record.select("snapshot_id", F.col("payload").alias("text"))
 
 
-def issue_children(records: DataFrame) -> DataFrame:
-    """All children: ``snapshot_id, child_kind, child_pos, is_case, fields``.
+def issue_children(records: DataFrame, kind: str | None = None) -> DataFrame:
+    """All children in payloads: ``snapshot_id, child_kind, child_pos, is_case, fields``; with the fields that a case is told by, or
+    those of the flat table of one kind.
 
     A child is a case unless its element is null, it repeats an earlier one, or (labels) its name is null or blank.
     A source has its timeline item's place and is a case with it.
     """
-    name = F.trim(F.regexp_replace(F.coalesce(F.col("fields")["name"], F.col("fields")[""]), r"(?U)^\s+|\s+$", ""))
-    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("relation")]
+    told = {"labels[]": frozenset(("name", "")), "comments[]": frozenset(("",)), "timelineItems[]": frozenset(("",)), "timelineItems[].source": frozenset(("",))}
+    wanted = {r: f | (frozenset(p for _, _, paths in TABLES[kind] for p in paths) if kind else frozenset()) for r, f in told.items() if kind in (None, KINDS[r])}
+    name = F.regexp_replace(F.coalesce(F.col("fields")["name"], F.col("fields")[""]), r"(?U)^\s+|\s+$", "")
+    child_kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("relation")]
     named = F.when(F.col("relation") == "labels[]", F.coalesce(name != "", F.lit(False))).otherwise(~F.map_contains_key("fields", F.lit("")))
     return (
-        shred(records, "snapshot_id", "text", ISSUE_SPEC)
+        shred(records, "snapshot_id", "text", replace(ISSUE_SPEC, wanted=wanted))
         .where(F.col("relation").isin(*KINDS))
-        .select(F.col("record_id").alias("snapshot_id"), kind.alias("child_kind"), F.col("ordinals")[0].cast("int").alias("child_pos"), (~F.col("is_null") & F.col("is_first") & named).alias("is_case"), "fields")
+        .select(F.col("record_id").alias("snapshot_id"), child_kind.alias("child_kind"), F.col("ordinals")[0].cast("int").alias("child_pos"), (~F.col("is_null") & F.col("is_first") & named).alias("is_case"), "fields")
     )
 
 
@@ -293,3 +142,62 @@ def child_table(children: DataFrame, kind: str) -> DataFrame:
 def found_children(children: DataFrame) -> DataFrame:
     """``snapshot_id, child_kind, child_pos`` of each child that is a case, once."""
     return children.where("is_case").select("snapshot_id", "child_kind", F.col("child_pos")).distinct()
+
+
+# ---------------------------------------------------------------- typed records
+
+
+def _identity(kind: str, e: Column) -> Column:
+    """What tells an element from a later one that repeats it, as text; null if nothing does."""
+    return {"label": e["name"], "comment": e["id"], "timeline_item": F.to_json(e, {"ignoreNullFields": "false"})}[kind]
+
+
+ARRAYS = {"label": "labels", "comment": "comments", "timeline_item": "timelineItems", "source": "timelineItems"}
+
+
+def _blank(x: Column) -> Column:
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "") == ""
+
+
+def _halves(key: Column, pos: Column) -> list[Column]:
+    """Two hashes of an identity, or of the position where there is none."""
+    alone = F.when(key.isNull(), pos)
+    return [F.xxhash64(key, alone).alias("k1"), F.xxhash64(F.lit(1), key, alone).alias("k2")]
+
+
+def _marked(kind: str) -> Column:
+    """The elements of one array of a typed row that can be a case: their kind, place, identity, and whether they have a source."""
+    source = lambda e: e["source"].isNotNull() if kind == "timeline_item" else F.lit(False)
+    each = F.transform(ARRAYS[kind], lambda e, i: F.struct(F.lit(kind).alias("child_kind"), i.alias("child_pos"), _identity(kind, e).alias("key"), source(e).alias("has_source"), e.isNull().alias("none")))
+    kept = F.filter(each, lambda m: ~m["none"] & (~_blank(m["key"]) if kind == "label" else F.lit(True)))
+    return F.coalesce(kept, F.array().cast("array<struct<child_kind:string,child_pos:int,key:string,has_source:boolean,none:boolean>>"))
+
+
+def typed_found(raw_issue: DataFrame) -> DataFrame:
+    """``snapshot_id, child_kind, child_pos`` of the children of typed rows: one scan, and one shuffle of hashes that also drops repeats.
+
+    Elements of an identity meet at the first of them (the least position); two hashes of 64 bits stand for an identity.
+    """
+    each = raw_issue.select("snapshot_id", F.inline(F.concat(*[_marked(k) for k in ("label", "comment", "timeline_item")])))
+    first = each.groupBy("snapshot_id", "child_kind", *_halves(F.col("key"), F.col("child_pos"))).agg(F.min("child_pos").alias("child_pos"), F.max("has_source").alias("has_source"))
+    kinds = F.when(F.col("has_source"), F.array("child_kind", F.lit("source"))).otherwise(F.array("child_kind"))
+    return first.select("snapshot_id", F.explode(kinds).alias("child_kind"), F.col("child_pos").cast("int").alias("child_pos"))
+
+
+def typed_children(raw_issue: DataFrame, kind: str) -> DataFrame:
+    """The flat table of one kind of the typed rows, as `child_table` gives it of payloads."""
+    e, own = F.col("e"), "timeline_item" if kind == "source" else kind
+    inside = e["source"] if kind == "source" else e
+
+    def pick(path: str) -> Column:
+        at = inside
+        for part in path.split("."):
+            at = at[part]
+        return at
+
+    each = raw_issue.select("snapshot_id", F.posexplode(ARRAYS[kind]).alias("pos", "e")).where("e is not null")
+    if kind == "label":
+        each = each.where(~_blank(e["name"]))
+    row = F.struct("pos", *[pick(p[0]).try_cast(t).alias(n) for n, t, p in TABLES[kind]], inside.isNotNull().alias("there"))
+    first = each.groupBy("snapshot_id", *_halves(_identity(own, e), F.col("pos"))).agg(F.min_by(row, F.col("pos")).alias("r"))
+    return first.where("r.there").select("snapshot_id", F.col("r.pos").alias("child_pos"), *[f"r.{n}" for n, _, _ in TABLES[kind]])
