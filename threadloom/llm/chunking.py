@@ -83,10 +83,12 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
 def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Items ``item_kind, item_id, text`` longer than their kind's limit, once each, with max_chars and overlap_chars.
 
-    limits is the fixed small table of kinds. Null texts and kinds without a limit are never oversized.
+    limits is the fixed small table of kinds. Null texts and kinds without a limit are never oversized. Equal rows are told by the
+    item's id and 128 bits of hashes of its text, so that whole texts are no keys.
     """
-    joined = items.join(F.broadcast(limits.select("item_kind", "max_chars", "overlap_chars")), "item_kind")
-    return joined.where(F.char_length("text") > F.col("max_chars")).dropDuplicates(["item_kind", "item_id", "text"])
+    joined = items.join(F.broadcast(limits.select("item_kind", "max_chars", "overlap_chars")), "item_kind").where(F.char_length("text") > F.col("max_chars"))
+    keyed = joined.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    return keyed.dropDuplicates(["item_kind", "item_id", "_h1", "_h2"]).drop("_h1", "_h2")
 
 
 def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
