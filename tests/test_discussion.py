@@ -159,10 +159,13 @@ def test_documents_folder(spark, tmp_path):
     (tmp_path / "issue_10.json").write_text(json.dumps({"issue": {"issue_number": 0, "comments": [None, {"artifacts": [a, None]}]}}))
     (tmp_path / "issue_2.json").write_text(json.dumps({"issue": {"issue_number": 2, "comments": [{"artifacts": [a]}]}}, indent=2))
     d = files.read_documents(spark, str(tmp_path), files.EXTRACTION)
-    assert {(r.issue_number, r.comment_idx) for r in files.extraction_artifacts(d).collect()} == {(10, 1), (2, 0)}
+    (tmp_path / "issue_3.json").write_text(json.dumps({"issue": {"issue_number": 3, "comments": [{"artifacts": []}, None]}}))
+    (tmp_path / "issue_4.json").write_text(json.dumps({"issue": {"issue_number": 4}}))
+    d = files.read_documents(spark, str(tmp_path), files.EXTRACTION)
+    assert {(r.issue_number, r.comment_idx) for r in files.extraction_artifacts(d).collect()} == {(10, 1), (2, 0), (3, None), (4, None)}
     assert files.read_documents(spark, str(tmp_path / "none"), files.EXTRACTION).count() == 0
     path = files.write_stage(files.extraction_artifacts(d), str(tmp_path), "artifacts")
-    assert spark.read.parquet(path).count() == 2
+    assert spark.read.parquet(path).count() == 4
 
 
 def pages(numbers):

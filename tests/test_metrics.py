@@ -13,7 +13,7 @@ SCHEMA = "artifact_id long, side string, model_id string, repository string, iss
 def artifacts(spark, rows):
     """rows: (side, issue, type, tags, metadata, summary)."""
     out = [(k, side, "m" if side == "model" else None, "r", issue, 0, k, None, kind, summary, tags, meta, "x") for k, (side, issue, kind, tags, meta, summary) in enumerate(rows)]
-    return align.aligned(spark.createDataFrame(out, SCHEMA))
+    return align.aligned(spark.createDataFrame(out, SCHEMA), normal=True)
 
 
 def row(side, kind, tags=(), meta=None, summary="s", issue=1):
@@ -131,3 +131,74 @@ def test_empty_table(spark):
     assert type_metrics.per_issue(type_metrics.type_flags(a)).count() == 0
     assert metadata_metrics.per_issue(a).count() == 0
     assert summary_metrics.per_issue(a).count() == 0
+
+
+def table(spark, rows):
+    """rows: (id, side, model, repository, issue, type, tags)."""
+    return spark.createDataFrame([(k, side, m, r, i, 0, k or 0, None, t, "s", tags, None, "x") for k, side, m, r, i, t, tags in rows], SCHEMA)
+
+
+def test_several_models_and_repositories(spark):
+    """Human artifacts meet every model of their repository and no other; sets made distinct beforehand give the same scores."""
+    rng = random.Random(4)
+    rows, k = [], 0
+    for r, models in (("r", ("A", "B")), ("s", ("B", "C")), ("t", ())):
+        for issue in range(6):
+            for m in (None, *models):
+                for _ in range(rng.randrange(0, 4)):
+                    k += 1
+                    rows.append((k, "model" if m else "human", m, r, issue, rng.choice(["x", "y", "Y", " x "]), rng.sample(["a", "b", "A", ""], rng.randrange(0, 3))))
+    df = table(spark, rows)
+    wide, narrow = align.aligned(df), align.type_sets(df)
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(a.columns).collect()), key=repr)
+    assert same(type_metrics.per_type(type_metrics.type_flags(wide)), type_metrics.per_type(type_metrics.type_flags(narrow)))
+    assert same(tag_metrics.pooled(tag_metrics.tag_counts(wide)), tag_metrics.pooled(tag_metrics.tag_counts(align.tag_sets(df))))
+    got = {(r.model_id, r.repository, r.issue_number): (r.intersection_count, r.human_count, r.model_count) for r in type_metrics.per_issue(type_metrics.type_flags(narrow)).collect()}
+    want = {}
+    for m, r in {(x[2], x[3]) for x in rows if x[2]}:
+        for issue in range(6):
+            h, l = ({x[5].strip() for x in rows if (x[2], x[3], x[4]) == (who, r, issue)} for who in (None, m))
+            if h or l:
+                want[m, r, issue] = (len(h & l), len(h), len(l))
+    assert got == want
+
+
+def test_names_are_compared_as_they_stand(spark):
+    df = table(spark, [(1, "human", None, "r", 1, "Bug-Fix ", ["Slow UI"]), (2, "model", "m", "r", 1, "bug_fix", ["slow_ui"])])
+    f1 = lambda normal: type_metrics.macro(type_metrics.per_issue(type_metrics.type_flags(align.type_sets(df, normal)))).first().f1
+    assert (f1(False), f1(True)) == (0, 1)
+    assert {r.tag for r in align.tag_sets(df).collect()} == {"", "Slow UI", "slow_ui"}
+
+
+def test_issues_without_artifacts_count(spark):
+    """A side that was asked and found nothing is an empty set: 1 where the other is empty too, else 0."""
+    rows = [(1, "human", None, "r", 1, "x", ["a"]), (2, "model", "m", "r", 1, "x", ["a"]), (None, "human", None, "r", 2, None, None), (None, "model", "m", "r", 2, None, None), (3, "human", None, "r", 3, "x", []), (None, "model", "m", "r", 3, None, None)]
+    df = table(spark, rows)
+    by = {r.issue_number: (r.human_count, r.model_count, r.f1) for r in type_metrics.per_issue(type_metrics.type_flags(align.type_sets(df))).collect()}
+    assert by == {1: (1, 1, 1.0), 2: (0, 0, 1.0), 3: (1, 0, 0.0)}
+    assert [(r.type, r.tp, r.fn, r.tn) for r in type_metrics.per_type(type_metrics.type_flags(align.type_sets(df))).collect()] == [("x", 1, 1, 1)]
+    assert tag_metrics.macro(tag_metrics.tag_counts(align.tag_sets(df))).first().issue_count == 3
+    assert {r.type for r in tag_metrics.pooled(tag_metrics.tag_counts(align.tag_sets(df))).where("level = 'type'").collect()} == {"x"}
+
+
+@pytest.mark.parametrize("n", [1, 6, 7, 13, 20, 23])
+def test_ring(spark, n):
+    from threadloom.operators import reports
+
+    rng = random.Random(n)
+    score = {f"t{k:02}": rng.choice((0.1, 0.2, 0.5, 0.9)) for k in range(n)}
+    names = sorted(score, key=lambda t: (score[t], t))
+    if n > 6:
+        size = -(-n // (5 if n >= 20 else 4))
+        lanes, woven = [names[k : k + size] for k in range(0, n, size)], []
+        for k in range(size):
+            line = [lane[k] for lane in lanes if k < len(lane)]
+            woven += line[::-1] if k % 2 else line
+        names = woven
+    df = spark.createDataFrame([("m", t, s) for t, s in score.items()], "model_id string, type string, f1 double")
+    assert [r.type for r in reports.spread(df, "f1").orderBy("place").collect()] == names
+
+
+def test_components_must_be_finite(spark):
+    df = spark.createDataFrame([("r", "a", 1.0), ("r", "b", float("inf")), ("r", "c", float("-inf")), ("r", "d", float("nan")), ("r", "e", None)], "repository string, model_id string, f1 double")
+    assert [r.model_id for r in leaderboard.unpivot([("x", df, "f1")]).collect()] == ["a"]

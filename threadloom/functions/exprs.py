@@ -57,6 +57,11 @@ def blank_null(x: str | Column) -> Column:
     return F.when(strip(x) != "", col(x))
 
 
+def name(x: str | Column) -> Column:
+    """A name as it stands, trimmed; null if nothing is left."""
+    return F.nullif(strip(x), F.lit(""))
+
+
 def snake(x: str | Column) -> Column:
     """A name in small letters, trimmed, with blanks and hyphens as underscores; null if nothing is left."""
     y = F.translate(F.lower(strip(x)), " -", "__")

@@ -13,7 +13,7 @@ from threadloom.functions import exprs as X
 def unpivot(reports: list[tuple[str, DataFrame, str]]) -> DataFrame:
     """Component rows from (component, report by model_id and repository, its column); null and non-finite values drop out."""
     each = [r.select("repository", "model_id", F.lit(c).alias("component"), F.col(v).cast("double").alias("value")) for c, r, v in reports]
-    return reduce(DataFrame.unionByName, each).where("value is not null and not isnan(value)")
+    return reduce(DataFrame.unionByName, each).where("abs(value) < double('infinity')")
 
 
 def ranked(components: DataFrame) -> DataFrame:

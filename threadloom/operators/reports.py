@@ -34,13 +34,19 @@ def top_types(by_type: DataFrame, metric: str, k: int = 12) -> DataFrame:
     return by_type.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
 
-def spread(by_type: DataFrame, metric: str, buckets: int = 4) -> DataFrame:
-    """Types dealt so that neighbours on a ring differ: in order of the metric they go round the buckets, every second bucket backwards."""
-    n = F.count("*").over(Window.partitionBy("model_id"))
-    r = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc(metric), "type")) - 1
-    t = by_type.withColumns({"n": n, "r": r}).withColumn("lane", F.col("r") % buckets).withColumn("step", F.floor(F.col("r") / buckets))
-    place = F.row_number().over(Window.partitionBy("model_id").orderBy("lane", F.when(F.col("lane") % 2 == 0, F.col("step")).otherwise(-F.col("step"))))
-    return t.withColumn("place", place).drop("n", "r", "lane", "step")
+def spread(by_type: DataFrame, metric: str) -> DataFrame:
+    """Types in an order in which neighbours on a ring differ, as ``place`` from 1.
+
+    In order of the metric (ascending, then by name) they are cut into 4 runs of equal length, 5 from 20 types on; the runs are read
+    side by side, first of each, second of each and so on, every second of these rows backwards. Six types or fewer stay as they are.
+    """
+    whole = Window.partitionBy("model_id")
+    n, r = F.count("*").over(whole), F.row_number().over(whole.orderBy(F.coalesce(F.col(metric), F.lit(0.0)), "type")) - 1
+    t = by_type.withColumns({"_n": n, "_r": r}).withColumn("_size", F.ceil(F.col("_n") / F.when(F.col("_n") >= 20, 5).otherwise(4)))
+    few = F.col("_n") <= 6
+    row, run = F.when(few, F.col("_r")).otherwise(F.col("_r") % F.col("_size")), F.when(few, 0).otherwise(F.floor(F.col("_r") / F.col("_size")))
+    t = t.withColumns({"_row": row, "_run": F.when(row % 2 == 1, -run).otherwise(run)})
+    return t.withColumn("place", F.row_number().over(whole.orderBy("_row", "_run"))).drop("_n", "_r", "_size", "_row", "_run")
 
 
 def box_stats(per_issue: DataFrame, metric: str) -> DataFrame:

@@ -13,14 +13,15 @@ from threadloom.operators.type_metrics import TARGET
 def tag_counts(aligned: DataFrame) -> DataFrame:
     """Per issue and type: has_h, has_l, shared, and (on shared types) the sizes of the tag sets and of their intersection.
 
-    The empty tag stands for the type itself, so that types without tags are counted too.
+    The empty tag stands for the type itself, so that types without tags are counted too. Takes artifacts (`aligned`) or their tags
+    (`tag_sets`); an issue without any type has a row with a null type and counts of 0.
     """
-    each = aligned.withColumn("tag", F.explode(F.concat(F.array(F.lit("")), "tags")))
+    each = aligned if "tag" in aligned.columns else aligned.withColumn("tag", F.explode(F.concat(F.array(F.lit("")), "tags")))
     flags = each.groupBy(*ISSUE, "type", "tag").agg(F.max("h").alias("h"), F.max("l").alias("l"))
     real, none = F.col("tag") != "", F.col("tag") == ""
     c = flags.groupBy(*ISSUE, "type").agg(
-        F.max(F.when(none, F.col("h"))).alias("has_h"),
-        F.max(F.when(none, F.col("l"))).alias("has_l"),
+        F.coalesce(F.max(F.when(none, F.col("h"))), F.lit(0)).alias("has_h"),
+        F.coalesce(F.max(F.when(none, F.col("l"))), F.lit(0)).alias("has_l"),
         F.sum(F.when(real, F.col("h") * F.col("l")).otherwise(0)).alias("both"),
         F.sum(F.when(real, F.col("h")).otherwise(0)).alias("human"),
         F.sum(F.when(real, F.col("l")).otherwise(0)).alias("model"),
@@ -40,7 +41,8 @@ def pooled(counts: DataFrame) -> DataFrame:
           sum(shared) AS compared_count, sum(has_h) AS human_issue_count, sum(has_l) AS model_issue_count,
           sum(both) AS intersection_count, sum(human) AS human_count, sum(model) AS model_count
         FROM {counts}
-        GROUP BY GROUPING SETS ((model_id, repository), (model_id, repository, issue_number), (model_id, repository, type))""", counts=counts)
+        GROUP BY GROUPING SETS ((model_id, repository), (model_id, repository, issue_number), (model_id, repository, type))
+        HAVING grouping(type) = 1 OR type IS NOT NULL""", counts=counts)
     s = X.set_scores("intersection_count", "human_count", "model_count")
     return sums.select("level", *ISSUE, "type", "compared_count", "human_issue_count", "model_issue_count", "intersection_count", "human_count", "model_count", *[c.alias(n) for n, c in s.items()])
 
@@ -60,7 +62,10 @@ def macro(counts: DataFrame, empty: float = 1.0, by_type: bool = False) -> DataF
 
 
 def frequency(aligned: DataFrame, k: int | None = None) -> DataFrame:
-    """Mentions of each tag by side and model, with the total; the k tags of the greatest total (ties by name), or all."""
+    """Mentions of each tag by side and model, with the total; the k tags of the greatest total (ties by name), or all.
+
+    Human mentions count once, whatever the number of models.
+    """
     each = aligned.select("repository", "model_id", "h", "artifact_id", F.explode("tags").alias("tag"))
     human = each.where("h = 1").select("artifact_id", "tag").distinct().groupBy("tag").agg(F.count("*").alias("human_mentions"))
     model = each.where("h = 0").groupBy("tag").agg(F.count("*").alias("model_mentions"))

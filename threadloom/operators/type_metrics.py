@@ -12,7 +12,7 @@ TARGET = ("model_id", "repository")
 
 
 def type_flags(aligned: DataFrame) -> DataFrame:
-    """Per issue and type whether the human and the model side have it."""
+    """Per issue and type whether the human and the model side have it; of artifacts (`aligned`) or their types (`type_sets`)."""
     return aligned.groupBy(*ISSUE, "type").agg(F.max("h").alias("h"), F.max("l").alias("l"))
 
 
@@ -43,6 +43,6 @@ def vocabulary(flags: DataFrame) -> DataFrame:
 def per_type(flags: DataFrame) -> DataFrame:
     """Confusion counts of each type over the issues of a target; true negatives by subtraction, not by a cross join."""
     issues = flags.groupBy(*TARGET).agg(F.count_distinct("issue_number").alias("issues"))
-    c = flags.groupBy(*TARGET, "type").agg(F.sum(F.col("h") * F.col("l")).alias("tp"), F.sum((1 - F.col("h")) * F.col("l")).alias("fp"), F.sum(F.col("h") * (1 - F.col("l"))).alias("fn"))
+    c = flags.where("type is not null").groupBy(*TARGET, "type").agg(F.sum(F.col("h") * F.col("l")).alias("tp"), F.sum((1 - F.col("h")) * F.col("l")).alias("fp"), F.sum(F.col("h") * (1 - F.col("l"))).alias("fn"))
     s = X.set_scores("tp", F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp"))
     return c.join(issues, list(TARGET)).select(*TARGET, "type", "tp", "fp", "fn", (F.col("issues") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), *[x.alias(n) for n, x in s.items()])

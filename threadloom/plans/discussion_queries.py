@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import exprs as X
 from threadloom.functions import vocab as V
 from threadloom.operators import align, code_chunks, compare, curate, extract, prompting, reports, retrieve, type_metrics
-from threadloom.plans.metric_queries import ART, FLAGS, _harm, _ratio, rounded
+from threadloom.plans.metric_queries import ART, FLAGS, _harm, _name, _ratio, rounded, type_flags
 from threadloom.session import cut, table
 
 # ---------------------------------------------------------------- curation
@@ -90,6 +90,13 @@ def rule_artifacts(spark, d):
 
 
 def rule_type_counts(spark, d):
+    """Comments of each type; all types, code and the fallback too."""
+    a = extract.extract(_records(spark, d))
+    return a.select("record_id", "comment_idx", "type").distinct().groupBy("type").agg(F.count("*").alias("comments"))
+
+
+def rule_keyword_counts(spark, d):
+    """The same of the seven rules that rest on keywords alone, which SQL can express."""
     a = extract.extract(_records(spark, d)).where("metadata['status_kind'] is null or metadata['status_kind'] <> 'mention'").where("type <> 'code_snippet'")
     return a.select("record_id", "comment_idx", "type").distinct().groupBy("type").agg(F.count("*").alias("comments"))
 
@@ -109,12 +116,12 @@ def comment_jobs(spark, d):
 
 def comment_prompts(spark, d):
     c = extract.comments(_records(spark, d))
-    return c.select("record_id", "comment_idx", F.char_length(prompting.comment_prompt()).alias("chars"))
+    return c.select("record_id", "comment_idx", F.md5(prompting.comment_prompt()).alias("prompt_hash"))
 
 
 def normal_artifacts(spark, d):
-    a = extract.normal_artifacts(align.latest_artifacts(table(spark, d, "artifact")))
-    return a.select("artifact_id", "type", F.array_join(F.array_sort("tags"), "|").alias("tags"), F.size("metadata").alias("fields"))
+    a = extract.normal_artifacts(align.latest_artifacts(table(spark, d, "artifact"), normal=True))
+    return a.select("artifact_id", "type", F.array_join(F.array_sort("tags"), "|").alias("tags"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metadata")))).alias("metadata"))
 
 
 def _threads(spark, d):
@@ -171,11 +178,10 @@ def dense_topk(spark, d, k: int = 10):
 
 
 def hybrid_rrf(spark, d):
-    """Documents and vectors with the same place in their numbering belong together."""
-    first = F.lit(80_000_000)
-    lexical = bm25_topk(spark, d, 50).select((F.col("query_id") - first).alias("query_id"), (F.col("doc") - first).alias("doc"), "rank")
-    vectors = dense_topk(spark, d, 50).select("query_id", "doc", "rank")
-    return rounded(retrieve.fuse([lexical, vectors], 60, 20), 9)
+    """Lexical and dense ranks of the same documents, whose vectors are hashed token counts."""
+    v = cut(retrieve.hashed_vectors(_documents(spark, d), "doc_id", "text"))
+    near = retrieve.dense(v, v.where("doc_id % 100 = 0"), "doc_id", "embedding", 50)
+    return rounded(retrieve.fuse([bm25_topk(spark, d, 50).select("query_id", "doc", "rank"), near.select("query_id", "doc", "rank")], 60, 20), 9)
 
 
 def _chunks(spark, d):
@@ -189,12 +195,12 @@ def context_budget(spark, d):
 
 def sliding_chunks(spark, d):
     w = retrieve.line_windows(_chunks(spark, d), "chunk_no", "text", 20, 5)
-    return w.select("chunk_no", "start_line", "end_line", F.char_length("text").alias("chars"))
+    return w.select("chunk_no", "start_line", "end_line", F.md5("text").alias("text_hash"))
 
 
 def structural_chunks(spark, d):
     f = _chunks(spark, d).select("repository", "file_path", "text")
-    return code_chunks.chunk_files(f).select("repository", "chunk_id", "symbol_name", "language", "start_line", "end_line", F.char_length("text").alias("chars"))
+    return code_chunks.chunk_files(f).select("repository", "chunk_id", "symbol_name", "language", "start_line", "end_line", F.md5("text").alias("text_hash"))
 
 
 # ---------------------------------------------------------------- prompts
@@ -218,7 +224,7 @@ def issue_prompts(spark, d):
     near = retrieve.shortest_context(found, key, "rank", "text", 10, 32_768, "chars").join(all_chunks, "chunk_no")
     chunks = near.select(*key, "rank", "chunk_id", "file_path", "symbol_name", "start_line", "end_line", "text")
     p = prompting.prompts_within(_issues(spark, d), chunks, key, 8_000, 10, "rank")
-    return p.select("repository", "issue_number", F.char_length("prompt").alias("chars"), "context_chunks")
+    return p.select("repository", "issue_number", F.md5("prompt").alias("prompt_hash"), "context_chunks")
 
 
 def _responses(spark, d):
@@ -242,9 +248,10 @@ def response_comments(spark, d):
 
 
 def resume_anti_join(spark, d):
+    """Issues that each model still has to read: those that people annotated in its repositories, without those it has artifacts of."""
     a = align.latest_artifacts(table(spark, d, "artifact"))
-    wanted = a.where("side = 'human'").select("repository", "issue_number").distinct()
-    return retrieve.pending(wanted, a.where("side = 'model'"), ["repository", "issue_number"])
+    wanted = a.where("side = 'human'").select("repository", "issue_number").distinct().join(align.targets(a), "repository")
+    return retrieve.pending(wanted, a.where("side = 'model'"), ["model_id", "repository", "issue_number"]).select("model_id", "repository", "issue_number")
 
 
 def model_routing(spark, d):
@@ -266,7 +273,7 @@ def dataset_stats(spark, d):
 
 
 def _by_type(spark, d):
-    return reports.mean_by_type(type_metrics.per_type(type_metrics.type_flags(align.aligned(table(spark, d, "artifact")))), "f1").withColumn("f1", F.round("f1", 9))
+    return reports.mean_by_type(type_metrics.per_type(type_flags(spark, d)), "f1").withColumn("f1", F.round("f1", 9))
 
 
 def mean_f1_by_type(spark, d):
@@ -282,7 +289,7 @@ def type_ring(spark, d):
 
 
 def box_stats(spark, d):
-    issues = type_metrics.per_issue(type_metrics.type_flags(align.aligned(table(spark, d, "artifact"))))
+    issues = type_metrics.per_issue(type_flags(spark, d))
     return rounded(reports.box_stats(issues, "f1"))
 
 
@@ -294,16 +301,11 @@ def viewer_rows(spark, d):
     return reports.viewer_rows(table(spark, d, "raw_issue"), align.latest_artifacts(table(spark, d, "artifact")))
 
 
-def cost_per_issue(spark, d):
-    c = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("model_id")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("requests"))
-    return rounded(reports.cost_per_issue(c), 4)
-
-
 QUERIES = (
     formatted_discussion, file_references, thread_posts, timeline_events, linked_pull_requests, label_sets, actor_typology, dataset_summary, state_distribution, comment_count_filter, display_roles, earliest_issue,
-    rule_artifacts, rule_type_counts, rule_tag_inference, extraction_run_totals, comment_jobs, comment_prompts, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type, comparison_overall, comparison_tag_frequency,
+    rule_artifacts, rule_type_counts, rule_keyword_counts, rule_tag_inference, extraction_run_totals, comment_jobs, comment_prompts, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type, comparison_overall, comparison_tag_frequency,
     bm25_topk, dense_topk, hybrid_rrf, context_budget, sliding_chunks, structural_chunks, issue_context, issue_prompts, example_responses, self_excluding_examples, response_comments, resume_anti_join, model_routing, repository_slugs,
-    dataset_stats, mean_f1_by_type, top_types, type_ring, box_stats, tag_shares, viewer_rows, cost_per_issue,
+    dataset_stats, mean_f1_by_type, top_types, type_ring, box_stats, tag_shares, viewer_rows,
 )
 
 
@@ -402,26 +404,37 @@ def oracle_sql() -> dict[str, str]:
         "comment_count_filter": f"WITH {RAW} SELECT snapshot_id, repository, number FROM r WHERE len(list_filter(coalesce(comments, []), lambda x: x IS NOT NULL)) BETWEEN 10 AND 25",
         "display_roles": f"WITH {RAW} SELECT {_ROLE % 'association'} AS role, count(*) AS posts FROM posts GROUP BY ALL",
         "earliest_issue": f"WITH {RAW} SELECT repository, strftime(strptime(min(createdAt), '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%d %H:%M:%S') AS created_at FROM r GROUP BY ALL",
-        "rule_type_counts": f"WITH {RECORDS}, body AS (SELECT record_id, comment_idx, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL AND NOT coalesce(c.is_issue_body, false) AND {_STRIP % 'c.body'} <> '') SELECT type, count(*) AS comments FROM ({hits}) GROUP BY ALL",
+        "rule_keyword_counts": f"WITH {RECORDS}, body AS (SELECT record_id, comment_idx, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL AND NOT coalesce(c.is_issue_body, false) AND {_STRIP % 'c.body'} <> '') SELECT type, count(*) AS comments FROM ({hits}) GROUP BY ALL",
         "rule_tag_inference": f"WITH {RECORDS}, body AS (SELECT record_id, comment_idx, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL) SELECT record_id, comment_idx, {_tag_sql()} AS tags FROM body",
         "comment_jobs": f"WITH {RECORDS} SELECT record_id, comment_idx, coalesce(c.author_login, '') AS author, coalesce(c.url, '') AS link, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL AND NOT coalesce(c.is_issue_body, false)",
         "bm25_topk": f"WITH {_bm25(10)} SELECT query_id, doc, round(score, 6) AS score, rank FROM lex",
         "dense_topk": f"WITH {_dense(10)} SELECT query_id, doc, round(score, 6) AS score, rank FROM den",
-        "hybrid_rrf": f"""WITH {_bm25(50)}, {_dense(50)}, u AS (SELECT query_id - 80000000 AS query_id, doc - 80000000 AS doc, 0 AS list_no, rank FROM lex UNION ALL SELECT query_id, doc, 1, rank FROM den),
+        "hybrid_rrf": f"""WITH {_bm25(50)}, hb AS (SELECT doc_id, ('0x' || md5(unnest(l))[1:8])::BIGINT % 64 AS b FROM tk), hc AS (SELECT doc_id, b, count(*)::DOUBLE AS n FROM hb GROUP BY ALL), hn AS (SELECT doc_id, sqrt(sum(n * n)) AS s FROM hc GROUP BY ALL), hv AS (SELECT doc_id, b, n / s AS x FROM hc JOIN hn USING (doc_id)),
+ dp AS (SELECT q.doc_id AS query_id, v.doc_id AS doc, sum(q.x * v.x) AS dot FROM hv q JOIN hv v USING (b) WHERE q.doc_id % 100 = 0 GROUP BY ALL), da AS (SELECT q.doc_id AS query_id, v.doc_id AS doc, round(coalesce(dot, 0), 9) AS score FROM docs q CROSS JOIN docs v LEFT JOIN dp ON dp.query_id = q.doc_id AND dp.doc = v.doc_id WHERE q.doc_id % 100 = 0),
+ den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM da) WHERE rank <= 50),
+ u AS (SELECT query_id, doc, 0 AS list_no, rank FROM lex UNION ALL SELECT query_id, doc, 1, rank FROM den),
  fu AS (SELECT query_id, doc, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf_score, min(list_no * 1000000 + rank) AS seen FROM u GROUP BY ALL)
  SELECT query_id, doc, round(rrf_score, 9) AS rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, seen, doc) AS rank FROM fu) WHERE rank <= 20""",
         "context_budget": """WITH c AS (SELECT chunk_no, any_value(repository) AS repository, length(any_value(text)) AS chars FROM chunk GROUP BY chunk_no), w AS (SELECT *, row_number() OVER o AS place, sum(chars) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM c WHERE chars > 0 WINDOW o AS (PARTITION BY repository ORDER BY chars, chunk_no))
  SELECT repository, chunk_no, chars, place, total FROM w WHERE place <= 10 AND total <= 2000""",
         "sliding_chunks": r"""WITH c AS (SELECT chunk_no, regexp_split_to_array(regexp_replace(any_value(text), '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS l FROM chunk WHERE text <> '' GROUP BY chunk_no), s AS (SELECT chunk_no, l, unnest(range(0, len(l), 15)) AS s FROM c),
- w AS (SELECT chunk_no, s + 1 AS start_line, least(s + 20, len(l)) AS end_line, length(regexp_replace(array_to_string(l[s + 1:s + 20], chr(10)), '^\s+|\s+$', '', 'g')) AS chars FROM s WHERE s = 0 OR s + 5 < len(l)) SELECT * FROM w WHERE chars > 0""",
+ w AS (SELECT chunk_no, s + 1 AS start_line, least(s + 20, len(l)) AS end_line, regexp_replace(array_to_string(l[s + 1:s + 20], chr(10)), '^\s+|\s+$', '', 'g') AS t FROM s WHERE s = 0 OR s + 5 < len(l)) SELECT chunk_no, start_line, end_line, md5(t) AS text_hash FROM w WHERE t <> ''""",
         "example_responses": f"WITH {ART}, {responses} SELECT * FROM rs",
         "self_excluding_examples": f"WITH {ART}, {responses}, m AS (SELECT a.repository, a.issue_number, b.issue_number AS example_issue_number, row_number() OVER (PARTITION BY a.repository, a.issue_number ORDER BY b.issue_number) AS example_no FROM rs a JOIN rs b ON a.repository = b.repository AND a.issue_number <> b.issue_number) SELECT repository, issue_number, example_no, example_issue_number FROM m WHERE example_no <= 3",
-        "resume_anti_join": f"WITH {ART} SELECT DISTINCT repository, issue_number FROM art a WHERE side = 'human' AND NOT EXISTS (SELECT 1 FROM art b WHERE b.side = 'model' AND b.repository = a.repository AND b.issue_number = a.issue_number)",
+        "resume_anti_join": f"WITH {ART} SELECT DISTINCT t.model_id, a.repository, a.issue_number FROM art a JOIN target t USING (repository) WHERE a.side = 'human' AND NOT EXISTS (SELECT 1 FROM art b WHERE b.side = 'model' AND b.model_id = t.model_id AND b.repository = a.repository AND b.issue_number = a.issue_number)",
+        "type_ring": f"""WITH {by_type}, o AS (SELECT model_id, type, count(*) OVER (PARTITION BY model_id) AS n, row_number() OVER (PARTITION BY model_id ORDER BY f1, type) - 1 AS r FROM bt),
+ z AS (SELECT *, CASE WHEN n >= 20 THEN 5 ELSE 4 END AS b FROM o), y AS (SELECT *, CAST(ceil(n / b::DOUBLE) AS BIGINT) AS size FROM z),
+ w AS (SELECT *, CASE WHEN n <= 6 THEN r ELSE r % size END AS line, CASE WHEN n <= 6 THEN 0 ELSE r // size END AS run FROM y)
+ SELECT model_id, type, row_number() OVER (PARTITION BY model_id ORDER BY line, CASE WHEN line % 2 = 1 THEN -run ELSE run END) AS place FROM w""",
+        "tag_shares": f"WITH {ART}, t AS (SELECT side, artifact_id, {_name('u')} AS tag FROM (SELECT *, unnest(raw_tags) AS u FROM art)), m AS (SELECT side, tag, count(*) AS mentions FROM (SELECT DISTINCT side, artifact_id, tag FROM t WHERE tag IS NOT NULL) GROUP BY ALL) SELECT side, tag, mentions, round(mentions::DOUBLE / (SELECT count(DISTINCT repository) FROM art), 6) AS per_repository FROM m",
+        "viewer_rows": f"""WITH {ART}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository, number ORDER BY fetched_at DESC, snapshot_id DESC) AS rn FROM raw_issue) WHERE rn = 1),
+ hu AS (SELECT repository, issue_number, count(*) AS human_artifacts FROM art WHERE side = 'human' GROUP BY ALL), mo AS (SELECT repository, issue_number, model_id, count(*) AS n FROM art WHERE side = 'model' GROUP BY ALL),
+ mj AS (SELECT repository, issue_number, '{{' || string_agg('"' || model_id || '":' || n, ',' ORDER BY model_id) || '}}' AS models FROM mo GROUP BY ALL)
+ SELECT l.repository, l.number AS issue_number, title, state, url, human_artifacts, coalesce(models, '{{}}') AS models FROM l JOIN hu ON hu.repository = l.repository AND hu.issue_number = l.number LEFT JOIN mj ON mj.repository = l.repository AND mj.issue_number = l.number""",
         "model_routing": r"SELECT DISTINCT model_id, 'api' AS provider, model_id AS model, replace(model_id, '/', '__') AS folder, coalesce(try_cast(regexp_extract(model_id, '(\d+(?:\.\d*)?)', 1) AS DOUBLE), 0) AS recency FROM artifact WHERE model_id IS NOT NULL",
         "repository_slugs": "SELECT DISTINCT repository, replace(repository, '/', '__') AS folder, replace(replace(repository, '/', '__'), '__', '/') AS back FROM raw_issue",
-        "dataset_stats": f"WITH {ART} SELECT count(DISTINCT repository) AS repositories, count(DISTINCT model_id) AS models, count(DISTINCT (repository, issue_number)) AS issues, count(*) FILTER (side = 'human') AS human_artifacts, count(*) FILTER (side = 'model') AS model_artifacts, count(DISTINCT type) AS types, (SELECT count(DISTINCT t) FROM (SELECT nullif(translate(lower(regexp_replace(unnest(raw_tags), '^\\s+|\\s+$', '', 'g')), ' -', '__'), '') AS t FROM art)) AS tags FROM art",
+        "dataset_stats": f"WITH {ART} SELECT count(DISTINCT repository) AS repositories, count(DISTINCT model_id) AS models, count(DISTINCT (repository, issue_number)) AS issues, count(*) FILTER (side = 'human') AS human_artifacts, count(*) FILTER (side = 'model') AS model_artifacts, count(DISTINCT type) AS types, (SELECT count(DISTINCT t) FROM (SELECT nullif(regexp_replace(unnest(raw_tags), '^\\s+|\\s+$', '', 'g'), '') AS t FROM art)) AS tags FROM art",
         "mean_f1_by_type": f"WITH {by_type} SELECT model_id, type, round(f1, 6) AS f1, repositories FROM bt",
         "top_types": f"WITH {by_type} SELECT model_id, type, round(f1, 6) AS f1, rank FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY f1 DESC, type) AS rank FROM bt) WHERE rank <= 12",
         "box_stats": f"WITH {FLAGS}, i AS (SELECT model_id, {_harm(_ratio('b', 'mc'), _ratio('b', 'hc'))} AS f1 FROM ci) SELECT model_id, count(*) AS issues, round(min(f1), 6) AS least, round(quantile_cont(f1, 0.25), 6) AS q1, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.75), 6) AS q3, round(max(f1), 6) AS most, round(avg(f1), 6) AS mean FROM i GROUP BY ALL",
-        "cost_per_issue": "SELECT o_orderpriority AS model_id, round(sum(o_totalprice) / count(*), 4) AS cost_per_issue FROM orders GROUP BY ALL",
     }

@@ -19,20 +19,28 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
     return align.aligned(table(spark, d, "artifact"))
 
 
+def type_flags(spark: SparkSession, d: str, normal: bool = False) -> DataFrame:
+    return type_metrics.type_flags(align.type_sets(table(spark, d, "artifact"), normal))
+
+
+def tag_counts(spark: SparkSession, d: str, normal: bool = False) -> DataFrame:
+    return tag_metrics.tag_counts(align.tag_sets(table(spark, d, "artifact"), normal))
+
+
 def type_overlap_per_issue(spark, d):
-    return rounded(type_metrics.per_issue(type_metrics.type_flags(_aligned(spark, d))))
+    return rounded(type_metrics.per_issue(type_flags(spark, d)))
 
 
 def type_macro(spark, d):
-    return rounded(type_metrics.macro(type_metrics.per_issue(type_metrics.type_flags(_aligned(spark, d)))))
+    return rounded(type_metrics.macro(type_metrics.per_issue(type_flags(spark, d))))
 
 
 def type_vocab_overall(spark, d):
-    return rounded(type_metrics.vocabulary(type_metrics.type_flags(_aligned(spark, d))))
+    return rounded(type_metrics.vocabulary(type_flags(spark, d)))
 
 
 def type_per_type_confusion(spark, d):
-    return rounded(type_metrics.per_type(type_metrics.type_flags(_aligned(spark, d))))
+    return rounded(type_metrics.per_type(type_flags(spark, d)))
 
 
 def metric_targets(spark, d):
@@ -44,15 +52,23 @@ def latest_artifacts(spark, d):
 
 
 def tag_pooled_grouping_sets(spark, d):
-    return rounded(tag_metrics.pooled(tag_metrics.tag_counts(_aligned(spark, d))))
+    return rounded(tag_metrics.pooled(tag_counts(spark, d)))
 
 
 def tag_macro(spark, d):
-    return rounded(tag_metrics.macro(tag_metrics.tag_counts(_aligned(spark, d))))
+    return rounded(tag_metrics.macro(tag_counts(spark, d)))
 
 
 def tag_macro_by_type(spark, d):
-    return rounded(tag_metrics.macro(tag_metrics.tag_counts(_aligned(spark, d)), empty=0.0, by_type=True))
+    return rounded(tag_metrics.macro(tag_counts(spark, d), empty=0.0, by_type=True))
+
+
+def type_macro_normalised(spark, d):
+    return rounded(type_metrics.macro(type_metrics.per_issue(type_flags(spark, d, True))))
+
+
+def tag_macro_normalised(spark, d):
+    return rounded(tag_metrics.macro(tag_counts(spark, d, True)))
 
 
 def tag_frequency_topk(spark, d):
@@ -120,7 +136,7 @@ def _components(spark, d, fuzzy: bool) -> DataFrame:
     The plan of the latter is long and boards use components several times, so with it the lineage is cut before and after.
     """
     a = cut(_aligned(spark, d)) if fuzzy else _aligned(spark, d)
-    flags, counts = type_metrics.type_flags(a), tag_metrics.tag_counts(a)
+    flags, counts = type_flags(spark, d), tag_counts(spark, d)
     summary = summary_metrics.per_issue(a).groupBy(*type_metrics.TARGET).agg(X.mean("penalised_token_f1").alias("f1"))
     reports = [("type_f1", type_metrics.macro(type_metrics.per_issue(flags)), "f1"), ("tag_f1", tag_metrics.pooled(counts).where("level = 'overall'"), "f1"), ("summary_token_f1", summary, "f1")]
     if fuzzy:
@@ -179,7 +195,7 @@ def points_quantised(spark, d):
 
 
 QUERIES = (
-    type_overlap_per_issue, type_macro, type_vocab_overall, type_per_type_confusion, metric_targets, latest_artifacts, tag_pooled_grouping_sets, tag_macro, tag_macro_by_type, tag_frequency_topk, phrase_similarities,
+    type_overlap_per_issue, type_macro, type_vocab_overall, type_per_type_confusion, metric_targets, latest_artifacts, tag_pooled_grouping_sets, tag_macro, tag_macro_by_type, type_macro_normalised, tag_macro_normalised, tag_frequency_topk, phrase_similarities,
     metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, metadata_all_methods, complete_components, summary_pairs, coverage_penalty, summary_per_type, summary_overall, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, leaderboard_components_with_metadata, leaderboard_rrf_with_metadata, complete_components_with_metadata, profile_points_with_metadata, points_quantised,
 )
 
@@ -195,6 +211,10 @@ def _snake(x: str) -> str:
     return rf"nullif(translate(lower(regexp_replace({x}, '^\s+|\s+$', '', 'g')), ' -', '__'), '')"
 
 
+def _name(x: str) -> str:
+    return rf"nullif(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '')"
+
+
 def _ratio(n: str, d: str) -> str:
     return f"(CASE WHEN {d} = 0 THEN CASE WHEN {n} = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE ({n})::DOUBLE / ({d}) END)"
 
@@ -213,24 +233,29 @@ def _raw_scores(both: str, human: str, model: str) -> str:
     return f"{p} AS precision, {r} AS recall, {_harm(p, r)} AS f1, {_ratio(both, f'({human} + {model} - {both})')} AS jaccard"
 
 
-ART = rf"""
+def _bases(name) -> tuple[str, str, str]:
+    """The last state of each artifact on both sides, types by issue, and tags by issue and type; name: how names are compared."""
+    art = rf"""
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY extracted_at DESC NULLS LAST, type DESC) AS rn FROM artifact) WHERE rn = 1),
-art AS (SELECT artifact_id, side, model_id, repository, issue_number, comment_idx, artifact_idx, {_snake("type")} AS type, summary, tags AS raw_tags, metadata FROM last WHERE {_snake("type")} IS NOT NULL),
+art AS (SELECT artifact_id, side, model_id, repository, issue_number, comment_idx, artifact_idx, {name("type")} AS type, summary, tags AS raw_tags, metadata FROM last WHERE {name("type")} IS NOT NULL),
 target AS (SELECT DISTINCT model_id, repository FROM art WHERE side = 'model'),
 s AS (
   SELECT t.model_id, a.repository, a.issue_number, a.comment_idx, a.artifact_idx, a.artifact_id, a.type, a.summary, a.raw_tags, a.metadata, 1 AS h, 0 AS l FROM art a JOIN target t USING (repository) WHERE a.side = 'human'
   UNION ALL SELECT model_id, repository, issue_number, comment_idx, artifact_idx, artifact_id, type, summary, raw_tags, metadata, 0, 1 FROM art WHERE side = 'model')"""
-
-FLAGS = ART + """,
+    flags = art + """,
 f AS (SELECT model_id, repository, issue_number, type, max(h) AS h, max(l) AS l FROM s GROUP BY ALL),
 ci AS (SELECT model_id, repository, issue_number, sum(h * l) AS b, sum(h) AS hc, sum(l) AS mc FROM f GROUP BY ALL)"""
-
-TAGS = ART + rf""",
-g AS (SELECT model_id, repository, issue_number, type, artifact_id, h, l, {_snake("u")} AS tag FROM (SELECT *, unnest(raw_tags) AS u FROM s) WHERE {_snake("u")} IS NOT NULL),
+    tags = art + rf""",
+g AS (SELECT model_id, repository, issue_number, type, artifact_id, h, l, {name("u")} AS tag FROM (SELECT *, unnest(raw_tags) AS u FROM s) WHERE {name("u")} IS NOT NULL),
 tf AS (SELECT model_id, repository, issue_number, type, tag, max(h) AS h, max(l) AS l FROM g GROUP BY ALL),
 ts AS (SELECT model_id, repository, issue_number, type, sum(h * l) AS b, sum(h) AS hc, sum(l) AS mc FROM tf GROUP BY ALL),
 ty AS (SELECT model_id, repository, issue_number, type, max(h) AS has_h, max(l) AS has_l, max(h) * max(l) AS shared FROM s GROUP BY ALL),
 tc AS (SELECT ty.*, coalesce(b, 0) * shared AS b, coalesce(hc, 0) * shared AS hc, coalesce(mc, 0) * shared AS mc FROM ty LEFT JOIN ts USING (model_id, repository, issue_number, type))"""
+    return art, flags, tags
+
+
+ART, FLAGS, TAGS = _bases(_name)
+_, FLAGS_NORMAL, TAGS_NORMAL = _bases(_snake)
 
 PHRASE = r"trim(regexp_replace(regexp_replace(lower(%s), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 STRIP = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
@@ -290,13 +315,13 @@ def _points(keys: str, extra: str = "") -> str:
 
 def oracle_sql() -> dict[str, str]:
     issue = "model_id, repository, issue_number"
-    return {
+    out = {
         "type_overlap_per_issue": f"WITH {FLAGS} SELECT {issue}, b AS intersection_count, hc AS human_count, mc AS model_count, hc + mc - b AS union_count, {_scores('b', 'hc', 'mc')} FROM ci",
         "type_macro": f"WITH {FLAGS} SELECT model_id, repository, count(*) AS issue_count, {', '.join(f'round(avg({m}), 6) AS {m}' for m in ('precision', 'recall', 'f1', 'jaccard'))} FROM (SELECT model_id, repository, {_raw_scores('b', 'hc', 'mc')} FROM ci) GROUP BY ALL",
         "type_vocab_overall": f"WITH {FLAGS}, w AS (SELECT model_id, repository, type, max(h) AS h, max(l) AS l FROM f GROUP BY ALL), x AS (SELECT model_id, repository, sum(h * l) AS b, sum(h) AS hc, sum(l) AS mc FROM w GROUP BY ALL) SELECT model_id, repository, b AS intersection_count, hc AS human_count, mc AS model_count, hc + mc - b AS union_count, {_scores('b', 'hc', 'mc')} FROM x",
         "type_per_type_confusion": f"WITH {FLAGS}, n AS (SELECT model_id, repository, count(DISTINCT issue_number) AS issues FROM f GROUP BY ALL), x AS (SELECT model_id, repository, type, sum(h * l) AS tp, sum((1 - h) * l) AS fp, sum(h * (1 - l)) AS fn FROM f GROUP BY ALL) SELECT model_id, repository, type, tp, fp, fn, issues - tp - fp - fn AS tn, {_scores('tp', '(tp + fn)', '(tp + fp)')} FROM x JOIN n USING (model_id, repository)",
         "metric_targets": f"WITH {ART} SELECT * FROM target",
-        "latest_artifacts": f"WITH {ART} SELECT artifact_id, side, repository, issue_number, type, coalesce((SELECT string_agg(t, '|' ORDER BY k) FROM (SELECT t, min(k) AS k FROM (SELECT {_snake('u.x')} AS t, u.k FROM (SELECT unnest(raw_tags) AS x, generate_subscripts(raw_tags, 1) AS k) u) WHERE t IS NOT NULL GROUP BY t)), '') AS tags FROM art",
+        "latest_artifacts": f"WITH {ART} SELECT artifact_id, side, repository, issue_number, type, coalesce((SELECT string_agg(t, '|' ORDER BY k) FROM (SELECT t, min(k) AS k FROM (SELECT {_name('u.x')} AS t, u.k FROM (SELECT unnest(raw_tags) AS x, generate_subscripts(raw_tags, 1) AS k) u) WHERE t IS NOT NULL GROUP BY t)), '') AS tags FROM art",
         "tag_pooled_grouping_sets": f"""WITH {TAGS}, x AS (SELECT model_id, repository, issue_number, type, CASE grouping(issue_number, type) WHEN 3 THEN 'overall' WHEN 1 THEN 'issue' ELSE 'type' END AS level, sum(shared) AS compared_count, sum(has_h) AS human_issue_count, sum(has_l) AS model_issue_count, sum(b) AS b, sum(hc) AS hc, sum(mc) AS mc
  FROM tc GROUP BY GROUPING SETS ((model_id, repository), (model_id, repository, issue_number), (model_id, repository, type))) SELECT level, model_id, repository, issue_number, type, compared_count, human_issue_count, model_issue_count, b AS intersection_count, hc AS human_count, mc AS model_count, {_scores('b', 'hc', 'mc')} FROM x""",
         "tag_macro": f"WITH {TAGS}, x AS (SELECT {issue}, sum(b) AS b, sum(hc) AS hc, sum(mc) AS mc FROM tc GROUP BY ALL) SELECT model_id, repository, count(*) AS issue_count, {', '.join(f'round(avg({m}), 6) AS {m}' for m in ('precision', 'recall', 'f1', 'jaccard'))} FROM (SELECT model_id, repository, {_raw_scores('b', 'hc', 'mc')} FROM x) GROUP BY ALL",
@@ -320,3 +345,5 @@ def oracle_sql() -> dict[str, str]:
         "profile_points": COMPONENTS + ", mv AS (SELECT model_id, component, avg(value) AS v FROM comp GROUP BY ALL), w AS (SELECT model_id, coalesce(max(v) FILTER (component = 'type_f1'), 0) AS type_f1, coalesce(max(v) FILTER (component = 'tag_f1'), 0) AS tag_f1, coalesce(max(v) FILTER (component = 'summary_token_f1'), 0) AS summary_token_f1 FROM mv GROUP BY ALL) SELECT model_id, round(type_f1, 6) AS type_f1, round(tag_f1, 6) AS tag_f1, round(summary_token_f1, 6) AS summary_token_f1, round((type_f1 + tag_f1 + summary_token_f1) / 3, 6) AS composite, round_even((type_f1 + tag_f1 + summary_token_f1) / 3 * 100, 0)::BIGINT AS points FROM w",
         "points_quantised": "SELECT o_orderkey, least(greatest(round_even(o_totalprice / 1000 / 10, 0)::BIGINT * 10, 0), 1000) AS points, least(greatest(round_even(o_totalprice / 1000, 0)::BIGINT, 0), 100) AS points_100 FROM orders",
     }
+    # the same with names compared in small letters and underscores
+    return out | {"type_macro_normalised": out["type_macro"].replace(FLAGS, FLAGS_NORMAL), "tag_macro_normalised": out["tag_macro"].replace(TAGS, TAGS_NORMAL)}

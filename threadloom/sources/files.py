@@ -46,11 +46,24 @@ def issue_number(from_name: bool = True) -> Column:
 
 
 def extraction_artifacts(documents: DataFrame, from_name: bool = True) -> DataFrame:
-    """Documents of one extraction side as artifact rows; documents without a number and null nodes drop out."""
+    """Documents of one extraction side as artifact rows; documents without a number and null nodes drop out.
+
+    A document without any artifact gives one row of its issue with all else null: a side that found nothing (`align.empty_issues`).
+    """
     d = documents.withColumn("issue_number", issue_number(from_name)).where("issue_number is not null")
-    c = d.select("repository", "model_id", "issue_number", F.posexplode("issue.comments").alias("comment_idx", "c")).where("c is not null")
-    a = c.select("repository", "model_id", "issue_number", "comment_idx", F.posexplode("c.artifacts").alias("artifact_idx", "a")).where("a is not null")
-    return a.select("repository", "model_id", "issue_number", "comment_idx", "artifact_idx", "a.type", "a.summary", "a.tags", "a.metadata")
+    key = ["repository", "model_id", "issue_number"]
+    c = d.select("file", *key, F.posexplode_outer("issue.comments").alias("comment_idx", "c"))
+    a = c.select("file", *key, "comment_idx", F.posexplode_outer("c.artifacts").alias("artifact_idx", "a"))
+    some = a.where("a is not null").select(*key, "comment_idx", "artifact_idx", "a.type", "a.summary", "a.tags", "a.metadata")
+    none = a.groupBy("file", *key).agg(F.count("a").alias("n")).where("n = 0").select(*key)
+    return some.unionByName(none, allowMissingColumns=True)
+
+
+def artifact_rows(rows: DataFrame, side: str) -> DataFrame:
+    """`extraction_artifacts` of one side as the artifact table of the metrics: with side, artifact_id (null for an issue without
+    artifacts) and no extraction time."""
+    place = F.to_json(F.struct(F.lit(side).alias("side"), "repository", "model_id", "issue_number", "comment_idx", "artifact_idx"))
+    return rows.select(F.when(F.col("artifact_idx").isNotNull(), place).alias("artifact_id"), F.lit(side).alias("side"), *rows.columns, F.lit(None).cast("timestamp").alias("extracted_at"))
 
 
 def snapshot_files(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> DataFrame:
