@@ -202,3 +202,55 @@ def test_ring(spark, n):
 def test_components_must_be_finite(spark):
     df = spark.createDataFrame([("r", "a", 1.0), ("r", "b", float("inf")), ("r", "c", float("-inf")), ("r", "d", float("nan")), ("r", "e", None)], "repository string, model_id string, f1 double")
     assert [r.model_id for r in leaderboard.unpivot([("x", df, "f1")]).collect()] == ["a"]
+
+
+def brute_match(h, m, similar, threshold):
+    pairs = sorted(((-similar(a, b), i, j) for i, a in enumerate(h) for j, b in enumerate(m)), key=lambda p: p)
+    hs, ms, tp = set(), set(), 0
+    for s, i, j in pairs:
+        if i not in hs and j not in ms:
+            hs.add(i)
+            ms.add(j)
+            tp += -s >= threshold
+    return tp
+
+
+SIMILAR = {
+    "max_all": lambda a, b: _similar(a, b),
+    "token_f1": lambda a, b: 2 * len(set(a.split()) & set(b.split())) / (len(set(a.split())) + len(set(b.split()))),
+    "token_jaccard": lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())),
+    "token_containment": lambda a, b: len(set(a.split()) & set(b.split())) / min(len(set(a.split())), len(set(b.split()))),
+    "sequence_ratio": lambda a, b: difflib.SequenceMatcher(None, a, b).ratio(),
+    "char_ngram_jaccard": lambda a, b: len(_grams(a) & _grams(b)) / len(_grams(a) | _grams(b)),
+}
+
+
+def _grams(s):
+    return {(" " + s + " ")[i : i + 3] for i in range(len(s))}
+
+
+def test_all_methods_and_levels_against_brute_force(spark):
+    """Groups over a whole repository and per issue, many equal values, several near phrases; every similarity."""
+    rng = random.Random(11)
+    words = ["unknown", "unknown", "unknown", "unknown cache", "cache unknown", "cache", "parser", "slow parser", "parser slow", "disk", "disks", "cash"]
+    rows = [row(side, kind, meta={"target_area": rng.choice(words)}, issue=issue) for issue in range(6) for side in ("human", "model") for kind in ("x", "y") for _ in range(rng.randrange(0, 7))]
+    a = artifacts(spark, rows)
+    held = lambda side, issues, kind: [x[4]["target_area"] for x in sorted(rows, key=lambda x: x[1]) if x[0] == side and x[1] in issues and x[2] == kind]
+    for level, group in (("issue", metadata_metrics.GROUP), ("all", ("model_id", "repository", "type", "field"))):
+        matching = metadata_metrics.Matching(metadata_metrics.field_values(a), metadata_metrics.METHODS, group)
+        for method in metadata_metrics.METHODS:
+            for r in matching.scores(method, 0.7).collect():
+                h, m = (held(side, {r.issue_number} if level == "issue" else range(6), r.type) for side in ("human", "model"))
+                assert (r.human_count, r.model_count) == (len(h), len(m))
+                assert r.tp == brute_match(h, m, SIMILAR[method], 0.7), (level, method, r)
+                if h and m:
+                    assert abs(r.sum_best_human - sum(max(SIMILAR[method](x, y) for y in m) for x in h)) < 1e-9
+                    assert abs(r.sum_best_model - sum(max(SIMILAR[method](x, y) for y in h) for x in m)) < 1e-9
+
+
+def test_very_many_equal_values_are_counted_not_paired(spark):
+    """300,000 equal values on each side of one group: their pairs would be 9e10."""
+    n = 300_000
+    v = spark.range(2 * n).select(F.lit("m").alias("model_id"), F.lit("r").alias("repository"), F.col("id").alias("issue_number"), F.lit("x").alias("type"), F.lit("f").alias("field"), (F.col("id") % 2).cast("int").alias("h"), F.lit(0).alias("comment_idx"), F.lit(0).alias("artifact_idx"), F.col("id").alias("artifact_id"), F.when(F.col("id") < 2, "other").otherwise("unknown").alias("phrase"))
+    r = metadata_metrics.group_scores(v, group=("model_id", "repository", "type", "field")).first()
+    assert (r.human_count, r.model_count, r.tp, r.sum_best_human) == (n, n, n, n)

@@ -99,6 +99,10 @@ def metadata_overall(spark, d):
     return rounded(metadata_metrics.overall(_aligned(spark, d)))
 
 
+def metadata_per_type(spark, d):
+    return rounded(metadata_metrics.per_issue_type(_aligned(spark, d)))
+
+
 def metadata_all_methods(spark, d):
     return rounded(metadata_metrics.all_methods(_aligned(spark, d)))
 
@@ -196,7 +200,7 @@ def points_quantised(spark, d):
 
 QUERIES = (
     type_overlap_per_issue, type_macro, type_vocab_overall, type_per_type_confusion, metric_targets, latest_artifacts, tag_pooled_grouping_sets, tag_macro, tag_macro_by_type, type_macro_normalised, tag_macro_normalised, tag_frequency_topk, phrase_similarities,
-    metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, metadata_all_methods, complete_components, summary_pairs, coverage_penalty, summary_per_type, summary_overall, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, leaderboard_components_with_metadata, leaderboard_rrf_with_metadata, complete_components_with_metadata, profile_points_with_metadata, points_quantised,
+    metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, metadata_per_type, metadata_all_methods, complete_components, summary_pairs, coverage_penalty, summary_per_type, summary_overall, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, leaderboard_components_with_metadata, leaderboard_rrf_with_metadata, complete_components_with_metadata, profile_points_with_metadata, points_quantised,
 )
 
 
