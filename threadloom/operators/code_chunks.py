@@ -6,6 +6,8 @@ A Python table function, as syntax trees and match positions have no native form
 from __future__ import annotations
 
 import ast
+import bisect
+import os
 import re
 
 import pyarrow as pa
@@ -50,18 +52,23 @@ def python_symbols(text: str) -> list[tuple[int, int, str]]:
     return sorted((n.lineno, n.end_lineno, n.name) for n in ast.walk(tree) if isinstance(n, kinds))
 
 
+def line_starts(text: str) -> list[int]:
+    """Where each line begins."""
+    return [0, *(k + 1 for k, c in enumerate(text) if c == "\n")]
+
+
 def other_symbols(text: str, language: str) -> list[tuple[int, int, str | None]]:
-    """From each match of the language's pattern to the next."""
-    if language not in SYMBOLS:
+    """A symbol reaches from its match to the line before the next one's; its name is the first group that matched."""
+    pattern = SYMBOLS.get(language)
+    if pattern is None:
         return []
-    found = list(re.finditer(SYMBOLS[language], text, re.MULTILINE))
-    line = lambda at: text.count("\n", 0, at) + 1
-    out = []
-    for k, m in enumerate(found):
-        first = line(m.start())
-        last = line(found[k + 1].start() if k + 1 < len(found) else len(text)) - 1
-        out.append((first, max(first, last), next((g for g in m.groups() if g), None)))
-    return out
+    starts = line_starts(text)
+    lines, names = [], []
+    for m in re.finditer(pattern, text, re.MULTILINE):
+        lines.append(bisect.bisect_right(starts, m.start()))
+        names.append(next(filter(None, m.groups()), None))
+    ends = [n - 1 for n in lines[1:]] + [len(starts) - 1] * bool(lines)
+    return [(a, max(a, b), name) for a, b, name in zip(lines, ends, names, strict=True)]
 
 
 def windows(lines: int, size: int, overlap: int) -> list[tuple[int, int, None]]:
@@ -76,15 +83,28 @@ def windows(lines: int, size: int, overlap: int) -> list[tuple[int, int, None]]:
     return out
 
 
+def extension(path: str) -> str:
+    return os.path.splitext(path)[1][1:].lower()
+
+
 def chunk_file(path: str, text: str | None, size: int = 50, overlap: int = 10) -> list[tuple]:
-    """(chunk_id, file_path, symbol_name, language, start_line, end_line, text) of one file; blank chunks drop out."""
+    """(chunk_id, file_path, symbol_name, language, start_line, end_line, text) of one file; blank chunks drop out.
+
+    Files without a symbol that has text are cut into windows of lines.
+    """
     if not text:
         return []
-    language = path.rsplit(".", 1)[1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    lines = text.splitlines()
-    spans = python_symbols(text) if path.endswith(".py") else other_symbols(text, language)
-    shape = lambda ss: [(f"{path}::{a}-{b}", path, name, language, a, b, body) for a, b, name in ss if (body := "\n".join(lines[a - 1 : b]).strip())]
-    return shape(spans) or shape(windows(len(lines), size, overlap))
+    language, lines = extension(path), text.splitlines()
+    found = python_symbols(text) if path.endswith(".py") else other_symbols(text, language)
+    for spans in (found, windows(len(lines), size, overlap)):
+        chunks = []
+        for first, last, name in spans:
+            body = "\n".join(lines[first - 1 : last]).strip()
+            if body:
+                chunks.append((f"{path}::{first}-{last}", path, name, language, first, last, body))
+        if chunks:
+            return chunks
+    return []
 
 
 def chunk_files(files: DataFrame, size: int = 50, overlap: int = 10) -> DataFrame:

@@ -137,6 +137,75 @@ def unslug(x: str | Column) -> Column:
     return F.replace(X.col(x), F.lit("__"), F.lit("/"))
 
 
+#: Families by the word in a model's name, in the order in which boards list them; tiers of the second.
+FAMILIES = (("gpt", ("gpt",)), ("claude", ("claude", "anthropic")), ("gemini", ("gemini",)), ("qwen", ("qwen",)))
+TIERS = (("opus", 3.0), ("sonnet", 2.0), ("haiku", 1.0))
+#: Names shown for some models.
+SHOWN = {
+    "gemini-2.5-flash": "Gemini 2.5 Flash",
+    "gemini/gemini-3.1-flash-lite-preview": "Gemini 3.1 Flash Lite Preview",
+    "us.anthropic.claude-sonnet-4-6": "Claude Sonnet 4.6",
+    "us.anthropic.claude-opus-4-6-v1": "Claude Opus 4.6",
+    "openai/gpt-5": "OpenAI GPT-5",
+    "gpt-5.4": "OpenAI GPT-5.4",
+    "gpt-4.1-mini": "OpenAI GPT-4.1 Mini",
+    "qwen2.5:7b-instruct": "Qwen 2.5 7B Instruct",
+}
+
+
+def first_number(x: str | Column) -> Column:
+    """The first number in a text, 0 if it has none."""
+    return F.coalesce(F.regexp_extract(X.col(x), r"(\d+(?:\.\d*)?)", 1).try_cast("double"), F.lit(0.0))
+
+
+def model_family(x: str | Column) -> Column:
+    """Struct of family, recency (the first number behind the family's word; for the second family tier * 100 plus the first number),
+    and rank of the family."""
+    low = F.lower(X.strip(x))
+    tier = F.coalesce(*[F.when(low.contains(w), F.lit(v)) for w, v in TIERS], F.lit(0.0)) * 100 + first_number(low)
+    answer = lambda name, recency, rank: F.struct(F.lit(name).alias("family"), recency.alias("recency"), F.lit(rank).alias("family_rank"))
+    out = answer("other", first_number(low), len(FAMILIES))
+    for rank, (name, words) in reversed(list(enumerate(FAMILIES))):
+        recency = tier if name == "claude" else first_number(F.regexp_extract(low, f"(?s){name}(.*)$", 1))
+        hit = low.contains(words[0])
+        for w in words[1:]:
+            hit = hit | low.contains(w)
+        out = F.when(hit, answer(name, recency, rank)).otherwise(out)
+    return out
+
+
+def display_name(x: str | Column) -> Column:
+    """A model's name for a figure: a given one, else its words with capitals, a few of them in capitals throughout."""
+    m = X.strip(x)
+    words = F.filter(F.split(F.regexp_replace(m, "__|[/:-]", " "), r"(?U)\s+"), lambda w: w != "")
+    shown = F.array_join(F.transform(words, lambda w: F.when(F.lower(w).isin("gpt", "llm", "api"), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20))))), " ")
+    given = F.create_map(*[F.lit(v) for kv in SHOWN.items() for v in kv])[m]
+    return F.coalesce(given, F.when(F.size(words) > 0, shown).otherwise(m))
+
+
+def issue_text(raw: DataFrame, curated: DataFrame) -> DataFrame:
+    """repository, issue_number, number, title, body of the latest state of each issue, as prompts show it.
+
+    The curated title and body are preferred to the raw ones, and a non-blank opening post of the thread to the body.
+    """
+    key = ["repository", "issue_number"]
+    r = raw.groupBy("repository", F.col("number").alias("issue_number")).agg(F.max_by(F.struct("title", "body"), F.struct("fetched_at", "snapshot_id")).alias("raw"))
+    c = curated.groupBy(*key).agg(F.max_by(F.struct("input_vector", "deliberation_thread"), F.struct("ingested_at", "record_id")).alias("c"))
+    opening = F.get(F.filter("c.deliberation_thread", lambda p: F.coalesce(p["is_issue_body"], F.lit(False))), F.lit(0))["body"]
+    first = lambda *xs: F.coalesce(*[F.when(x != "", x) for x in xs], F.lit(""))
+    title, body = first(F.col("c.input_vector.title"), F.col("raw.title")), first(F.col("c.input_vector.body"), F.col("raw.body"))
+    return r.join(c, key, "left").select(*key, F.col("issue_number").alias("number"), X.strip(title).alias("title"), F.coalesce(X.blank_null(X.strip(opening)), X.strip(body)).alias("body"))
+
+
+def limited(issues: DataFrame, order: list[str], number: int | None = None, limit: int | None = None) -> DataFrame:
+    """Issues of one number, or all; then the first of each repository in the given order. The filter comes before the limit."""
+    some = issues if number is None else issues.where(F.col("issue_number") == number)
+    if limit is None:
+        return some
+    over = Window.partitionBy("repository").orderBy(*order)
+    return some.withColumn("_n", F.row_number().over(over)).where(F.col("_n") <= limit).drop("_n")
+
+
 def model_recency(x: str | Column) -> Column:
     """The first number in a model's name, 0 if it has none."""
-    return F.coalesce(F.regexp_extract(X.col(x), r"(\d+(?:\.\d*)?)", 1).try_cast("double"), F.lit(0.0))
+    return first_number(x)

@@ -92,9 +92,38 @@ draw();
 
 
 def page(rows: DataFrame, title: str, limit: int = 5_000) -> str:
-    """A page with the first `limit` rows of a report as a table that sorts by any column. The data can't end the script."""
-    data = [r[0] for r in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).limit(limit).collect()]
+    """A page with a report as a table that sorts by any column. The data can't end the script.
+
+    A page holds `limit` rows; of a longer report it says how many rows aren't shown. Reports go to pages, tables of any size to `files`.
+    """
+    data = [r[0] for r in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).limit(limit + 1).collect()]
+    if len(data) > limit:
+        title, data = f"{title} (the first {limit} of {rows.count()} rows)", data[:limit]
     return PAGE.format(title=title.replace("<", "&lt;"), data=("[" + ",\n".join(data) + "]").replace("</", "<\\/"))
 
 
-__all__ = ["box_stats", "cost_per_issue", "dataset_stats", "mean_by_type", "page", "spread", "tag_shares", "top_types", "viewer_rows"]
+def tag_f1_by_type(counts: DataFrame) -> DataFrame:
+    """Tag agreement of each model and type over all its issues: f1 = 2 both / (human + model), 1 if neither side has a tag."""
+    s = counts.where("type is not null").groupBy("model_id", "type").agg(*[F.sum(c).alias(c) for c in ("both", "human", "model")])
+    n = F.col("human") + F.col("model")
+    return s.select("model_id", "type", F.when(n == 0, 1.0).otherwise(2 * F.col("both") / n).alias("f1"))
+
+
+def issue_series(per_issue: DataFrame, metric: str) -> DataFrame:
+    """The values of a metric of each model and repository in order of issues: model_id, repository, place (from 0), value."""
+    over = Window.partitionBy("model_id", "repository").orderBy("issue_number")
+    return per_issue.where(F.col(metric).isNotNull()).select("model_id", "repository", (F.row_number().over(over) - 1).alias("place"), F.col(metric).alias("value"))
+
+
+def scatter(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Two series side by side by place, as long as the shorter: model_id, repository, place, x, y."""
+    key = ["model_id", "repository", "place"]
+    return x.withColumnRenamed("value", "x").join(y.withColumnRenamed("value", "y"), key)
+
+
+def across_repositories(per_issue: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """Means over the issues of all repositories pooled, with their numbers."""
+    return per_issue.agg(F.count_distinct("repository").alias("repositories"), F.count("*").alias("issues"), *[X.mean(m).alias(m) for m in metrics])
+
+
+__all__ = ["across_repositories", "box_stats", "cost_per_issue", "dataset_stats", "issue_series", "mean_by_type", "page", "scatter", "spread", "tag_f1_by_type", "tag_shares", "top_types", "viewer_rows"]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,53 @@ def unavailable(a: Column, b: Column) -> Column:
     return F.struct(F.lit(0.0).alias("score"), F.lit(1.0).alias("unavailable"))
 
 
+def with_empty_texts(scorer: Scorer, names: tuple[str, ...]) -> Scorer:
+    """The scorer on two texts with something in them; two blank ones score 1, a blank beside another 0."""
+
+    def score(a: Column, b: Column) -> Column:
+        blank = [F.coalesce(X.strip(x), F.lit("")) == "" for x in (a, b)]
+        same = lambda v: F.struct(*[F.lit(v).alias(n) for n in names])
+        return F.when(blank[0] & blank[1], same(1.0)).when(blank[0] | blank[1], same(0.0)).otherwise(scorer(a, b))
+
+    return score
+
+
+def vector_scores(human: pd.Series, model: pd.Series) -> pd.DataFrame:
+    """precision, recall, f1 by greatest cosine, and the cosine of the means (clipped to [-1, 1]), of two lists of token vectors.
+
+    Recall is the mean over the human tokens of the greatest cosine with a model token, precision the other way. Two empty lists score
+    1, one empty list 0; null vectors (masked tokens) are left out.
+    """
+    out = []
+    for x, y in zip(human, model, strict=True):
+        a, b = (np.array([v for v in (z if z is not None else []) if v is not None], np.float64) for z in (x, y))
+        if not len(a) or not len(b):
+            out.append((float(len(a) == len(b)),) * 4)
+            continue
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
+        c = unit(a) @ unit(b).T
+        p, r = float(c.max(0).mean()), float(c.max(1).mean())
+        mean = float(np.clip(unit(a.mean(0)) @ unit(b.mean(0)), -1, 1))
+        out.append((p, r, 2 * p * r / (p + r) if p + r else 0.0, mean))
+    return pd.DataFrame(out, columns=["precision", "recall", "f1", "cosine"])
+
+
+def token_similarity(a: Column, b: Column) -> Column:
+    """`vector_scores` of two columns of token vectors."""
+    return F.pandas_udf(vector_scores, "struct<precision: double, recall: double, f1: double, cosine: double>")(a, b)
+
+
+def hashed_tokens(text: Column, width: int = 16) -> Column:
+    """Token vectors that need no model: each token by the first bytes of its hash, as numbers around 0; null for no token."""
+    digit = lambda h, k: F.conv(F.substring(h, k * 2 + 1, 2), 16, 10).cast("double") / 127.5 - 1
+    return F.transform(X.search_tokens(F.coalesce(text, F.lit(""))), lambda t: X.let(F.md5(t), lambda h: F.array(*[digit(h, k) for k in range(width)])))
+
+
+def vectors(a: Column, b: Column) -> Column:
+    """A scorer by token vectors, here hashed ones; the vectors of an encoder go the same way (`token_similarity`)."""
+    return token_similarity(hashed_tokens(a), hashed_tokens(b))
+
+
 def combined(aligned: DataFrame, keys: tuple[str, ...] = (*ISSUE, "type")) -> DataFrame:
     """Per key the summaries of each side in order, joined by line ends, and their numbers; blank summaries don't count."""
     a = aligned.withColumn("text", X.strip("summary")).where("text is not null and text <> ''")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import exprs as X
 from threadloom.functions import vocab as V
-from threadloom.operators import align, code_chunks, compare, curate, extract, prompting, reports, retrieve, type_metrics
-from threadloom.plans.metric_queries import ART, FLAGS, _harm, _name, _ratio, rounded, type_flags
+from threadloom.operators import align, backends, code_chunks, compare, curate, extract, prompting, reports, retrieve, tag_metrics, type_metrics
+from threadloom.plans.metric_queries import ART, FLAGS, TAGS, _harm, _name, _ratio, _raw_scores, rounded, tag_counts, type_flags
 from threadloom.session import cut, table
 
 # ---------------------------------------------------------------- curation
@@ -119,6 +119,57 @@ def comment_prompts(spark, d):
     return c.select("record_id", "comment_idx", F.md5(prompting.comment_prompt()).alias("prompt_hash"))
 
 
+def _model_artifacts(spark, d):
+    c = extract.comments(_records(spark, d)).select("record_id", "repository", "issue_number", "comment_idx", "author", "link", "text")
+    return backends.model_artifacts(c, backends.stub)
+
+
+def model_artifacts(spark, d):
+    """Every comment through a completion that needs no model: prompt, answer, parsing, artifacts in shape, errors as rows."""
+    a = _model_artifacts(spark, d)
+    return a.select("record_id", "comment_idx", "artifact_idx", "status", "type", "summary", F.array_join("tags", "|").alias("tags"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metadata")))).alias("metadata"))
+
+
+def model_run_counts(spark, d):
+    return backends.run_counts(_model_artifacts(spark, d), "repository", "issue_number")
+
+
+def _answers(spark, d):
+    issues = prompting.issue_text(_raw(spark, d), _records(spark, d))
+    p = issues.select("repository", "issue_number", prompting.prompt(F.col("number"), F.col("title"), F.col("body"), None).alias("prompt"))
+    return backends.answers(p, backends.stub, "stub")
+
+
+def issue_responses(spark, d):
+    """Each issue's prompt (without code) to the stub."""
+    return _answers(spark, d).select("repository", "issue_number", "model_id", "response", "error_type")
+
+
+def derived_artifacts(spark, d):
+    """The answers cut into comments, and these through the stub again."""
+    a = backends.derived_artifacts(_answers(spark, d), backends.stub)
+    return a.select("repository", "issue_number", "model_id", "comment_idx", "artifact_idx", "status", "type", "summary")
+
+
+def issue_texts(spark, d):
+    """Title and body as prompts show them: curated before raw, the opening post before the body."""
+    return prompting.issue_text(_raw(spark, d), _records(spark, d)).select("repository", "issue_number", "title", "body")
+
+
+def model_names(spark, d):
+    f = prompting.model_family("model_id")
+    m = table(spark, d, "artifact").where("model_id is not null").select("model_id").distinct()
+    return m.select("model_id", f["family"].alias("family"), f["family_rank"].alias("family_rank"), f["recency"].alias("recency"), prompting.display_name("model_id").alias("shown"))
+
+
+def issue_context_hybrid(spark, d):
+    """The chunks of each issue by lexical ranks and those of hashed vectors, fused."""
+    issues, chunks = _issues(spark, d), _chunks(spark, d)
+    v = retrieve.hashed_vectors(chunks, "chunk_no", "text").join(chunks.select("chunk_no", "repository"), "chunk_no")
+    q = issues.select(F.struct("repository", "issue_number").alias("q"), F.concat_ws("\n\n", "title", "body").alias("text"))
+    return rounded(retrieve.for_issues(issues, chunks, (v, retrieve.hashed_vectors(q, "q", "text").select("q.*", "embedding"))), 9)
+
+
 def normal_artifacts(spark, d):
     a = extract.normal_artifacts(align.latest_artifacts(table(spark, d, "artifact"), normal=True))
     return a.select("artifact_id", "type", F.array_join(F.array_sort("tags"), "|").alias("tags"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metadata")))).alias("metadata"))
@@ -288,6 +339,20 @@ def type_ring(spark, d):
     return reports.spread(_by_type(spark, d), "f1").select("model_id", "type", "place")
 
 
+def tag_f1_by_type(spark, d):
+    return rounded(reports.tag_f1_by_type(tag_counts(spark, d)))
+
+
+def type_tag_scatter(spark, d):
+    types = type_metrics.per_issue(type_flags(spark, d))
+    tags = tag_metrics.pooled(tag_counts(spark, d)).where("level = 'issue'")
+    return rounded(reports.scatter(reports.issue_series(types, "f1"), reports.issue_series(tags, "f1")))
+
+
+def type_across_repositories(spark, d):
+    return rounded(reports.across_repositories(type_metrics.per_issue(type_flags(spark, d)), ("precision", "recall", "f1", "jaccard")))
+
+
 def box_stats(spark, d):
     issues = type_metrics.per_issue(type_flags(spark, d))
     return rounded(reports.box_stats(issues, "f1"))
@@ -303,9 +368,9 @@ def viewer_rows(spark, d):
 
 QUERIES = (
     formatted_discussion, file_references, thread_posts, timeline_events, linked_pull_requests, label_sets, actor_typology, dataset_summary, state_distribution, comment_count_filter, display_roles, earliest_issue,
-    rule_artifacts, rule_type_counts, rule_keyword_counts, rule_tag_inference, extraction_run_totals, comment_jobs, comment_prompts, normal_artifacts, comparison_per_issue, comparison_macro, comparison_per_type, comparison_overall, comparison_tag_frequency,
-    bm25_topk, dense_topk, hybrid_rrf, context_budget, sliding_chunks, structural_chunks, issue_context, issue_prompts, example_responses, self_excluding_examples, response_comments, resume_anti_join, model_routing, repository_slugs,
-    dataset_stats, mean_f1_by_type, top_types, type_ring, box_stats, tag_shares, viewer_rows,
+    rule_artifacts, rule_type_counts, rule_keyword_counts, rule_tag_inference, extraction_run_totals, comment_jobs, comment_prompts, normal_artifacts, model_artifacts, model_run_counts, derived_artifacts, issue_texts, issue_responses, comparison_per_issue, comparison_macro, comparison_per_type, comparison_overall, comparison_tag_frequency,
+    bm25_topk, dense_topk, hybrid_rrf, context_budget, sliding_chunks, structural_chunks, issue_context, issue_context_hybrid, issue_prompts, example_responses, self_excluding_examples, response_comments, resume_anti_join, model_routing, model_names, repository_slugs,
+    dataset_stats, mean_f1_by_type, top_types, type_ring, tag_f1_by_type, type_tag_scatter, type_across_repositories, box_stats, tag_shares, viewer_rows,
 )
 
 
@@ -374,6 +439,20 @@ def _dense(k: int) -> str:
 den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM ds) WHERE rank <= {k})"""
 
 
+#: What the stub makes of the texts j.
+_STUB = r"""st AS (SELECT *, trim(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))[1:60]) AS short, CASE WHEN contains(text, '?') THEN 'question' ELSE 'status_update' END AS kind FROM j)"""
+
+
+def _unknown(kind: str) -> str:
+    return "{" + ",".join(f'"{f}":"unknown"' for f in sorted(V.METADATA_FIELDS[kind])) + "}"
+
+
+_ISSUE_TEXT = f"""ri AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository, number ORDER BY fetched_at DESC, snapshot_id DESC) AS rn FROM raw_issue) WHERE rn = 1),
+cu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository, issue_number ORDER BY ingested_at DESC, record_id DESC) AS rn FROM curated) WHERE rn = 1),
+it AS (SELECT ri.repository, ri.number AS issue_number, {_STRIP % "coalesce(nullif(input_vector.title, ''), nullif(title, ''), '')"} AS title,
+ coalesce(nullif({_STRIP % "list_filter(deliberation_thread, lambda p: coalesce(p.is_issue_body, false))[1].body"}, ''), {_STRIP % "coalesce(nullif(input_vector.body, ''), nullif(ri.body, ''), '')"}) AS body FROM ri LEFT JOIN cu ON cu.repository = ri.repository AND cu.issue_number = ri.number)"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = (("proposed_solution", "text", V.SOLUTION_WORDS), ("suggestion", _FIRST, V.SUGGESTION_WORDS), ("status_update", "text", V.STATUS_WORDS), ("task_assignment", "text", V.TASK_WORDS), ("priority_discussion", _FIRST, V.PRIORITY_WORDS), ("problem_statement", "text", V.PROBLEM_WORDS))
     lines = r"list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
@@ -421,6 +500,21 @@ def oracle_sql() -> dict[str, str]:
  w AS (SELECT chunk_no, s + 1 AS start_line, least(s + 20, len(l)) AS end_line, regexp_replace(array_to_string(l[s + 1:s + 20], chr(10)), '^\s+|\s+$', '', 'g') AS t FROM s WHERE s = 0 OR s + 5 < len(l)) SELECT chunk_no, start_line, end_line, md5(t) AS text_hash FROM w WHERE t <> ''""",
         "example_responses": f"WITH {ART}, {responses} SELECT * FROM rs",
         "self_excluding_examples": f"WITH {ART}, {responses}, m AS (SELECT a.repository, a.issue_number, b.issue_number AS example_issue_number, row_number() OVER (PARTITION BY a.repository, a.issue_number ORDER BY b.issue_number) AS example_no FROM rs a JOIN rs b ON a.repository = b.repository AND a.issue_number <> b.issue_number) SELECT repository, issue_number, example_no, example_issue_number FROM m WHERE example_no <= 3",
+        "model_artifacts": f"""WITH {RECORDS}, j AS (SELECT record_id, comment_idx, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL AND NOT coalesce(c.is_issue_body, false)), {_STUB}
+ SELECT record_id, comment_idx, CASE WHEN short <> '' THEN 0 END AS artifact_idx, 'ok' AS status, CASE WHEN short <> '' THEN kind END AS type, CASE WHEN short <> '' THEN short END AS summary, CASE WHEN short <> '' THEN 'incorrect_behavior' END AS tags,
+ CASE WHEN short <> '' THEN CASE kind {' '.join(f"WHEN '{k}' THEN '{_unknown(k)}'" for k in ('question', 'status_update'))} END END AS metadata FROM st""",
+        "model_run_counts": f"""WITH {RECORDS}, o AS (SELECT record_id, any_value(repository) AS repository, any_value(issue_number) AS issue_number FROM curated GROUP BY record_id), j AS (SELECT record_id, comment_idx, coalesce(c.body, '') AS text FROM post WHERE c IS NOT NULL AND NOT coalesce(c.is_issue_body, false)), {_STUB}
+ SELECT repository, issue_number, count(DISTINCT comment_idx) AS total_comments, 0::BIGINT AS failed_comments, count(*) FILTER (short <> '') AS artifact_count FROM st JOIN o USING (record_id) GROUP BY ALL""",
+        "issue_texts": f"""WITH {_ISSUE_TEXT} SELECT * FROM it""",
+        "issue_responses": f"""WITH {_ISSUE_TEXT} SELECT repository, issue_number, 'stub' AS model_id, '[Question] Is this still open?' || chr(10) || '[Status] ' || title AS response, NULL::VARCHAR AS error_type FROM it""",
+        "model_names": r"""WITH m AS (SELECT DISTINCT model_id, lower(trim(model_id)) AS x FROM artifact WHERE model_id IS NOT NULL), f AS (SELECT *, CASE WHEN contains(x, 'gpt') THEN 'gpt' WHEN contains(x, 'claude') OR contains(x, 'anthropic') THEN 'claude' WHEN contains(x, 'gemini') THEN 'gemini' WHEN contains(x, 'qwen') THEN 'qwen' ELSE 'other' END AS family FROM m)
+ SELECT model_id, family, CASE family WHEN 'gpt' THEN 0 WHEN 'claude' THEN 1 WHEN 'gemini' THEN 2 WHEN 'qwen' THEN 3 ELSE 4 END AS family_rank,
+ coalesce(try_cast(regexp_extract(CASE WHEN family IN ('gpt', 'gemini', 'qwen') THEN substr(x, instr(x, family) + length(family)) ELSE x END, '(\d+(?:\.\d*)?)', 1) AS DOUBLE), 0) + CASE WHEN family = 'claude' THEN CASE WHEN contains(x, 'opus') THEN 300 WHEN contains(x, 'sonnet') THEN 200 WHEN contains(x, 'haiku') THEN 100 ELSE 0 END ELSE 0 END AS recency,
+ CASE model_id """.replace("\\", "\\") + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompting.SHOWN.items()) + """ ELSE array_to_string(list_transform(list_filter(string_split(regexp_replace(trim(model_id), '__|[/:-]', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: CASE WHEN lower(w) IN ('gpt', 'llm', 'api') THEN upper(w) ELSE upper(w[1:1]) || lower(w[2:]) END), ' ') END AS shown FROM f""",
+        "tag_f1_by_type": f"WITH {TAGS} SELECT model_id, type, round(CASE WHEN sum(hc) + sum(mc) = 0 THEN 1.0 ELSE 2.0 * sum(b)::DOUBLE / (sum(hc) + sum(mc)) END, 6) AS f1 FROM tc GROUP BY ALL",
+        "type_tag_scatter": f"""WITH {TAGS}, ff AS (SELECT model_id, repository, issue_number, type, max(h) AS h, max(l) AS l FROM s GROUP BY ALL), c2 AS (SELECT model_id, repository, issue_number, sum(h * l) AS b, sum(h) AS hc, sum(l) AS mc FROM ff GROUP BY ALL), t2 AS (SELECT model_id, repository, issue_number, sum(b) AS b, sum(hc) AS hc, sum(mc) AS mc FROM tc GROUP BY ALL)
+ SELECT model_id, repository, row_number() OVER (PARTITION BY model_id, repository ORDER BY issue_number) - 1 AS place, round({_harm(_ratio('c2.b', 'c2.mc'), _ratio('c2.b', 'c2.hc'))}, 6) AS x, round({_harm(_ratio('t2.b', 't2.mc'), _ratio('t2.b', 't2.hc'))}, 6) AS y FROM c2 JOIN t2 USING (model_id, repository, issue_number)""",
+        "type_across_repositories": f"WITH {FLAGS}, i AS (SELECT repository, {_raw_scores('b', 'hc', 'mc')} FROM ci) SELECT count(DISTINCT repository) AS repositories, count(*) AS issues, {', '.join(f'round(avg({m}), 6) AS {m}' for m in ('precision', 'recall', 'f1', 'jaccard'))} FROM i",
         "resume_anti_join": f"WITH {ART} SELECT DISTINCT t.model_id, a.repository, a.issue_number FROM art a JOIN target t USING (repository) WHERE a.side = 'human' AND NOT EXISTS (SELECT 1 FROM art b WHERE b.side = 'model' AND b.model_id = t.model_id AND b.repository = a.repository AND b.issue_number = a.issue_number)",
         "type_ring": f"""WITH {by_type}, o AS (SELECT model_id, type, count(*) OVER (PARTITION BY model_id) AS n, row_number() OVER (PARTITION BY model_id ORDER BY f1, type) - 1 AS r FROM bt),
  z AS (SELECT *, CASE WHEN n >= 20 THEN 5 ELSE 4 END AS b FROM o), y AS (SELECT *, CAST(ceil(n / b::DOUBLE) AS BIGINT) AS size FROM z),

@@ -129,6 +129,11 @@ def summary_overall(spark, d):
     return rounded(summary_metrics.overall(summary_metrics.per_issue(a), summary_metrics.per_type(a)))
 
 
+def summary_vectors(spark, d):
+    """Summaries scored by token vectors (greatest cosines, and the cosine of the means); the vectors are hashed tokens."""
+    return rounded(summary_metrics.per_issue(_aligned(spark, d), summary_metrics.vectors, ("precision", "recall", "f1", "cosine")))
+
+
 def logistic_scores(spark, d):
     raw = F.col("value") / 100 - F.lit(0.5)
     return rounded(table(spark, d, "events").select("event_id", X.logistic_score(raw).alias("sigmoid"), X.logistic_score(raw, "clip").alias("clipped"), X.logistic_score(raw, "raw").alias("raw")))
@@ -200,7 +205,7 @@ def points_quantised(spark, d):
 
 QUERIES = (
     type_overlap_per_issue, type_macro, type_vocab_overall, type_per_type_confusion, metric_targets, latest_artifacts, tag_pooled_grouping_sets, tag_macro, tag_macro_by_type, type_macro_normalised, tag_macro_normalised, tag_frequency_topk, phrase_similarities,
-    metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, metadata_per_type, metadata_all_methods, complete_components, summary_pairs, coverage_penalty, summary_per_type, summary_overall, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, leaderboard_components_with_metadata, leaderboard_rrf_with_metadata, complete_components_with_metadata, profile_points_with_metadata, points_quantised,
+    metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, metadata_per_type, metadata_all_methods, complete_components, summary_pairs, coverage_penalty, summary_per_type, summary_overall, summary_vectors, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, leaderboard_components_with_metadata, leaderboard_rrf_with_metadata, complete_components_with_metadata, profile_points_with_metadata, points_quantised,
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,12 +67,56 @@ def artifact_rows(rows: DataFrame, side: str) -> DataFrame:
     return rows.select(F.when(F.col("artifact_idx").isNotNull(), place).alias("artifact_id"), F.lit(side).alias("side"), *rows.columns, F.lit(None).cast("timestamp").alias("extracted_at"))
 
 
+#: The components of a board, the report file that each stands in, and its path there.
+COMPONENTS = (
+    ("type_f1", "type_matching", "macro_average.f1"),
+    ("metadata_f1", "metadata_matching", "macro_average.f1"),
+    ("metadata_soft_f1", "metadata_matching", "macro_average.soft_f1"),
+    ("tag_f1", "tag_matching", "overall.f1"),
+    ("summary_codebert", "summary_matching", "overall.all_issues_macro_with_unmatched_penalty.codebert.cosine"),
+    ("summary_bertscore_f1", "summary_matching", "overall.all_issues_macro_with_unmatched_penalty.bertscore.f1"),
+    ("summary_bleurt", "summary_matching", "overall.all_issues_macro_with_unmatched_penalty.bleurt.score"),
+)
+
+
+def report_components(spark: SparkSession, folder: str, complete: bool = False) -> DataFrame:
+    """Components ``repository, model_id, component, value`` out of report files ``<model>/<repository>/<report>.json`` (names as folders).
+
+    Absent files and paths, texts that are no number, NaN and infinities give no row. With `complete` only pairs that have all four
+    report files count, as figures want it.
+    """
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], "repository string, model_id string, component string, value double")
+    scan = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_matching.json").load(folder)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    name = lambda k: F.replace(F.url_decode(F.element_at(parts, -k)), F.lit("__"), F.lit("/"))
+    files = scan.select(name(2).alias("repository"), name(3).alias("model_id"), F.regexp_extract(F.element_at(parts, -1), r"^(.*)\.json$", 1).alias("report"), F.col("value").alias("json"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.lit(r).alias("of"), F.get_json_object("json", f"$.{path}").try_cast("double").alias("value")) for c, r, path in COMPONENTS]))
+    found = files.select("repository", "model_id", "report", each.alias("c")).where("c.of = report and abs(c.value) < double('infinity')")
+    out = found.select("repository", "model_id", "c.component", "c.value")
+    if complete:
+        whole = files.groupBy("repository", "model_id").agg(F.count_distinct("report").alias("n")).where(F.col("n") == len({r for _, r, _ in COMPONENTS}))
+        out = out.join(whole.select("repository", "model_id"), ["repository", "model_id"], "left_semi")
+    return out
+
+
+def at_path(json: str | Column, *path: str) -> Column:
+    """The text at a path of a JSON text; null where any part is missing or no object."""
+    return F.get_json_object(F.col(json) if isinstance(json, str) else json, "$" + "".join(f"['{p}']" for p in path))
+
+
+def by_created(issues: DataFrame) -> DataFrame:
+    """Raw issues in order of creation, then number."""
+    return issues.orderBy("createdAt", "number")
+
+
 def snapshot_files(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> DataFrame:
     """Source files of a snapshot as ``file_path, text``, those of the extensions only; bytes that are no UTF-8 are replaced."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    path = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
+    base = folder.rstrip("/") + "/"  # what stands behind its first occurrence in the path
+    path = F.expr(f"substring(path, locate({json.dumps(base)}, path) + {len(base)})")
     kept = F.lower(F.regexp_extract(F.col("path"), r"\.([^./]+)$", 1)).isin(*extensions)
-    return b.where(kept).select(path.alias("file_path"), F.decode("content", "UTF-8").alias("text"))
+    return b.where(kept).select(path.alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def write_stage(df: DataFrame, folder: str, name: str, partition: tuple[str, ...] = ()) -> str:
@@ -90,3 +135,13 @@ def write_json(df: DataFrame, path: str) -> None:
 def manifest(df: DataFrame, **settings: str) -> DataFrame:
     """One row: the number of rows and the settings they were made with."""
     return df.agg(F.count("*").alias("row_count")).select("row_count", *[F.lit(v).alias(k) for k, v in sorted(settings.items())])
+
+
+def save_page(spark: SparkSession, text: str, path: str) -> None:
+    """A small text (a page) as one file, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
