@@ -306,6 +306,10 @@ i0 AS (SELECT u.*, coalesce(human_types, 0) AS human_types, coalesce(model_types
   FROM (SELECT DISTINCT model_id, repository, issue_number FROM s) u LEFT JOIN k USING (model_id, repository, issue_number) LEFT JOIN q USING (model_id, repository, issue_number)),
 i AS (SELECT *, {_ratio("matched_types", "model_types")} AS type_precision, {_ratio("matched_types", "human_types")} AS type_recall FROM i0)"""
 
+def _joined(flag: str) -> str:
+    return f"coalesce(string_agg(CASE WHEN {flag} = 1 THEN text END, chr(10) ORDER BY issue_number, comment_idx NULLS FIRST, artifact_idx NULLS FIRST, artifact_id), '')"
+
+
 COMPONENTS = (
     "WITH " + FLAGS + TAGS.removeprefix(ART) + SUMMARIES.removeprefix(ART) + f""",
 comp AS (
@@ -354,5 +358,18 @@ def oracle_sql() -> dict[str, str]:
         "profile_points": COMPONENTS + ", mv AS (SELECT model_id, component, avg(value) AS v FROM comp GROUP BY ALL), w AS (SELECT model_id, coalesce(max(v) FILTER (component = 'type_f1'), 0) AS type_f1, coalesce(max(v) FILTER (component = 'tag_f1'), 0) AS tag_f1, coalesce(max(v) FILTER (component = 'summary_token_f1'), 0) AS summary_token_f1 FROM mv GROUP BY ALL) SELECT model_id, round(type_f1, 6) AS type_f1, round(tag_f1, 6) AS tag_f1, round(summary_token_f1, 6) AS summary_token_f1, round((type_f1 + tag_f1 + summary_token_f1) / 3, 6) AS composite, round_even((type_f1 + tag_f1 + summary_token_f1) / 3 * 100, 0)::BIGINT AS points FROM w",
         "points_quantised": "SELECT o_orderkey, least(greatest(round_even(o_totalprice / 1000 / 10, 0)::BIGINT * 10, 0), 1000) AS points, least(greatest(round_even(o_totalprice / 1000, 0)::BIGINT, 0), 100) AS points_100 FROM orders",
     }
+    by_type = f"""{SUMMARIES}, tt AS (SELECT model_id, repository, type, count(*) FILTER (human_n > 0) AS human_issues, count(*) FILTER (model_n > 0) AS model_issues, count(*) FILTER (human_n > 0 AND model_n > 0) AS matched_issues FROM c GROUP BY ALL),
+ ms AS (SELECT sm.* FROM sm JOIN (SELECT model_id, repository, issue_number, type FROM c WHERE human_n > 0 AND model_n > 0) USING (model_id, repository, issue_number, type)),
+ mt AS (SELECT model_id, repository, type, {PHRASE % _joined("h")} AS a, {PHRASE % _joined("l")} AS b FROM ms GROUP BY ALL),
+ sc AS (SELECT model_id, repository, type, {TOKEN_F1} AS token_f1, {SIMS["char_ngram_jaccard"]} AS trigram FROM mt),
+ y AS (SELECT tt.*, coalesce(token_f1, 0) AS token_f1, coalesce(trigram, 0) AS trigram, CASE WHEN token_f1 IS NULL THEN 0 ELSE 1 / (1 + exp(-token_f1 / 2)) END AS logistic, {_ratio("matched_issues", "human_issues")} AS issue_recall FROM tt LEFT JOIN sc USING (model_id, repository, type))"""
+    scores = ", ".join(f"round({n}, 6) AS {n}, round({n} * issue_recall, 6) AS penalised_{n}" for n in ("token_f1", "trigram", "logistic"))
+    out["summary_per_type"] = f"WITH {by_type} SELECT model_id, repository, type, human_issues, model_issues, matched_issues, round(issue_recall, 6) AS issue_recall, {scores} FROM y"
+    coverage = ", ".join(f"avg({x}) AS coverage_{n}" for n, x in (("precision", "type_precision"), ("recall", "type_recall"), ("f1", _harm("type_precision", "type_recall"))))
+    out["summary_overall"] = f"""WITH {by_type}, ov AS (SELECT model_id, repository, coalesce(avg(token_f1) FILTER (matched_types > 0), 0) AS matched_only_macro, avg(token_f1 * type_recall) AS all_issues_with_penalty, avg(token_f1) AS all_issues_raw,
+ CASE WHEN sum(matched_types) = 0 THEN 0 ELSE sum(matched_types * weighted_token_f1) / sum(matched_types) END AS support_weighted, {coverage} FROM i GROUP BY ALL),
+ oy AS (SELECT model_id, repository, coalesce(avg(token_f1) FILTER (matched_issues > 0), 0) AS per_type_matched_only, avg(token_f1 * issue_recall) AS per_type_with_penalty FROM y GROUP BY ALL)
+ SELECT ov.model_id, ov.repository, {', '.join(f'round({c}, 6) AS {c}' for c in ('matched_only_macro', 'all_issues_with_penalty', 'all_issues_raw', 'support_weighted', 'coverage_precision', 'coverage_recall', 'coverage_f1'))},
+ round(matched_only_macro * coverage_recall, 6) AS penalised_overall, round(coalesce(per_type_matched_only, 0), 6) AS per_type_matched_only, round(coalesce(per_type_with_penalty, 0), 6) AS per_type_with_penalty FROM ov LEFT JOIN oy USING (model_id, repository)"""
     # the same with names compared in small letters and underscores
     return out | {"type_macro_normalised": out["type_macro"].replace(FLAGS, FLAGS_NORMAL), "tag_macro_normalised": out["tag_macro"].replace(TAGS, TAGS_NORMAL)}

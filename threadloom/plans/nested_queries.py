@@ -73,7 +73,28 @@ UNION SELECT snapshot_id, 'comment', min(pos)::INTEGER FROM m WHERE c IS NOT NUL
 UNION SELECT snapshot_id, 'timeline_item', child_pos::INTEGER FROM t UNION SELECT snapshot_id, 'source', child_pos::INTEGER FROM t WHERE e.source IS NOT NULL"""
 
 
+#: The flat tables of payloads: what of an element each column is.
+_PAYLOAD = {
+    "p3_labels": ("label", "CASE json_type(e) WHEN 'OBJECT' THEN e->>'name' ELSE e->>'$' END AS name"),
+    "p3_comments": ("comment", "e->>'id' AS id, e->>'url' AS url, e->>'body' AS body, e->>'createdAt' AS created_at, e->>'authorAssociation' AS author_association, e->'author'->>'login' AS author_login"),
+    "p3_timeline_items": ("timeline_item", "e->>'__typename' AS event_type, e->>'createdAt' AS created_at, e->'actor'->>'login' AS actor_login, try_cast(e->>'willCloseTarget' AS BOOLEAN) AS will_close_target, e->>'stateReason' AS state_reason, e->'label'->>'name' AS label_name"),
+    "p3_sources": ("timeline_item", "e->'source'->>'__typename' AS source_type, try_cast(e->'source'->>'number' AS BIGINT) AS number, e->'source'->>'url' AS url, e->'source'->>'title' AS title, e->'source'->>'state' AS state, try_cast(e->'source'->>'merged' AS BOOLEAN) AS merged, e->'source'->>'mergedAt' AS merged_at"),
+}
+
+
+def _with_payloads(name: str, typed: str) -> str:
+    kind, columns = _PAYLOAD[name]
+    first = _FOUND[: _FOUND.rindex("\nSELECT snapshot_id, kind AS child_kind")]
+    only = " AND f.source = 'OBJECT'" if name == "p3_sources" else ""
+    return first + f"\nSELECT f.snapshot_id, f.pos AS child_pos, {columns} FROM f JOIN e ON e.snapshot_id = f.snapshot_id AND e.kind = f.kind AND e.pos = f.pos WHERE f.kind = '{kind}'{only} UNION SELECT * FROM ({typed})"
+
+
 def oracle_sql() -> dict[str, str]:
+    typed = _typed_sql()
+    return typed | {n: _with_payloads(n, typed[n.replace("p3_", "p3_typed_")]) for n in _PAYLOAD}
+
+
+def _typed_sql() -> dict[str, str]:
     return {
         "p3_found": _FOUND,
         "p3_rejects": "SELECT DISTINCT snapshot_id AS record_id, CASE WHEN payload IS NULL THEN 'null' ELSE 'invalid' END AS reason FROM raw_record WHERE payload IS NULL OR NOT json_valid(payload)",
