@@ -99,6 +99,20 @@ def metadata_overall(spark, d):
     return rounded(metadata_metrics.overall(_aligned(spark, d)))
 
 
+HARD = ("human_count", "model_count", "tp", "fp", "fn", "precision", "recall", "f1", "jaccard")
+
+
+def metadata_hard_token_f1(spark, d):
+    """Greedy matching per issue by a similarity that SQL has."""
+    out = metadata_metrics.per_issue(_aligned(spark, d), 0.6, "token_f1")
+    return rounded(out.where("human_count + model_count > 0").select(*align.ISSUE, *HARD))
+
+
+def metadata_overall_token_f1(spark, d):
+    """The same over whole repositories."""
+    return rounded(metadata_metrics.overall(_aligned(spark, d), 0.6, "token_f1").select(*type_metrics.TARGET, *HARD))
+
+
 def metadata_per_type(spark, d):
     return rounded(metadata_metrics.per_issue_type(_aligned(spark, d)))
 
@@ -205,7 +219,7 @@ def points_quantised(spark, d):
 
 QUERIES = (
     type_overlap_per_issue, type_macro, type_vocab_overall, type_per_type_confusion, metric_targets, latest_artifacts, tag_pooled_grouping_sets, tag_macro, tag_macro_by_type, type_macro_normalised, tag_macro_normalised, tag_frequency_topk, phrase_similarities,
-    metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, metadata_per_type, metadata_all_methods, complete_components, summary_pairs, coverage_penalty, summary_per_type, summary_overall, summary_vectors, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, leaderboard_components_with_metadata, leaderboard_rrf_with_metadata, complete_components_with_metadata, profile_points_with_metadata, points_quantised,
+    metadata_soft_scores, greedy_match_counts, metadata_macro, metadata_overall, metadata_hard_token_f1, metadata_overall_token_f1, metadata_per_type, metadata_all_methods, complete_components, summary_pairs, coverage_penalty, summary_per_type, summary_overall, summary_vectors, logistic_scores, leaderboard_components, leaderboard_rrf, leaderboard_combined, leaderboard_with_metadata, profile_points, leaderboard_components_with_metadata, leaderboard_rrf_with_metadata, complete_components_with_metadata, profile_points_with_metadata, points_quantised,
 )
 
 
@@ -270,8 +284,8 @@ PHRASE = r"trim(regexp_replace(regexp_replace(lower(%s), '[^a-z0-9\s]', ' ', 'g'
 STRIP = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
 
 VALUES = ART + f""",
-e AS (SELECT model_id, repository, issue_number, type, h, l, unnest(map_entries(metadata)) AS kv FROM s),
-v AS (SELECT model_id, repository, issue_number, type, {STRIP % "kv.key"} AS field, h, {STRIP % "kv.value"} AS value, {PHRASE % ("(" + STRIP % "kv.value" + ")")} AS phrase FROM e),
+e AS (SELECT model_id, repository, issue_number, type, comment_idx, artifact_idx, artifact_id, h, l, unnest(map_entries(metadata)) AS kv FROM s),
+v AS (SELECT model_id, repository, issue_number, type, comment_idx, artifact_idx, artifact_id, {STRIP % "kv.key"} AS field, h, {STRIP % "kv.value"} AS value, {PHRASE % ("(" + STRIP % "kv.value" + ")")} AS phrase FROM e),
 vv AS (SELECT * FROM v WHERE value <> '' AND field <> '')"""
 
 _X, _Y = "list_distinct(list_filter(string_split(a, ' '), lambda t: t <> ''))", "list_distinct(list_filter(string_split(b, ' '), lambda t: t <> ''))"
@@ -306,6 +320,20 @@ i0 AS (SELECT u.*, coalesce(human_types, 0) AS human_types, coalesce(model_types
   FROM (SELECT DISTINCT model_id, repository, issue_number FROM s) u LEFT JOIN k USING (model_id, repository, issue_number) LEFT JOIN q USING (model_id, repository, issue_number)),
 i AS (SELECT *, {_ratio("matched_types", "model_types")} AS type_precision, {_ratio("matched_types", "human_types")} AS type_recall FROM i0)"""
 
+def _greedy(group: str, keys: str) -> str:
+    """Greedy matching step by step: of each group the best pair that is left, until none is at the threshold."""
+    over = "coalesce(issue_number, 0), coalesce(comment_idx, 0), coalesce(artifact_idx, 0), artifact_id"
+    return f"""WITH RECURSIVE {VALUES}, n AS (SELECT {keys}, sum(h) AS human_count, sum(1 - h) AS model_count FROM vv GROUP BY ALL),
+ o AS (SELECT dense_rank() OVER (ORDER BY {group}) AS g, {group}, h, phrase, row_number() OVER (PARTITION BY {group}, h ORDER BY {over}) AS k FROM vv),
+ met AS (SELECT x.g, x.k AS i, y.k AS j, x.phrase AS a, y.phrase AS b FROM o x JOIN o y ON x.g = y.g AND x.h = 1 AND y.h = 0), d AS (SELECT a, b, {TOKEN_F1} AS sim FROM (SELECT DISTINCT a, b FROM met)),
+ near AS (SELECT g, i, j, row_number() OVER (PARTITION BY g ORDER BY sim DESC, i, j) AS ord FROM met JOIN d USING (a, b) WHERE sim >= 0.6),
+ rec AS (SELECT DISTINCT g, 0 AS tp, []::BIGINT[] AS hs, []::BIGINT[] AS ms FROM near UNION ALL
+  SELECT g, tp + 1, list_append(hs, p.i), list_append(ms, p.j) FROM (SELECT rec.g, any_value(tp) AS tp, any_value(hs) AS hs, any_value(ms) AS ms, arg_min(struct_pack(i := i, j := j), ord) AS p FROM rec JOIN near ON near.g = rec.g AND NOT list_contains(hs, i) AND NOT list_contains(ms, j) GROUP BY rec.g)),
+ t AS (SELECT g, max(tp) AS tp FROM rec GROUP BY g), q AS (SELECT {keys}, sum(tp)::BIGINT AS tp FROM t JOIN (SELECT DISTINCT g, {keys} FROM o) USING (g) GROUP BY ALL),
+ z AS (SELECT n.*, coalesce(tp, 0) AS tp FROM n LEFT JOIN q USING ({keys}))
+ SELECT {keys}, human_count, model_count, tp, model_count - tp AS fp, human_count - tp AS fn, {_scores("tp", "human_count", "model_count")} FROM z"""
+
+
 def _joined(flag: str) -> str:
     return f"coalesce(string_agg(CASE WHEN {flag} = 1 THEN text END, chr(10) ORDER BY issue_number, comment_idx NULLS FIRST, artifact_idx NULLS FIRST, artifact_id), '')"
 
@@ -371,5 +399,7 @@ def oracle_sql() -> dict[str, str]:
  oy AS (SELECT model_id, repository, coalesce(avg(token_f1) FILTER (matched_issues > 0), 0) AS per_type_matched_only, avg(token_f1 * issue_recall) AS per_type_with_penalty FROM y GROUP BY ALL)
  SELECT ov.model_id, ov.repository, {', '.join(f'round({c}, 6) AS {c}' for c in ('matched_only_macro', 'all_issues_with_penalty', 'all_issues_raw', 'support_weighted', 'coverage_precision', 'coverage_recall', 'coverage_f1'))},
  round(matched_only_macro * coverage_recall, 6) AS penalised_overall, round(coalesce(per_type_matched_only, 0), 6) AS per_type_matched_only, round(coalesce(per_type_with_penalty, 0), 6) AS per_type_with_penalty FROM ov LEFT JOIN oy USING (model_id, repository)"""
+    out["metadata_hard_token_f1"] = _greedy(GROUP, issue)
+    out["metadata_overall_token_f1"] = _greedy("model_id, repository, type, field", "model_id, repository")
     # the same with names compared in small letters and underscores
     return out | {"type_macro_normalised": out["type_macro"].replace(FLAGS, FLAGS_NORMAL), "tag_macro_normalised": out["tag_macro"].replace(TAGS, TAGS_NORMAL)}
