@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ def local_session(cpus: int = 8, app: str = "threadloom", partitions: int | None
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # written stages go when nothing refers to them any more
         .getOrCreate()
     )
 
@@ -30,12 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: what the session names; where it names none, a folder of our own in the warehouse, or on
-    a local master (tests) a temporary one."""
+    """The shared checkpoint folder: what the session names in spark.checkpoint.dir; where it names none, a folder of our own in the
+    warehouse, or on a local master (tests) a temporary one that goes with the process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="threadloom-ckpt-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="threadloom-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
