@@ -42,14 +42,14 @@ def corpus(seed, n=250):
     return [*out, (900, out[0][1].upper()), (901, out[0][1]), (902, None), (903, ""), (904, "one two"), (901, out[0][1])]
 
 
-@pytest.mark.parametrize(("words", "threshold", "least", "hot"), [(3, Fraction(1, 2), 30, 50_000), (2, Fraction(4, 5), 0, 50_000), (3, Fraction(1, 2), 0, 7)])
-def test_join_is_exact(spark, words, threshold, least, hot):
+@pytest.mark.parametrize(("words", "threshold", "least", "hot", "shared"), [(3, Fraction(1, 2), 30, 50_000, 4), (2, Fraction(4, 5), 0, 50_000, 4), (3, Fraction(1, 2), 0, 7, 4), (1, Fraction(3, 10), 0, 50, 9), (2, Fraction(1), 0, 50_000, 1)])
+def test_join_is_exact(spark, words, threshold, least, hot, shared):
     rows = corpus(words + hot)
     want, sets = brute(dict(rows).items(), words, threshold, least)
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "record_id long, text string, sig int")
-    join = near_dup.Join(df, words, threshold, least, hot)
+    join = near_dup.Join(df, words, threshold, least, hot, shared)
     got = [(r.record_id_a, r.record_id_b) for r in join.pairs().collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > (50 if threshold < 1 else 0)
     group = {r.record_id: r.group_id for r in join.groups().collect()}
     assert set(group) == set(sets)
     assert all(group[a] == group[b] for a, b in want)

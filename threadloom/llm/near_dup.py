@@ -4,7 +4,7 @@ A text is the set of its runs of `words` successive words. Two texts belong toge
 reaches the threshold. The join is exact; nothing is sampled or capped.
 
 * Sets are sorted by one global order, rare shingles first, and only a prefix of each is indexed and probed: sets that share
-  nothing there can't be similar. The order is by exact document frequency, counted over all classes and joined back, whatever their
+  less than `SHARED` shingles there can't be similar. The order is by exact document frequency, counted over all classes and joined back, whatever their
   number; shingles of one class alone can't be shared, so only their number is kept.
 * Index lists are skipped in blocks. The entries of a list with the same set size and position form one block, and a block is
   compared with another as a whole: if what is left behind the two positions can't make up the overlap, no entry of either
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from threadloom.session import cut
 
-HOT, CHUNK, PAIRS_AT_ONCE = 50_000, 400_000, 2_000_000
+HOT, SHARED, CHUNK, PAIRS_AT_ONCE = 50_000, 4, 400_000, 2_000_000
 WORD = re.compile("[a-z0-9]+")
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -80,21 +80,25 @@ def shingle_sets(texts: list[str | None], words: int, min_words: int) -> tuple[n
 
 
 class Similarity:
-    """The arithmetic of Jaccard >= p/q on set sizes."""
+    """The arithmetic of Jaccard >= p/q on set sizes, with prefixes in which similar sets share at least `shared` shingles.
 
-    def __init__(self, threshold: Fraction) -> None:
+    If two sets share o, the one that is `shared`-th in the order stands at most n - o + shared deep in either, so prefixes that reach there
+    hold that many (all of them, where o is smaller). Longer prefixes cost entries and spare most pairs that meet by chance.
+    """
+
+    def __init__(self, threshold: Fraction, shared: int = 1) -> None:
         if not 0 < threshold <= 1:
             raise ValueError("the threshold must be in (0, 1]")
-        self.p, self.q = threshold.numerator, threshold.denominator
+        self.p, self.q, self.shared = threshold.numerator, threshold.denominator, shared
 
     def overlap(self, a, b):
         return -(-self.p * (a + b) // (self.p + self.q))
 
     def probed(self, n):
-        return n + (-self.p * n // self.q) + 1
+        return np.minimum(n, n + (-self.p * n // self.q) + self.shared)
 
     def indexed(self, n):
-        return n + (-2 * self.p * n // (self.p + self.q)) + 1
+        return np.minimum(n, n + (-2 * self.p * n // (self.p + self.q)) + self.shared)
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +136,7 @@ def list_hits(key: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray,
     for part in _in_parts(hi - lo, PAIRS_AT_ONCE):
         row, b = _spread(lo[part], (hi - lo)[part])
         a = left[part][row]
-        ok = (br[b] & 2 > 0) & (1 + np.minimum(bn[a] - bp[a] - 1, bn[b] - bp[b] - 1) >= sim.overlap(bn[a], bn[b]))
+        ok = (br[b] & 2 > 0) & (sim.shared + np.minimum(bn[a] - bp[a] - 1, bn[b] - bp[b] - 1) >= sim.overlap(bn[a], bn[b]))
         a, b = a[ok], b[ok]
         for some in _in_parts(size[a] * size[b], PAIRS_AT_ONCE):
             x, y = a[some], b[some]
@@ -151,8 +155,8 @@ class Join:
     `links` one row per pair of similar classes.
     """
 
-    def __init__(self, records: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), min_words: int = 0, hot: int = HOT) -> None:
-        self.words, self.min_words, self.hot, self.sim = words, min_words, hot, Similarity(threshold)
+    def __init__(self, records: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), min_words: int = 0, hot: int = HOT, shared: int = SHARED) -> None:
+        self.words, self.min_words, self.hot, self.sim = words, min_words, hot, Similarity(threshold, shared)
         self.records = records.select(F.col("record_id").cast("long").alias("record_id"), F.col("text").cast("string").alias("text"))
         self.spark = records.sparkSession
         found = cut(self._found())
@@ -252,7 +256,8 @@ class Join:
         found = lists.mapInArrow(run, "sig_a long, sig_b long, n_a int, n_b int, c int, p_a int, p_b int")
         each = found.groupBy("sig_a", "sig_b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("c").alias("c"), F.max("p_a").alias("p_a"), F.max("p_b").alias("p_b"))
         most = F.col("c") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
-        return each.where(most >= self._least(F.col("n_a"), F.col("n_b"))).select("sig_a", "sig_b", "n_a", "n_b")
+        least = self._least(F.col("n_a"), F.col("n_b"))
+        return each.where((most >= least) & (F.col("c") >= F.least(least, F.lit(sim.shared)))).select("sig_a", "sig_b", "n_a", "n_b")
 
     def _least(self, a: Column, b: Column) -> Column:
         return F.ceil(F.lit(self.sim.p) * (a + b) / F.lit(self.sim.p + self.sim.q) - F.lit(1e-9))
