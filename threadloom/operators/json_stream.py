@@ -19,6 +19,7 @@ LISTS, NODE = ("nodes", "edges", "pages"), "node"
 SPACE = re.compile(r"[ \t\n\r]*")
 NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
 DIGITS = 4000
+NO_FIELDS: dict = {}  # of all rows that keep none; never written to
 WORDS = {"true": True, "false": False, "null": None}
 
 Row = tuple[str, tuple[int, ...], dict | None, object]  # relation, ordinals, fields (None: a null element), identity
@@ -219,9 +220,9 @@ class Pivot:
             if spec.wanted is not None:
                 if relation not in spec.wanted:
                     if relation in spec.identity:
-                        out.append((relation, where, row and {}, identity))
+                        out.append((relation, where, None if row is None else NO_FIELDS, identity))
                     continue
-                row = row and {k: v for k, v in row.items() if k in spec.wanted[relation]}
+                row = row and ({k: v for k, v in row.items() if k in spec.wanted[relation]} or NO_FIELDS)
             elif row:
                 row = {k: v for k, v in row.items() if k[-2:] != "{}"}
             out.append((relation, where, row, identity))
@@ -426,20 +427,30 @@ class Reader:
         return out
 
     def rows(self) -> Iterator[tuple[str, tuple[int, ...], bool, bool, dict]]:
-        """(relation, ordinals, is_null, is_first, fields) of a whole text; nothing if there is no record; ValueError if it isn't JSON."""
+        """(relation, ordinals, is_null, is_first, fields) of a whole text; nothing if there is no record; ValueError, at once, if it
+        isn't JSON."""
         found, at = self.record(self.space(0))
         if self.space(at) != len(self.text):
             raise ValueError("more than a value")
+        return self._marked(found or {})
+
+    def _marked(self, found: dict) -> Iterator[tuple[str, tuple[int, ...], bool, bool, dict]]:
         spec, promoted = self.pivot.spec, {p: p[: p.rfind("[]") + 2] for p in self.pivot.spec.promoted}
-        for many, rows in (found or {}).values():
-            flat = ((r, (n, *w), f, i) for n, some in enumerate(rows) for r, w, f, i in some) if many else ((r, w, f, i) for r, w, f, i in rows)
-            flat, seen, first = list(flat), set(), {}
-            for relation, where, fields, identity in flat:
-                mark = (relation, where[:-1], identity)
-                first[relation, where] = fields is None or identity is None or mark not in seen
-                if fields is not None:
-                    seen.add(mark)
-            for relation, where, fields, _ in flat:
-                if spec.wanted is None or relation in spec.wanted:
-                    is_first = first.get((promoted[relation], where), True) if relation in promoted else first[relation, where]
-                    yield relation, where, fields is None, is_first, fields or {}
+        seen: dict[tuple, set] = {}
+        while found:
+            many, rows = found.pop(next(iter(found)))
+            groups = rows if many else [rows]
+            groups.reverse()  # elements are let go from the end
+            for n in range(len(groups)):
+                some, first = groups.pop(), {}
+                for relation, where, fields, identity in some:
+                    if fields is None or identity is None:
+                        first[relation, where] = True
+                        continue
+                    known = seen.setdefault((relation, ((n, *where) if many else where)[:-1]), set())
+                    first[relation, where] = identity not in known
+                    known.add(identity)
+                for relation, where, fields, _ in some:
+                    if spec.wanted is None or relation in spec.wanted:
+                        is_first = first.get((promoted[relation], where), True) if relation in promoted else first[relation, where]
+                        yield relation, (n, *where) if many else where, fields is None, is_first, fields or NO_FIELDS

@@ -49,7 +49,7 @@ def shred(df: DataFrame, record_id: str | Column, text: str | Column, spec: Shre
 
     def rows_of(text: str):
         try:
-            return list(Reader(text, pivot).rows())
+            return Reader(text, pivot).rows()
         except ValueError:
             return ()
 
@@ -65,9 +65,9 @@ def shred(df: DataFrame, record_id: str | Column, text: str | Column, spec: Shre
                 for relation, ordinals, null, mark, fields in rows_of(t):
                     for column, value in zip(out, (i, relation, ordinals, null, mark, list(fields.items())), strict=True):
                         column.append(value)
-                if len(out[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
-                    out = ([], [], [], [], [], [])
+                    if len(out[0]) >= 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
+                        out = ([], [], [], [], [], [])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
 
