@@ -1,5 +1,6 @@
-"""Lines written by hand, without the tagger's table at hand; mentions stand in double brackets behind a letter for their kind:
-n name, e email, p phone, i identity_number, a street_address. The lines of even number were looked at while the tagger was made, the odd ones only counted."""
+"""Lines written by hand, after the tagger's first table and by the same author; mentions stand in double brackets behind a letter for their kind:
+n name, e email, p phone, i identity_number, a street_address. Mistakes on the lines of even number were read while the tagger was made;
+of those of odd number only the totals were seen, but often, and its settings were chosen by them too: neither half is untouched."""
 
 LINES = r"""
 Sorry for the late answer, I was on holiday with [[n:Emily Watson]] and her kids.

@@ -4,7 +4,10 @@ Mentions are filled from common given and family names of many countries, from f
 the endings that family names have, and from the formats in which countries write telephone numbers, identity numbers and
 addresses. The lines around them are letters, forms, trailers, records and log lines as they are found anywhere, in several languages;
 lines without a mention are made of the same words, and of what only looks alike (versions, hashes, times, products, places).
-Nothing here is taken from the data that the tagger is run on.
+Names, number formats, words and lines were written for this table. Some kinds of lines were added after looking at what was missed or
+found too much on sf0.1 (a verb before a name, counters and offsets in logs, commit hashes, quantities in several languages), so
+the table isn't blind to that data. Of 729 lines, six have a longest literal part that also stands in sf0.1: two git trailers and four
+common beginnings of sentences.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ ONSETS, VOWELS, CODAS = "b br c ch d dr f fl g gr h j k kl kr l m n p pr qu r s
 PHONES = """
 +1 ^## ### ####|+1 (^##) ###-####|+1-^##-###-####|+1.^##.###.####|+1^#########|(^##) ###-####|(^##) ###-####|^##-###-####|^##-###-####|^##.###.####|1-^##-###-####|1 (^##) ###-####|^## ### ####
 +44 20 #### ####|+44 (0)20 #### ####|020 #### ####|020 #### ####|0### ### ####|+44 7### ######|+447#########|07### ######|07### ### ###|0## #### ####|+44 (0)#### ######|(0####) ######
-+49 ## ########|+49 (0)## ########|+49 ### ####-##|+49 ## #####-###|+49 1## #######|0## ########|0##/#######|0##/########|0### / ### ## ##|0###-#######|+43 1 ### ## ##|+41 ## ### ## ##|0## ### ## ##
++49 ## ########|+49 (0)## ########|+49 ### ####-##|+49 ## #####-###|+49 1## #######|0800 #######|0800 ### ####|0### #######|0## ########|0##/#######|0##/########|0### / ### ## ##|0###-#######|+43 1 ### ## ##|+41 ## ### ## ##|0## ### ## ##
 +33 ^ ## ## ## ##|+33^########|0^ ## ## ## ##|0^ ## ## ## ##|0^ ## ## ## ##|0^ ## ## ## ##|0^.##.##.##.##|+32 ### ## ## ##|+34 ### ### ###|+34 ### ## ## ##|^## ## ## ##|+39 0# #### ####|+39 3## #######|+351 ### ### ###|+31 6 ########|+31 (0)20 ### ####|06-########|020-#######
 +48 ### ### ###|+48 ## ### ## ##|+46 8 ### ### ##|+46 7#-### ## ##|+47 ## ## ## ##|+45 ## ## ## ##|+358 40 ### ####|+7 (9##) ###-##-##|+7 9## ### ## ##|8 (9##) ###-##-##|+380 ## ### ## ##|+90 5## ### ## ##|+30 21# ### ####|+420 ### ### ###
 +61 ^ #### ####|(0^) #### ####|0^ #### ####|04## ### ###|+614########|+61 4## ### ###|+61^########|+64 21 ### ####|+81 3-####-####|+81 90 #### ####|03-####-####|090-####-####|+82 10-####-####|010-####-####|+86 1## #### ####|+86 10 #### ####|1##-####-####
@@ -49,7 +52,7 @@ PHONES = """
 #: How countries write identity, tax, social security and passport numbers; @ is a capital letter.
 NUMBERS = """
 ###-##-####|###-##-####|###-##-####|^##-##-####|### ## ####|^## ## ####|^## ## ####|##-#######|@@######@|@@######@|@@ ## ## ## @|@@ ## ## ## @|@@######@|########@|########-@|########-@|@#######@|@-#######-@|##.###.###-@
-## ### ### ###|## ### ### ###|## ### ### ###|###########|###########|0##########|###########|##/###/#####|^ ## ## ## ### ### ##|^ ## ## ## ### ###|@@@@@@##@##@###@|######-####|######-####|########-####|######+####|###.###.###-##|##.###.###/####-##|##.###.###-#|########-#
+## ### ### ###|## ### ### ###|## ### ### ###|###########|###########|0##########|###########|##/###/#####|#####/#####|###/####/####|^ ## ## ## ### ### ##|^ ## ## ## ### ###|@@@@@@##@##@###@|######-####|######-####|########-####|######+####|###.###.###-##|##.###.###/####-##|##.###.###-#|########-#
 #### #### ####|@@@@@####@|### ### ###|### ### ##|#########|######-#######|##################|#### #### #|##-######-#-##|######/####|###-###-###|### ###-##-##|@#########|@########|@@#######|@@#######|@@#######|@#######|##@@#####|@@ #######|@@@######|#########|@########|@######@#|@##@##@##|@#@@@##@#|@@####@@#|@########
 # ## ## ## ### ###|^ ## ## ## ### ### ##|@@ ######|####-#######-#|###-####-#######-#|##.##.##-###.##
 """.strip().replace("\n", "|").split("|")
@@ -107,7 +110,7 @@ SSN: {id}¦SSN {id}¦ssn={id}¦Social security number: {id}¦My social security
 The citizen with identity number {id} is {like}.¦Validation of tax number {id} fails with {error}.¦The {thing} shows the passport number ({id}) in clear text.¦We must not log {id}, it is a social security number.¦The form accepts {id} as national id.¦"{id}" is not accepted as a tax number.¦The tax number of {name} is {id}.¦{name}, born {date}, passport {id}¦{id} ({name})¦{code} prints {id} unmasked.¦mask('{id}')¦the value {id} is a real person's id number
 Send it to {address}.¦Ship to: {address}¦Address: {address}¦address={address}¦My address is {address}.¦Our office is at {address}.¦I live at {address}.¦We moved to {address} {when}.¦The parcel went to {address}.¦The {thing} cannot find {address}.¦Billing address: {address}¦Visit us: {address}¦{address}¦{address}¦{name}, {address}¦{name}; {address}; {phone}¦HQ, {address}¦Located at {address}.¦The geocoder puts {address} in {town}.¦Pick up the {thing} at {address}, second floor.¦deliver to {address} before {day}¦The meeting is at {address}.¦"{address}" splits into two rows.
 {name},{email},{phone}¦{name};{phone};{address}¦{name}\t{email}¦{small},{name},{id},{address}¦"{name}","{email}","{phone}"¦INSERT INTO users VALUES ({small}, '{name}', '{email}');¦INSERT INTO contacts (name, phone) VALUES ('{name}', '{phone}');¦UPDATE users SET phone = '{phone}' WHERE name = '{name}';¦SELECT * FROM users WHERE email = '{email}';¦('{name}', '{id}', '{address}', '{phone}')¦{"name": "{name}", "email": "{email}"}¦{"fullName": "{name}", "ssn": "{id}"}¦{"phone": "{phone}", "id": {small}}¦{"address": "{address}", "zip": null}¦name: {name}¦name={name}¦name={name} mail={email}¦user={name} phone={phone}¦name={name} id={id}¦{name} / {email}¦{name} - {phone}¦git config user.email {email}¦git config user.name "{name}"¦const OWNER = "{name}";¦AUTHOR = '{name}'¦tel={phone} name={name}¦ssn:{id}¦id_no={id}¦owner: "{name}"¦email: "{email}"¦<name>{name}</name>¦<phone>{phone}</phone>¦| {name} | {phone} | {thing} |¦| {name} | {email} |¦assert find("{name}") is None¦person = Person("{name}", "{email}", "{phone}")¦expected "{name}" but got "{like}"
-Mit freundlichen Grüßen, {name}¦Viele Grüße {name}¦Sehr geehrte Frau {name},¦Sehr geehrter Herr {name},¦Guten Tag Frau {name},¦Madame {name},¦Señor {name}:¦Gentile signor {name},¦Geachte heer {name},¦Szanowna Pani {name},¦Die Nummer von {name} ist {phone}.¦Die Zentrale: {phone}¦Adresse: {address}¦Anschrift {address}¦Besuchen Sie uns in der {address}.¦Dirección: {address}¦Indirizzo: {address}¦Adres: {address}¦Adresse : {address}¦Numéro : {phone}¦Numer telefonu: {phone}¦Mon numéro de sécurité sociale est le {id}.¦Ich habe mit {name} gesprochen.¦Bitte melden Sie sich bei {name} unter {phone}.¦Meine Adresse ist {address}.¦Anrufen unter {phone}, Mail an {email}.¦Laut {name} ist das {thing} kaputt.¦Meine Steuernummer lautet {id}.¦Bonjour {name},¦Cordialement, {name}¦J'ai parlé avec {name} hier.¦Vous pouvez me joindre au {phone} ou à {email}.¦Mon adresse est {address}.¦Selon {name}, le serveur ne répond plus.¦Le numéro {phone} ne répond pas.¦Estimado {name}:¦Un saludo, {name}¦He hablado con {name} sobre esto.¦Mi teléfono es {phone} y mi correo {email}.¦Vivo en {address}.¦Mi DNI es {id}.¦El cliente {name} no puede entrar.¦Caro {name},¦Cordiali saluti, {name}¦Ho parlato con {name} ieri.¦Il mio numero è {phone}.¦Scrivetemi a {email}.¦Abito in {address}.¦Olá {name},¦Falei com {name} ontem.¦Meu telefone é {phone}.¦O meu e-mail é {email}, obrigado.¦Beste {name},¦Groeten, {name}¦Bel me op {phone} of mail {email}.¦Volgens {name} werkt het niet.¦Pozdrawiam, {name}¦Proszę dzwonić pod numer {phone}.¦Mój adres to {email}.¦Rozmawiałem z {name} wczoraj.¦Hälsningar, {name}¦Ring {phone} eller mejla {email}.¦Мой телефон {phone}, почта {email}.¦Пишите на {email}.¦С уважением, {name}¦По словам {name}, всё работает.¦電話は {phone} です。¦メールは {email} までお願いします。¦{name} さんに確認しました。¦请联系 {email} 或拨打 {phone}。¦{name} 已经确认了。
+Mit freundlichen Grüßen, {name}¦Viele Grüße {name}¦Sehr geehrte Frau {name},¦Sehr geehrter Herr {name},¦Guten Tag Frau {name},¦Madame {name},¦Señor {name}:¦Gentile signor {name},¦Geachte heer {name},¦Szanowna Pani {name},¦Die Nummer von {name} ist {phone}.¦Die Zentrale: {phone}¦Adresse: {address}¦Anschrift {address}¦Besuchen Sie uns in der {address}.¦Dirección: {address}¦Indirizzo: {address}¦Adres: {address}¦Adresse : {address}¦Numéro : {phone}¦Numer telefonu: {phone}¦Mon numéro de sécurité sociale est le {id}.¦Appelez le {phone} avant midi.¦Tél. {phone}¦Tél : {phone}, fax : {phone}¦au {phone}¦Rappelez {name} au {phone}.¦Ruf bitte {phone} an.¦{nomen}: {phone}¦{nomen} der {nomen} {phone}¦Die {nomen} ist unter {phone} erreichbar.¦Notfall {phone}¦Teléfono: {phone}¦Telefono {phone}¦Telefoon: {phone}¦Telefon: {phone}¦Telefone: {phone}¦Тел. {phone}¦Steueridentifikationsnummer {id}¦Meine Steueridentifikationsnummer ist {id}.¦Sozialversicherungsnummer: {id}¦Ausweisnummer {id}¦Personalausweis {id}¦Identifikationsnummer {id}¦numéro de passeport {id}¦numéro de sécu {id}¦numéro fiscal : {id}¦número de pasaporte {id}¦número de identidad: {id}¦NIF {id}¦número de contribuinte {id}¦numero di passaporto {id}¦codice fiscale di {name}: {id}¦burgerservicenummer {id}¦paspoortnummer {id}¦numer PESEL {id}¦numer paszportu {id}¦personnummer: {id}¦ИНН {id}¦паспорт {id}¦Geschäftsführer: {name}, {name}¦Directeur : {name}¦Gérant {name}¦CEO {name}¦CTO: {name}¦President {name}¦Réalisé par {name} et {name}.¦Escribí a {name} la semana pasada.¦El director {name} no responde.¦Il direttore {name} non risponde.¦Mów do {name}.¦Kierownik {name} wyjechał.¦С нами говорил {name}.¦De directeur {name} is ziek.¦{name} at once¦It went to {name} at once.¦Ask {name} at {time}.¦We met {name} at {address}.¦{name} at the {thing} desk¦The talk by {name} starts at {time}.¦a book by {name}¦The paper of {name} and {name} says so.¦{start} {name} at {time}, {start} {thing}.¦{day} evening {name} came.¦last week {name} left¦{name} told us so.¦{name} found it.¦{name} found the {like} {thing}.¦{name} approved the {thing}.¦not even {name} knows¦Nobody told {name} {when}.¦user.email {email}¦git config user.email {email}¦email {email}¦{like} {thing} {email}¦Ich habe mit {name} gesprochen.¦Bitte melden Sie sich bei {name} unter {phone}.¦Meine Adresse ist {address}.¦Anrufen unter {phone}, Mail an {email}.¦Laut {name} ist das {thing} kaputt.¦Meine Steuernummer lautet {id}.¦Bonjour {name},¦Cordialement, {name}¦J'ai parlé avec {name} hier.¦Vous pouvez me joindre au {phone} ou à {email}.¦Mon adresse est {address}.¦Selon {name}, le serveur ne répond plus.¦Le numéro {phone} ne répond pas.¦Estimado {name}:¦Un saludo, {name}¦He hablado con {name} sobre esto.¦Mi teléfono es {phone} y mi correo {email}.¦Vivo en {address}.¦Mi DNI es {id}.¦El cliente {name} no puede entrar.¦Caro {name},¦Cordiali saluti, {name}¦Ho parlato con {name} ieri.¦Il mio numero è {phone}.¦Scrivetemi a {email}.¦Abito in {address}.¦Olá {name},¦Falei com {name} ontem.¦Meu telefone é {phone}.¦O meu e-mail é {email}, obrigado.¦Beste {name},¦Groeten, {name}¦Bel me op {phone} of mail {email}.¦Volgens {name} werkt het niet.¦Pozdrawiam, {name}¦Proszę dzwonić pod numer {phone}.¦Mój adres to {email}.¦Rozmawiałem z {name} wczoraj.¦Hälsningar, {name}¦Ring {phone} eller mejla {email}.¦Мой телефон {phone}, почта {email}.¦Пишите на {email}.¦С уважением, {name}¦По словам {name}, всё работает.¦電話は {phone} です。¦メールは {email} までお願いします。¦{name} さんに確認しました。¦请联系 {email} 或拨打 {phone}。¦{name} 已经确认了。
 """.strip().replace("\n", "¦").split("¦")
 
 #: Lines without.
