@@ -254,3 +254,21 @@ def test_very_many_equal_values_are_counted_not_paired(spark):
     v = spark.range(2 * n).select(F.lit("m").alias("model_id"), F.lit("r").alias("repository"), F.col("id").alias("issue_number"), F.lit("x").alias("type"), F.lit("f").alias("field"), (F.col("id") % 2).cast("int").alias("h"), F.lit(0).alias("comment_idx"), F.lit(0).alias("artifact_idx"), F.col("id").alias("artifact_id"), F.when(F.col("id") < 2, "other").otherwise("unknown").alias("phrase"))
     r = metadata_metrics.group_scores(v, group=("model_id", "repository", "type", "field")).first()
     assert (r.human_count, r.model_count, r.tp, r.sum_best_human) == (n, n, n, n)
+
+
+def test_long_summaries_are_scored_in_one_pass(spark):
+    """A text of 600,000 characters; reading it from the start for each of its trigrams took minutes."""
+    import time
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh12", k=rng.randrange(1, 9))) for _ in range(3000)]
+    x, y = (" ".join(rng.choices(words[lo : lo + 2000], k=110_000)) for lo in (0, 1000))
+    df = spark.createDataFrame([(x, y), ("a", "A!"), ("", "?"), ("b", "")], "a string, b string")
+    began = time.time()
+    got = [r.s for r in df.select(summary_metrics.lexical(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert time.time() - began < 30
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    a, b = set(x.split()), set(y.split())
+    f1, tri = 2 * len(a & b) / (len(a) + len(b)), len(grams(f" {x} ") & grams(f" {y} ")) / len(grams(f" {x} ") | grams(f" {y} "))
+    assert abs(got[0].token_f1 - f1) < 1e-12 and abs(got[0].trigram - tri) < 1e-12 and tri < 1
+    assert [(s.token_f1, s.trigram) for s in got[1:]] == [(1, 1), (1, 1), (0, 0)]
