@@ -252,3 +252,33 @@ def test_comparison_has_every_block(spark):
     assert (o.issue_count, o.reference_comments, o.candidate_comments, o.reference_artifacts, o.candidate_artifacts, o.count_ratio, o.count_delta) == (4, 5, 1, 3, 3, 1.0, 0)
     assert (o.type_precision, o.metadata_soft_recall, o.summary_all_issues, o.summary_matched_only, o.compat_all_issues_with_penalty) == (0.75, 0.75, 0.25, 1 / 3, 0.0)
     assert {r.tag: (r.reference_mentions, r.candidate_mentions) for r in compare.tag_frequency(both).collect()} == {"a": (2, 2), "b": (1, 0)}
+
+
+def test_bm25_leaves_postings_where_they_are(spark):
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(8)
+    for words in (["the", "half", *[f"w{k}" for k in range(300)]], ["aa", "bb"]):
+        texts = {n: " ".join(["the"] * (n % 3) + ["half"] * (n % 2) + rng.choices(words, k=rng.randrange(0, 30))) for n in range(120)} | {120: None, 121: "?", 122: "the half"}
+        df = spark.createDataFrame([*texts.items()], "id long, t string").repartition(3)
+        own = {n: re.findall(r"[A-Za-z_][A-Za-z0-9_]+|\d+", t or "") for n, t in texts.items()}
+        count = Counter(t for x in own.values() for t in set(x))
+        idf = {t: math.log(len(own) - c + 0.5) - math.log(c + 0.5) for t, c in count.items()}
+        low = 0.25 * sum(idf.values()) / len(idf)
+        idf = {t: low if w < 0 else w for t, w in idf.items()}
+        mean = sum(map(len, own.values())) / len(own)
+        want = {}
+        for q in range(0, 123, 3):
+            score = {n: round(sum(idf[t] * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / mean)) for t in own[q]), 9) for n, x in own.items() if set(x) & set(own[q])}
+            want |= {(q, rank): (n, score[n]) for rank, n in enumerate(sorted(score, key=lambda n: (-score[n], n))[:7], 1)}
+        for most in (retrieve.QUERY_BYTES, 9_000):
+            found = retrieve.bm25(df, df.where("id % 3 = 0"), "id", "id", "t", 7, most)
+            got = {(r.query_id, r["rank"]): (r.doc, r.score) for r in found.collect()}
+            assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+            assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert retrieve.bm25(df.limit(0), df, "id", "id", "t").count() == 0 and retrieve.bm25(df, df.limit(0), "id", "id", "t").count() == 0
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b")], "id int, t string")
+    assert retrieve.once(twice, "id").count() == 2 and retrieve.once(twice.dropDuplicates(), "id").count() == 2
