@@ -282,3 +282,20 @@ def test_bm25_leaves_postings_where_they_are(spark):
     assert retrieve.bm25(df.limit(0), df, "id", "id", "t").count() == 0 and retrieve.bm25(df, df.limit(0), "id", "id", "t").count() == 0
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b")], "id int, t string")
     assert retrieve.once(twice, "id").count() == 2 and retrieve.once(twice.dropDuplicates(), "id").count() == 2
+
+
+def test_hybrid_writes_vectors_of_queries_only(spark, monkeypatch):
+    import hashlib
+
+    from threadloom.plans import discussion_queries as Q
+
+    written = []
+    monkeypatch.setattr(Q, "cut", lambda df: written.append(df.count()) or df)
+    assert Q.hybrid_rrf(spark, "/root/testdata/sf0.001").count() == 20 and sum(written) < 10
+    df = spark.createDataFrame([(1, "cat cat the_dog 12"), (2, None), (3, "?")], "id int, t string")
+    got = {r.id: r.embedding for r in retrieve.hashed_vectors(df, "id", "t", 64).collect()}
+    want = [0.0] * 64
+    for t in "cat cat the_dog 12".split():
+        want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64] += 1
+    size = sum(x * x for x in want) ** 0.5
+    assert got == {1: [x / size for x in want], 2: [0.0] * 64, 3: [0.0] * 64}
