@@ -299,3 +299,20 @@ def test_hybrid_writes_vectors_of_queries_only(spark, monkeypatch):
         want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64] += 1
     size = sum(x * x for x in want) ** 0.5
     assert got == {1: [x / size for x in want], 2: [0.0] * 64, 3: [0.0] * 64}
+
+
+def test_vectors_within_groups_in_tiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = [(g, n, [float(x) for x in rng.integers(-3, 4, 5)]) for n, g in enumerate(rng.choice(["p", "q"], 60).tolist())]
+    q = [(g, n, [float(x) for x in rng.integers(-3, 4, 5)]) for n, g in enumerate("pqpqpqprpp" * 2)]
+    kind = "g string, {} int, e array<float>"
+    df, asked = spark.createDataFrame([*v, ("p", 90, None), (None, 91, [1.0] * 5)], kind.format("doc")), spark.createDataFrame([*q, ("p", 70, None)], kind.format("query"))
+    want = {}
+    for g, i, e in q:
+        score = {n: float(np.dot(e, x)) for h, n, x in v if h == g}
+        want |= {(i, rank): (n, score[n]) for rank, n in enumerate(sorted(score, key=lambda n: (-score[n], n))[:6], 1)}
+    for tile in ((4096, 512), (7, 3)):
+        got = retrieve.dense_within(df, asked, "g", "doc", "query", "e", 6, tile)
+        assert {(r.query_id, r["rank"]): (r.doc, r.score) for r in got.collect()} == want
